@@ -29,13 +29,13 @@ def is_http_response(text: Column) -> Column:
 
 def header_length(message: Column) -> Column:
     """Bytes up to and including the blank line; null while the headers are incomplete."""
-    at = F.instr(byte_view(message), HEADER_END)
-    return F.when(at > 0, at + 3)
+    return F.nullif(F.instr(byte_view(message), HEADER_END), F.lit(0)) + 3
 
 
-def header_text(message: Column) -> Column:
+def header_text(message: Column, head_length: Column | None = None) -> Column:
     """Header block without the closing blank line."""
-    return decode_ignore(F.substring(message, F.lit(1), header_length(message) - 4))
+    length = header_length(message) if head_length is None else head_length
+    return decode_ignore(F.substring(message, F.lit(1), length - 4))
 
 
 def content_length(head: Column) -> Column:
@@ -54,17 +54,13 @@ def is_complete(message: Column) -> Column:
 
 def body_length_ok(method: Column, body: Column, length: Column) -> Column:
     """Body-carrying methods need at least the announced number of bytes."""
-    return (
-        ~method.isin(*BODY_METHODS)
-        | length.isNull()
-        | (F.length(body) >= length)
-    )
+    return ~method.isin(*BODY_METHODS) | length.isNull() | (F.length(body) >= length)
 
 
 def message_body(message: Column, head_length: Column, length: Column) -> Column:
     """Exactly Content-Length bytes of body, or everything that is left."""
     rest = F.length(message) - head_length
-    return F.substring(message, head_length + 1, F.least(rest, F.coalesce(length, rest)).cast("int"))
+    return F.substring(message, head_length + 1, F.least(rest, length).cast("int"))
 
 
 def decode_body(body: Column) -> Column:
@@ -75,9 +71,18 @@ def start_line(head: Column) -> Column:
     return F.substring_index(head, "\r\n", 1)
 
 
+# What stands between the words of a start line, and what is trimmed from text.
+_GAP = r"\s+"
+_BLANKS = " \t\x0b\f"
+
+
+def _trim(text: Column) -> Column:
+    return F.trim(text, F.lit(_BLANKS))
+
+
 def request_line(line: Column) -> Column:
     """``struct(method, path, version)``; null when there are fewer than two words."""
-    words = F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+    words = F.split(_trim(line), _GAP)
     return F.when(
         F.size(words) >= 2,
         F.struct(
@@ -90,7 +95,7 @@ def request_line(line: Column) -> Column:
 
 def status_line(line: Column) -> Column:
     """``struct(version, code, text)``; null when the code is missing or not a number."""
-    words = F.split(F.regexp_replace(line, r"^\s+", ""), r"\s+", 3)
+    words = F.split(F.ltrim(line, F.lit(_BLANKS)), _GAP, 3)
     code = F.when(F.get(words, 1).rlike("^[0-9]+$"), F.get(words, 1)).try_cast("int")
     return F.when(
         code.isNotNull(),
@@ -102,22 +107,29 @@ def status_line(line: Column) -> Column:
     )
 
 
-def header_map(head: Column) -> Column:
-    """Header lines as a map: names keep their case, the last value of a name wins."""
-    lines = F.filter(
-        F.slice(F.split(head, "\r\n"), 2, 1 << 30), lambda line: F.instr(line, ":") > 0
-    )
-    names = F.transform(lines, lambda line: F.trim(F.substring_index(line, ":", 1)))
-    values = F.transform(
-        lines, lambda line: F.trim(F.substring(line, F.instr(line, ":") + 1, F.length(line)))
+def header_pairs(head: Column) -> Column:
+    """``array<struct<key, value>>`` of the header lines; lines without a colon are skipped."""
+    lines = F.filter(F.slice(F.split(head, "\r\n"), 2, 1 << 30), lambda line: line.contains(":"))
+    return F.transform(
+        lines,
+        lambda line: F.struct(
+            _trim(F.substring_index(line, ":", 1)).alias("key"),
+            _trim(F.substring(line, F.instr(line, ":") + 1, F.length(line))).alias("value"),
+        ),
     )
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
+
+
+def header_map(pairs: Column) -> Column:
+    """Headers as a map: names keep their case, the last value of a name wins.
+
+    Names rarely repeat: the plain map is the common case, the scan for later copies the exception.
+    """
+    names = pairs["key"]
     last_of_name = F.filter(
         pairs, lambda pair, at: ~F.array_contains(F.slice(names, at + 2, 1 << 30), pair["key"])
     )
-    # Names rarely repeat: the plain map is the common case, the scan for later copies the exception.
     return F.when(
-        F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values)
+        F.size(F.array_distinct(names)) == F.size(pairs), F.map_from_entries(pairs)
     ).otherwise(F.map_from_entries(last_of_name))
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apilens.functions import http
-from apilens.functions.values import byte_view
 from apilens.sources.segments import flow_key
 
 
@@ -23,34 +22,25 @@ def parse_messages(
     to pass through.
     """
     message = F.col("message")
+    # Columns that several later ones use get a projection of their own, so that each is computed
+    # once. The result passes through a generator for the same reason: a filter on it would
+    # otherwise be pushed below the parsing and repeat all of it.
     sized = raw.withColumn("head_length", http.header_length(message))
-    split = sized.withColumn("head", http.header_text(message)).withColumn(
-        "kind",
-        F.when(http.is_http_request(byte_view(message)), "request").when(
-            http.is_http_response(byte_view(message)), "response"
-        ),
-    )
+    opened = sized.withColumn("head", http.header_text(message, F.col("head_length")))
     line = http.start_line(F.col("head"))
-    parts = split.select(
+    split = opened.select(
         "*",
         http.content_length(F.col("head")).alias("length"),
-        F.when(F.col("kind") == "request", http.request_line(line)).alias("req"),
-        F.when(F.col("kind") == "response", http.status_line(line)).alias("res"),
-        http.header_map(F.col("head")).alias("headers"),
+        F.when(http.is_http_request(F.col("head")), http.request_line(line)).alias("req"),
+        F.when(http.is_http_response(F.col("head")), http.status_line(line)).alias("res"),
+        http.header_pairs(F.col("head")).alias("pairs"),
     )
+    named = split.withColumn("headers", http.header_map(F.col("pairs")))
     body = http.message_body(message, F.col("head_length"), F.col("length"))
     whole = F.length(message) >= F.col("head_length") + F.coalesce(F.col("length"), F.lit(0))
     is_request = F.col("req").isNotNull() & whole
     is_response = F.col("res").isNotNull() & whole
-    return parts.select(
-        "node",
-        F.col("src_ip").alias("source_ip"),
-        F.col("src_port").alias("source_port"),
-        F.col("dst_ip").alias("destination_ip"),
-        F.col("dst_port").alias("destination_port"),
-        "ts",
-        "seq",
-        "n",
+    record = F.struct(
         F.when(is_request, "request").when(is_response, "response").alias("type"),
         F.col("req.method").alias("method"),
         F.col("req.path").alias("endpoint"),
@@ -61,10 +51,21 @@ def parse_messages(
         F.col("res.code").alias("status_code"),
         F.col("res.text").alias("status_text"),
         F.coalesce(F.col("req.version"), F.col("res.version")).alias("version"),
-        "headers",
+        F.col("headers").alias("headers"),
         http.decode_body(body).alias("body"),
+    )
+    return named.select(
+        "node",
+        F.col("src_ip").alias("source_ip"),
+        F.col("src_port").alias("source_port"),
+        F.col("dst_ip").alias("destination_ip"),
+        F.col("dst_port").alias("destination_port"),
+        "ts",
+        "seq",
+        "n",
         "message",
         *keep,
+        F.inline(F.array(record)),
     )
 
 

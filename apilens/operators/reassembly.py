@@ -144,8 +144,8 @@ def _frame_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if (flow, chunk) != key:
                 if key is not None:
                     rows.append((*key, *last, 0, "edge", framer.state, entry))
-                key, framer, entry = (flow, chunk), Framer(), FRESH
-            last = (ts_us, seq)
+                key, framer, entry, last = (flow, chunk), Framer(), FRESH, (0, 0)
+            last = max(last, (ts_us, seq))
             if carried:
                 framer, entry = Framer(payload), payload
                 continue
@@ -162,8 +162,14 @@ def _frame_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _frame(keyed: DataFrame) -> DataFrame:
+    # A given number of partitions is left alone by adaptive coalescing, which looks at bytes and
+    # would put work that is bound by Python's speed on too few cores.
+    spark = keyed.sparkSession
+    partitions = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
     return (
-        keyed.repartition("flow", "chunk")
+        keyed.repartition(partitions, "flow", "chunk")
         .sortWithinPartitions(
             "flow", "chunk", F.desc("carried"), "ts_us", "seq", "payload"
         )
@@ -190,6 +196,11 @@ def _stale(edges: DataFrame) -> DataFrame:
     return stale.join(exits, ["flow", "before"]).select("flow", "chunk", "carry")
 
 
+# Flows with unused bytes: what is left over after one batch of segments and opens the next.
+OPEN_FLOWS = "flow string, ts_us bigint, state binary"
+_BEFORE_ALL = -(1 << 62)
+
+
 def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
     """Whole messages and rejected bytes of all flows.
 
@@ -198,6 +209,17 @@ def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
     (``message`` or ``reject``) and ``data``. ``chunk`` is the length of a time chunk: it bounds
     the part of a flow that one task handles and has no influence on the result.
     """
+    return reassemble_onto(segments, None, chunk)[0]
+
+
+def reassemble_onto(
+    segments: DataFrame, open_flows: DataFrame | None, chunk: str = "1 minute"
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`reassemble`, for segments that continue ``open_flows`` (:data:`OPEN_FLOWS`).
+
+    Returns the messages and the flows that are open afterwards. What a flow had open counts as a
+    chunk before all others.
+    """
     ts_us = F.unix_micros("ts")
     width = F.lit(_microseconds(chunk))
     keyed = non_empty(segments).select(
@@ -208,6 +230,17 @@ def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
         "seq",
         "payload",
     )
+    if open_flows is not None:
+        keyed = keyed.unionByName(
+            open_flows.select(
+                "flow",
+                F.lit(_BEFORE_ALL).cast("bigint").alias("chunk"),
+                F.lit(1).alias("carried"),
+                "ts_us",
+                F.lit(0).cast("bigint").alias("seq"),
+                F.col("state").alias("payload"),
+            )
+        )
     rounds = [staged(_frame(keyed).withColumn("round", F.lit(0)), "framed", ("kind",))]
     edges = rounds[0].filter("kind = 'edge'")
     replaced = None
@@ -238,8 +271,16 @@ def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
         rounds.append(redone)
         edges = _latest([r.filter("kind = 'edge'") for r in rounds], replaced)
     result = _latest([r.filter("kind <> 'edge'") for r in rounds], replaced)
+    left = (
+        edges.groupBy("flow")
+        .agg(
+            F.max_by("data", "chunk").alias("state"), F.max("ts_us").alias("ts_us")
+        )
+        .filter(F.col("state") != F.lit(FRESH))
+        .select("flow", "ts_us", "state")
+    )
     flow = F.split("flow", r"\|")
-    return result.select(
+    framed = result.select(
         flow[0].alias("node"),
         flow[1].alias("src_ip"),
         flow[2].cast("int").alias("src_port"),
@@ -251,6 +292,7 @@ def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
         "kind",
         "data",
     )
+    return framed, left
 
 
 def _latest(rounds: list[DataFrame], replaced: DataFrame | None) -> DataFrame:

@@ -283,7 +283,6 @@ _PARSED = (
     f"SELECT node, {_ENDS}, epoch_us(ts) + event_id % 3 AS ts_us, type, method, endpoint, "
     "host, status_code, status_text, headers, body FROM m"
 )
-_SHIFTED_RECORDS = _C.replace("epoch_us(ts), event_id, 0", "epoch_us(ts) + event_id % 3")
 _FROM_SEGMENTS = (
     f"SELECT type, epoch_us(ts) + event_id % 3 AS ts_us, node, service, method, endpoint, host, "
     f"status_code, {_ENDS}, request_body, response_body FROM c WHERE "
@@ -612,6 +611,7 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
         "capture_roundtrip": _with(_C, _RECORDS),
         "log_line_roundtrip": _with(_C, _RECORDS),
         "stream_reassemble": _with(_C, _FROM_SEGMENTS),
+        "stream_assemble_batches": _with(_C, _FROM_SEGMENTS),
         "stream_incremental_extract": _with(_C, f"{_PROJECTED} WHERE {_KEPT}"),
         "stream_catalog": _with(
             _ACTIONS + _CATALOG_AFTER,

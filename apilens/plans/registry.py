@@ -30,6 +30,7 @@ from apilens.operators import (
 from apilens.plans import capture_view as view
 from apilens.sources import captures, segments
 from apilens.staging import staged, staging_path
+from apilens.streaming import assembly as stream_assembly
 from apilens.streaming import capture as stream_capture
 from apilens.streaming import catalog as stream_catalog_jobs
 from apilens.streaming import extract as stream_extract
@@ -449,7 +450,8 @@ def parse_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def decode_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.decode_packets(view.packets_view(spark, sf_dir)).select(
+    stored = staged(view.packets_view(spark, sf_dir), "packets")
+    return segments.decode_packets(stored).select(
         _us(), "node", "iface", "src_ip", "src_port", "dst_ip", "dst_port", "seq",
         F.col("payload").cast("string").alias("payload"),
     )
@@ -539,6 +541,24 @@ def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired_columns(captures.read_captures(spark, f"{root}/out"))
 
 
+@_query
+def stream_assemble_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream on the batch plans, state kept in stored tables."""
+    root = staging_path(spark, "assembly")
+    stored = segments.http_port_filter(view.segments_view(spark, sf_dir)).drop("type")
+    _in_order(stored, f"{root}/in", parts=3, files=4)
+    stream_assembly.start_state(spark, root)
+    stream_assembly.assemble_batches(
+        segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=4),
+        root,
+        f"{root}/out",
+        f"{root}/checkpoint",
+        lambda: view.directory_view(spark, sf_dir),
+        idle_seconds=366 * 86_400,
+    ).awaitTermination()
+    return _paired_columns(captures.read_captures(spark, f"{root}/out"))
+
+
 @_query
 def stream_incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of captures, each followed by an extract of what is new."""

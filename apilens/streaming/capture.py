@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,7 @@ _OUTPUT = (
     "seq bigint, n int, kind string, message binary, request_head binary"
 )
 _STATE = "low binary, high binary, request_head binary"
+_TAKEN = ("ts", "seq", "forward", "payload", *FLOW)
 
 
 def dedup_stream(segments: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -42,18 +44,22 @@ def _assembler(idle_ms: int):
         framers = {True: Framer(bytes(low)), False: Framer(bytes(high))}
         head = None if head is None else bytes(head)
         # One micro-batch of one connection; its size is set by the source's admission limit.
-        batch = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        batch = batch.drop_duplicates(["forward", "seq", "payload"])
-        rows = []
-        for row in batch.itertuples(index=False):
-            for n, (kind, data) in enumerate(framers[row.forward].feed(row.payload)):
+        batch = sorted(
+            (row for frame in frames for row in zip(*(frame[c] for c in _TAKEN), strict=True)),
+            key=itemgetter(0, 1),
+        )
+        rows, seen = [], set()
+        for ts, seq, forward, payload, *flow in batch:
+            if (forward, seq, payload) in seen:
+                continue
+            seen.add((forward, seq, payload))
+            for n, (kind, data) in enumerate(framers[forward].feed(payload)):
                 is_response = data.startswith(b"HTTP/")
                 if kind == "message" and not is_response:
                     head = data[: data.find(b"\r\n\r\n") + 4]
-                rows.append((row.node, row.src_ip, row.src_port, row.dst_ip, row.dst_port, row.ts,
-                             row.seq, n, kind, data, head if is_response else None))
+                rows.append((*flow, ts, seq, n, kind, data, head if is_response else None))
         state.update((framers[True].state, framers[False].state, head))
-        newest = int(batch["ts"].max().timestamp() * 1000)
+        newest = int(batch[-1][0].timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
@@ -98,7 +104,7 @@ def paired_records(assembled: DataFrame, directory: DataFrame) -> DataFrame:
         line["method"].alias("request_method"),
         line["path"].alias("request_endpoint"),
         F.when(
-            line.isNotNull(), http.host_of(http.header_map(head), F.col("src_ip"))
+            line.isNotNull(), http.host_of(http.header_map(http.header_pairs(head)), F.col("src_ip"))
         ).alias("request_host"),
     )
     extra = ["request_method", "request_endpoint", "request_host"]
