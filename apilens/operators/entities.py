@@ -96,24 +96,27 @@ def order_user_details(orders: DataFrame, users: DataFrame) -> DataFrame:
     users' text, not with orders times users. An order without customer text asks for nothing.
     """
     word = F.lower(F.get(F.split(F.trim("customer"), r"\s+"), 0))
-    asked = orders.withColumn("word", F.nullif(word, F.lit("")))
+    asked = orders.select("id", "customer", F.nullif(word, F.lit("")).alias("word"))
     words = asked.select("word").filter(F.col("word").isNotNull()).distinct()
     lengths = words.select(F.collect_set(F.length("word")).alias("lengths"))
     texts = F.array_union(
         _parts_of_length(F.lower("name"), F.col("lengths")),
         _parts_of_length(F.lower("email"), F.col("lengths")),
     )
-    index = (
+    first = (
         users.withColumn("lengths", lengths.scalar())
-        .select("id", "name", F.explode(texts).alias("word"))
+        .select("id", F.explode(texts).alias("word"))
+        .join(words, "word", "left_semi")
         .groupBy("word")
-        .agg(F.min(F.struct("id", "name")).alias("first"))
+        .agg(F.min("id").alias("user_id"))
     )
+    names = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    index = first.join(names, "user_id")
     return asked.join(index, "word", "left").select(
         F.col("id").alias("order_id"),
         F.col("customer").alias("customer_name"),
-        F.col("first.id").alias("user_id"),
-        F.col("first.name").alias("user_name"),
+        "user_id",
+        "user_name",
     )
 
 

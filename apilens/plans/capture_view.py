@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apilens.functions.values import big_endian_bytes, utc_instant
-from apilens.operators.catalog import INSTANCE
+from apilens.operators.catalog import INSTANCE, explode_catalog
 from apilens.operators.messages import correlate, to_http_messages
+from apilens.operators.onboarding import flatten_applications
 from apilens.operators.services import (
     address_directory,
     overlay_mappings,
@@ -20,20 +21,28 @@ from apilens.operators.services import (
     with_service,
 )
 from apilens.sources.documents import parse_application_listings, parse_catalog_listings
-from apilens.operators.onboarding import flatten_applications
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table stored in fewer pieces than there are cores.
+
+    A table of ordinary size has more input splits than that and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _text(expression: str) -> str:
     return f"cast({expression} as string)"
 
 
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One captured request per event."""
-    event = table(spark, sf_dir, "events").select(
+    event = spread(table(spark, sf_dir, "events")).select(
         "event_id", utc_instant(F.col("ts")).alias("ts"), "user_id", "event_type", "props"
     )
     uuid = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
@@ -231,8 +240,6 @@ def catalog_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from apilens.operators.catalog import explode_catalog
-
     return explode_catalog(parse_catalog_listings(catalog_documents(spark, sf_dir)))
 
 
@@ -340,6 +347,19 @@ def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One service configuration text per customer; every eighth is not JSON."""
+    key = "cast(c_custkey as string)"
+    return table(spark, sf_dir, "customer").selectExpr(
+        f"""case when c_custkey % 8 = 7 then '{{"apiKey": oops' else concat(
+            '{{"apiKey": "', if(c_custkey % 3 = 0, ' ', 'key'), '", ',
+            if(c_custkey % 2 = 0, '"autoOnboardNewServices": true, ', ''),
+            '"serviceMappings": {{"svc-', {key}, '": {{"appId": "app-', {key},
+            '", "instanceId": "inst-', {key}, '"}}, "alias-', {key}, '": {{"appId": "app-', {key},
+            '"}}}}}}') end as value"""
+    )
+
+
 def users_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(
         "c_custkey as id",

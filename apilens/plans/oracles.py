@@ -347,6 +347,19 @@ fresh AS (
   FROM supplier)"""
 
 
+# Messages as text (x); ``e`` ends a line.
+_TEXT = (
+    _M
+    + """,
+x AS (
+  SELECT *, concat(head, e, CASE WHEN host_header IS NOT NULL THEN concat('Host: ', host_header, e) ELSE '' END,
+      'Content-Type: application/json', e, 'Content-Length: ', strlen(body), e, e, body) AS text
+  FROM (SELECT *, concat(chr(13), chr(10)) AS e, CASE WHEN type = 'request'
+      THEN concat(method, ' ', endpoint, ' HTTP/1.1')
+      ELSE concat('HTTP/1.1 ', status_code, ' ', status_text) END AS head FROM m))"""
+)
+
+
 def _search(text: str) -> str:
     hits = f""", hits AS (
   SELECT 'user' AS kind, id, name FROM users
@@ -606,6 +619,44 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
             "SELECT event_id * 2 + (type = 'response')::INTEGER AS position, count(*) AS segments FROM (SELECT *, "
             "unnest(range(event_id % 3 + 1)) AS piece FROM m) GROUP BY 1",
         ),
+        "message_completeness": _with(
+            _TEXT,
+            "SELECT type, event_id AS seq, CASE WHEN event_id % 5 > 1 OR "
+            "(event_id % 5 = 0 AND body <> '') THEN strlen(text) END AS needed, "
+            "event_id % 5 > 1 AS complete FROM x",
+        ),
+        "malformed_messages": _with(
+            _M,
+            "SELECT type AS was, event_id FROM m WHERE event_id % 11 = 0 OR "
+            "(event_id % 11 = 1 AND type = 'response')",
+        ),
+        "rejected_bytes": _with(
+            _R,
+            "SELECT node, source_ip AS src_ip, destination_ip AS dst_ip, "
+            "concat('~', event_id, '~') AS bytes FROM r WHERE NOT lost AND event_id % 3 = 0 "
+            "UNION ALL SELECT node, '', '', CAST(sum((NOT lost)::INT + has_response::INT) AS VARCHAR) "
+            "FROM r GROUP BY node",
+        ),
+        "body_previews": (
+            "SELECT page_id, substr(html, 1, 200) AS preview, length(html) AS characters FROM pages"
+        ),
+        "service_configs": (
+            "SELECT c_custkey % 8 <> 7 AND c_custkey % 3 <> 0 AS has_api_key, "
+            "c_custkey % 8 <> 7 AND c_custkey % 2 = 0 AS auto_onboard, count(*) AS documents, "
+            "CAST(sum(CASE WHEN c_custkey % 8 <> 7 THEN 2 ELSE 0 END) AS BIGINT) AS mappings "
+            "FROM customer GROUP BY 1, 2"
+        ),
+        "config_mappings": (
+            "SELECT concat('svc-', c_custkey) AS service, concat('app-', c_custkey) AS appId, "
+            "concat('inst-', c_custkey) AS instanceId FROM customer WHERE c_custkey % 8 <> 7 UNION ALL "
+            "SELECT concat('alias-', c_custkey), concat('app-', c_custkey), NULL FROM customer "
+            "WHERE c_custkey % 8 <> 7"
+        ),
+        "mappings_roundtrip": _with(_MAPPINGS, "SELECT service, appId, instanceId FROM mappings"),
+        "extract_report": _with(
+            _C,
+            f"SELECT *, count(*) OVER () AS total_endpoints FROM ({_PROJECTED} WHERE {_KEPT})",
+        ),
         "reassemble": _with(_M, _PARSED),
         "messages_from_segments": _with(_C, _FROM_SEGMENTS),
         "capture_roundtrip": _with(_C, _RECORDS),

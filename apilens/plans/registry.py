@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apilens import schemas
+from apilens.functions import http
 from apilens.functions.hosts import is_cluster_traffic, is_inter_service
 from apilens.functions.paths import (
     catalog_key,
@@ -16,6 +18,7 @@ from apilens.functions.paths import (
     path_template,
     query_params,
 )
+from apilens.functions.values import preview
 from apilens.operators import (
     catalog,
     entities,
@@ -28,7 +31,7 @@ from apilens.operators import (
     services,
 )
 from apilens.plans import capture_view as view
-from apilens.sources import captures, segments
+from apilens.sources import captures, documents, segments
 from apilens.staging import staged, staging_path
 from apilens.streaming import assembly as stream_assembly
 from apilens.streaming import capture as stream_capture
@@ -36,6 +39,12 @@ from apilens.streaming import catalog as stream_catalog_jobs
 from apilens.streaming import extract as stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+_REPORT = (
+    "id string, timestamp string, status_code int, status_text string, service string, "
+    "method string, endpoint string, full_url string, type string, "
+    "headers map<string,string>, request_body string, response_body string"
+)
 _QUERIES: dict[str, Query] = {}
 
 
@@ -509,6 +518,119 @@ def log_line_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record_columns(captures.read_capture_log(spark, path))
 
 
+@_query
+def message_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, some cut short: bytes needed, and whether they are all there."""
+    cut = F.when(F.col("seq") % 5 == 0, F.length("message") - 1).otherwise(
+        F.when(F.col("seq") % 5 == 1, 10).otherwise(F.length("message"))
+    )
+    part = F.substring("message", F.lit(1), cut)
+    return view.rendered_view(spark, sf_dir).select(
+        "type", "seq", http.message_length(part).alias("needed"),
+        http.is_complete(part).alias("complete"),
+    )
+
+
+@_query
+def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start lines without a second word, status codes that are no numbers, cut bodies."""
+    text = F.col("message").cast("string")
+    broken = (
+        F.when(
+            (F.col("seq") % 11 == 0) & (F.col("type") == "request"),
+            F.regexp_replace(text, "^([A-Z]+) [^\r]*", "$1"),
+        )
+        .when(F.col("seq") % 11 == 0, F.regexp_replace(text, "^(HTTP/1.1) [0-9]+", "$1 ok"))
+        .when((F.col("seq") % 11 == 1) & (F.col("type") == "response"), F.rtrim(text, F.lit("}")))
+        .otherwise(text)
+    )
+    raw = view.rendered_view(spark, sf_dir).withColumn("message", F.encode(broken, "UTF-8"))
+    parsed = messages.parse_messages(raw.withColumnRenamed("type", "was"), keep=["was"])
+    return messages.malformed(parsed).select("was", F.col("seq").alias("event_id"))
+
+
+@_query
+def rejected_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Foreign bytes ahead of every third request are set apart, the messages survive."""
+    clean = segments.dedup_segments(view.segments_view(spark, sf_dir))
+    event = F.floor(F.col("seq") / 100_000)
+    starts = clean.filter(
+        (event % 3 == 0) & (F.col("seq") % 100_000 == 0) & F.col("src_ip").startswith("10.244.")
+    )
+    foreign = starts.withColumn(
+        "ts", F.timestamp_micros(F.unix_micros("ts") - 1)
+    ).withColumn("payload", F.encode(F.concat(F.lit("~"), event.cast("string"), F.lit("~")), "UTF-8"))
+    framed = reassembly.reassemble(clean.unionByName(foreign))
+    rejects = reassembly.rejects_only(framed).select(
+        "node", "src_ip", "dst_ip", F.col("data").cast("string").alias("bytes")
+    )
+    return rejects.unionByName(
+        reassembly.messages_only(framed)
+        .groupBy("node")
+        .agg(F.count("*").cast("string").alias("bytes"))
+        .select("node", F.lit("").alias("src_ip"), F.lit("").alias("dst_ip"), "bytes")
+    )
+
+
+@_query
+def body_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview of a long value next to its full length."""
+    return view.table(spark, sf_dir, "pages").select(
+        "page_id", preview(F.col("html")).alias("preview"), F.length("html").alias("characters")
+    )
+
+
+@_query
+def service_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of many configuration documents, defaults where a document does not parse."""
+    parsed = documents.parse_documents(
+        view.config_documents(spark, sf_dir), schemas.SERVICE_CONFIG
+    )
+    return documents.service_config(parsed).groupBy("has_api_key", "auto_onboard").agg(
+        F.count("*").alias("documents"),
+        F.sum(F.size("service_mappings")).alias("mappings"),
+    )
+
+
+@_query
+def config_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = documents.parse_documents(
+        view.config_documents(spark, sf_dir), schemas.SERVICE_CONFIG
+    )
+    return documents.mappings_of(documents.service_config(parsed))
+
+
+@_query
+def mappings_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "mappings")
+    documents.write_mappings(view.mappings_view(spark, sf_dir).drop("origin"), path)
+    return documents.read_saved_mappings(spark, path)
+
+
+@_query
+def extract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written report: its endpoint lines, with the total of its metadata document."""
+    records = staged(_positioned(spark, sf_dir), "report-input")
+    path = staging_path(spark, "report")
+    captures.write_extract_report(
+        extract.project_extract(extract.drop_health_checks(records)),
+        extract.extract_metadata(records),
+        path,
+    )
+    total = (
+        spark.read.schema("total_endpoints bigint")
+        .json(f"{path}/metadata")
+        .select(F.max("total_endpoints"))
+        .scalar()
+    )
+    return (
+        spark.read.schema(_REPORT)
+        .json(f"{path}/endpoints")
+        .withColumn("headers", F.to_json("headers"))
+        .withColumn("total_endpoints", total)
+    )
+
+
 # Streams
 
 
@@ -570,12 +692,7 @@ def stream_incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream_extract.extract_new(
             spark, f"{root}/captures", f"{root}/extract", f"{root}/checkpoint"
         ).awaitTermination()
-    schema = (
-        "id string, timestamp string, status_code int, status_text string, service string, "
-        "method string, endpoint string, full_url string, type string, "
-        "headers map<string,string>, request_body string, response_body string"
-    )
-    return spark.read.schema(schema).json(f"{root}/extract").withColumn(
+    return spark.read.schema(_REPORT).json(f"{root}/extract").withColumn(
         "headers", F.to_json("headers")
     )
 

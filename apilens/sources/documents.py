@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from apilens import schemas
 
 
+def parse_documents(documents: DataFrame, schema: str) -> DataFrame:
+    """JSON texts (``value``) to rows; text that is not JSON gives a row of nulls."""
+    parsed = F.from_json("value", schema)
+    others = [c for c in documents.columns if c != "value"]
+    return documents.select(*others, parsed.alias("d")).select(*others, "d.*")
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per file, parsed; text that is not JSON gives a row of nulls."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.from_json("value", schema).alias("d")).select("d.*")
+    """One row per file."""
+    return parse_documents(spark.read.text(path, wholetext=True), schema)
 
 
 def service_config(documents: DataFrame) -> DataFrame:
