@@ -1,5 +1,6 @@
 """The scripted workload of two services, end to end from bytes to inventory."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -118,6 +119,13 @@ def test_bodies_and_ids(records):
     ).schema.simpleString()
 
 
+PAIRING = (
+    "node string, ts timestamp, seq bigint, n int, type string, method string, endpoint string, "
+    "host string, service string, source_ip string, source_port int, destination_ip string, "
+    "destination_port int"
+)
+
+
 def message(ms, kind, client=1, **fields):
     row = {
         "node": "n", "ts": START + timedelta(milliseconds=ms), "seq": 0, "n": 0, "type": kind,
@@ -132,11 +140,6 @@ def message(ms, kind, client=1, **fields):
 
 @pytest.mark.parametrize("chunk_seconds", [1, 60])
 def test_pairing_rules(spark, chunk_seconds):
-    schema = (
-        "node string, ts timestamp, seq bigint, n int, type string, method string, endpoint string, "
-        "host string, service string, source_ip string, source_port int, destination_ip string, "
-        "destination_port int"
-    )
     asked = {"method": "GET", "endpoint": "/a", "host": "svc", "service": "svc"}
     rows = [
         message(0, "response"),
@@ -147,7 +150,9 @@ def test_pairing_rules(spark, chunk_seconds):
         message(9600, "request", **{**asked, "endpoint": "/b"}),
         message(25000, "response"),
     ]
-    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    df = spark.createDataFrame(
+        [tuple(r[c.split()[0]] for c in PAIRING.split(", ")) for r in rows], PAIRING
+    )
     got = correlate(df, chunk_seconds).filter("type = 'response'").orderBy("ts").collect()
     assert [(r.method, r.endpoint, r.host, r.service) for r in got] == [
         ("UNKNOWN", "/", "10.0.0.1", "unknown"),
@@ -158,6 +163,27 @@ def test_pairing_rules(spark, chunk_seconds):
     ]
 
 
+def test_pairing_equals_one_pass(spark):
+    """Random traffic, most of it on one connection, against a loop over the records in order."""
+    rng = random.Random(11)
+    rows = []
+    for number in range(1500):
+        client = 1 if rng.random() < 0.6 else rng.randint(2, 40)
+        kind = rng.choice(["request", "response", "response"])
+        fields = {"method": "GET", "endpoint": f"/{number}", "host": "h", "service": "s"}
+        row = message(rng.randint(0, 400_000), kind, client, **(fields if kind == "request" else {}))
+        rows.append({**row, "seq": number})
+    names = [part.split()[0] for part in PAIRING.split(", ")]
+    got = correlate(spark.createDataFrame([tuple(r[n] for n in names) for r in rows], PAIRING), 7)
+    want, latest = {}, {}
+    for row in sorted(rows, key=lambda r: (r["ts"], r["type"], r["seq"])):
+        if row["type"] == "request":
+            latest[row["source_port"]] = row["endpoint"]
+        else:
+            want[row["seq"]] = latest.get(row["destination_port"], "/")
+    assert {r.seq: r.endpoint for r in got.filter("type = 'response'").collect()} == want
+
+
 def test_metadata_of_nothing(records):
     row = extract.extract_metadata(
         records.withColumn("position", F.lit(1)).filter("false"), last_position=7
