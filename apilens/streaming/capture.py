@@ -19,11 +19,11 @@ from apilens.sources.captures import to_capture_records
 from apilens.sources.segments import FLOW
 
 _OUTPUT = (
-    "node string, src_ip string, src_port int, dst_ip string, dst_port int, ts timestamp, "
+    "node string, src_ip string, src_port int, dst_ip string, dst_port int, ts_us bigint, "
     "seq bigint, n int, kind string, message binary, request_head binary"
 )
 _STATE = "low binary, high binary, request_head binary"
-_TAKEN = ("ts", "seq", "forward", "payload", *FLOW)
+_TAKEN = ("ts_us", "seq", "forward", "payload", *FLOW)
 
 
 def dedup_stream(segments: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -49,7 +49,7 @@ def _assembler(idle_ms: int):
             key=itemgetter(0, 1),
         )
         rows, seen = [], set()
-        for ts, seq, forward, payload, *flow in batch:
+        for ts_us, seq, forward, payload, *flow in batch:
             if (forward, seq, payload) in seen:
                 continue
             seen.add((forward, seq, payload))
@@ -57,9 +57,9 @@ def _assembler(idle_ms: int):
                 is_response = data.startswith(b"HTTP/")
                 if kind == "message" and not is_response:
                     head = data[: data.find(b"\r\n\r\n") + 4]
-                rows.append((*flow, ts, seq, n, kind, data, head if is_response else None))
+                rows.append((*flow, ts_us, seq, n, kind, data, head if is_response else None))
         state.update((framers[True].state, framers[False].state, head))
-        newest = int(batch[-1][0].timestamp() * 1000)
+        newest = batch[-1][0] // 1000
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
@@ -81,17 +81,18 @@ def assemble_stream(
     high = F.concat_ws(":", "dst_ip", "dst_port")
     keyed = (
         segments.withWatermark("ts", delay)
-        .select("ts", *FLOW, "seq", "payload")
+        .select("ts", F.unix_micros("ts").alias("ts_us"), *FLOW, "seq", "payload")
         .withColumn("forward", low < high)
         .withColumn("connection", F.concat_ws("|", "node", F.least(low, high), F.greatest(low, high)))
     )
-    return keyed.groupBy("connection").applyInPandasWithState(
+    assembled = keyed.groupBy("connection").applyInPandasWithState(
         _assembler(idle_seconds * 1000),
         _OUTPUT,
         _STATE,
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
+    return assembled.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
 
 
 def paired_records(assembled: DataFrame, directory: DataFrame) -> DataFrame:
