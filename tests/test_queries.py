@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from apilens.plans import oracles, registry
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(registry.queries()) == set(oracles.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, connection, name):
     found = differences(spark, connection, contract.queries()[name], contract.oracle_sql()[name], SF)
     assert not found, found
