@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilens.llm import packing, token_files, tokens
+import uuid
+
+from apilens.llm import exact_dedup, extraction, mixing, packing, repetition, simhash, token_files, tokens
 from apilens.llm.common import new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +33,38 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    return exact_dedup.decide(table(spark, sf_dir, "documents"), index)
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
             op1_best_fit_packing,
             op2_token_files,
+            op4_simhash_near_dedup,
+            op5_repetition_rules,
+            op7_exact_dedup,
+            op9_source_mixing,
+            op10_html_extraction,
         )
     }
