@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import uuid
-
-from apilens.llm import exact_dedup, extraction, mixing, packing, repetition, simhash, token_files, tokens
-from apilens.llm.common import new_path, table
+from apilens.llm import (
+    exact_dedup,
+    extraction,
+    language,
+    mixing,
+    packing,
+    repetition,
+    simhash,
+    token_files,
+    tokens,
+    toxicity,
+    warc,
+)
+from apilens.llm.common import fold_of, new_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +44,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 3) == 1
+    model = language.fit(docs.filter(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,11 +59,28 @@ def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    weights = toxicity.fit(table(spark, sf_dir, "labels").filter(~held_out), docs)
+    return toxicity.score(docs, weights).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     return exact_dedup.decide(table(spark, sf_dir, "documents"), index)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,9 +96,12 @@ def queries() -> dict[str, Query]:
         for f in (
             op1_best_fit_packing,
             op2_token_files,
+            op3_language_id,
             op4_simhash_near_dedup,
             op5_repetition_rules,
+            op6_toxicity,
             op7_exact_dedup,
+            op8_warc,
             op9_source_mixing,
             op10_html_extraction,
         )

@@ -129,3 +129,16 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, radius: int = 3
+) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its group.
+
+    Rows without an id stay. Rows that share an id stay or go together, and go if any of them is near a row with a
+    smaller id.
+    """
+    groups = near_duplicates(docs, id_column, text_column, shingle, radius)
+    dropped = stored(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    return docs.join(dropped, F.col(id_column) == F.col("_dropped"), "left_anti")
