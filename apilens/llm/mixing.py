@@ -109,14 +109,15 @@ def shard_quotas(sources: DataFrame, block_tokens: int = BLOCK_TOKENS, shards: i
 
 def _places(sized: DataFrame, seed: int) -> DataFrame:
     """Where every row begins on the line of its source: seeded parts first, then ids inside a part."""
-    part = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.lit(PARTS)).alias("part")
-    rows = sized.select("*", part)
-    inside = W.partitionBy("source_key", "part").orderBy(F.xxhash64(F.lit(seed), "doc_id", "row"), "row")
+    # only repeated rows, which may change places, are told apart by their numbers
+    order = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
+    rows = sized.select("*", order.alias("order"), F.pmod(order, F.lit(PARTS)).alias("part"))
+    inside = W.partitionBy("source_key", "part").orderBy("order", "doc_id", "text_hash", "row")
     across = W.partitionBy("source_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = rows.groupBy("source_key", "part").agg(F.sum("size").alias("n"))
     bases = parts.withColumn("base", F.coalesce(F.sum("n").over(across), F.lit(0))).drop("n")
     placed = rows.withColumn("at", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    return placed.join(bases, ["source_key", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("part", "base")
+    return placed.join(bases, ["source_key", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("order", "part", "base")
 
 
 def mix(

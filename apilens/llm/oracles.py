@@ -1,7 +1,96 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
+
+Not expressed: the ones that need a tokenizer (1, 2), a trained model (3, 6), XXH64 (4, and 9 for its seeded order) or
+a parser of pages (10). Tests hold those against brute-force versions.
+"""
 
 from __future__ import annotations
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_BLANK = r"[\x20\x09-\x0D]+"
+
+OP5 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents
+),
+positions AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts
+),
+runs AS (
+  SELECT doc_id, i,
+    CASE WHEN count(*) OVER three = 3 THEN string_agg(word, ' ') OVER three END AS run3,
+    CASE WHEN count(*) OVER eight = 8 THEN string_agg(word, ' ') OVER eight END AS run8,
+    CASE WHEN count(*) OVER longest = 61 THEN string_agg(word, ' ') OVER longest END AS run61
+  FROM positions
+  WINDOW three AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
+    eight AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING),
+    longest AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 60 FOLLOWING)
+),
+repeated AS (
+  SELECT doc_id, i,
+    run3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, run3) > 1 AS again3,
+    run8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, run8) > 1 AS again8,
+    run61 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, run61) > 1 AS again61
+  FROM runs
+),
+covered AS (
+  SELECT doc_id, i, again61,
+    bool_or(again3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS in3,
+    bool_or(again8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS in8
+  FROM repeated
+),
+counts AS (
+  SELECT doc_id, count(*) FILTER (in3) AS in3, count(*) FILTER (in8) AS in8, bool_or(again61) AS too_long
+  FROM covered GROUP BY doc_id
+),
+measures AS (
+  SELECT doc_id,
+    len(words)::BIGINT AS n_words,
+    length(array_to_string(words, ''))::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))))::BIGINT AS n_dup_lines,
+    coalesce(in3, 0)::BIGINT AS n_repeat_words,
+    coalesce(in8, 0) AS in8,
+    coalesce(too_long, false) AS too_long
+  FROM texts LEFT JOIN counts USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * in8 > 30 * n_words OR too_long) AS kept
+FROM measures
+"""
+
+OP7 = rf"""
+WITH digests AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n,
+    sha256(regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id,
+  first_value(doc_id) OVER best AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  doc_id = first_value(doc_id) OVER best AS kept,
+  text_sha256
+FROM digests
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
+
+OP8 = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+),
+first_of AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+  FROM payloads
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM first_of
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_repetition_rules": OP5, "op7_exact_dedup": OP7, "op8_warc": OP8}

@@ -56,7 +56,8 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.quality(table(spark, sf_dir, "documents"))
+    judged = repetition.quality(table(spark, sf_dir, "documents"))
+    return judged.drop("covered_words", "longest_repeat")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ class Limits:
     longest_repeat: int = 60
 
 
+#: Text for one suffix array; the arrays take about a hundred bytes for each byte of it.
+SLICE_BYTES = 1_000_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
 
@@ -150,7 +152,7 @@ def quality(
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = verdicts(text_bytes(batch.column("text")), limits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(found[name]) for name in schema.names[1:])], names=schema.names
@@ -163,7 +165,7 @@ def keep_good(docs: DataFrame, limits: Limits = Limits(), text_column: str = "te
     """The rows that pass, with all their columns, in one pass without a shuffle."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_column):
+        for batch in slices(batches, text_column, SLICE_BYTES):
             kept = verdicts(text_bytes(batch.column(text_column)), limits)["kept"]
             yield batch.filter(pa.array(kept))
 

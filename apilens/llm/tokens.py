@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words kept in memory per generation; at most two generations are held.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 _LETTERS_AND_MARKS = re.compile(
     r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-;=?@\[-`{}~]*)", re.DOTALL
