@@ -16,7 +16,10 @@ METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 BODY_METHODS = ("POST", "PUT", "PATCH")
 
 HEADER_END = "\r\n\r\n"
-LENGTH_HEADER = r"(?im)^[ \t]*content-length[ \t]*:[ \t]*([0-9]{1,18})[ \t]*\r?$"
+# Header lines end at CR LF only and the start line is none; any number of digits.
+LENGTH_HEADER = r"(?i)\r\n[ \t]*content-length[ \t]*:[ \t]*0*([0-9]+)[ \t]*(?=\r\n|\z)"
+# What a length of more than 18 digits counts as: more than any message has.
+UNREACHABLE_LENGTH = (1 << 62) - 1
 
 
 def is_http_request(text: Column) -> Column:
@@ -39,8 +42,13 @@ def header_text(message: Column, head_length: Column | None = None) -> Column:
 
 
 def content_length(head: Column) -> Column:
-    """First well-formed Content-Length in the header text; null when there is none."""
-    return F.regexp_extract(head, LENGTH_HEADER, 1).try_cast("bigint")
+    """First well-formed Content-Length in the header text; null when there is none.
+
+    Leading zeros do not count. A number beyond 18 digits is announced all the same: such a message is
+    never complete.
+    """
+    digits = F.regexp_extract(head, LENGTH_HEADER, 1)
+    return F.when(F.length(digits) > 18, F.lit(UNREACHABLE_LENGTH)).otherwise(digits.try_cast("bigint"))
 
 
 def message_length(message: Column) -> Column:
@@ -109,7 +117,7 @@ def status_line(line: Column) -> Column:
 
 def header_pairs(head: Column) -> Column:
     """``array<struct<key, value>>`` of the header lines; lines without a colon are skipped."""
-    lines = F.filter(F.slice(F.split(head, "\r\n"), 2, 1 << 30), lambda line: line.contains(":"))
+    lines = F.filter(F.split(head, "\r\n"), lambda line, at: (at > 0) & line.contains(":"))
     return F.transform(
         lines,
         lambda line: F.struct(
@@ -126,7 +134,7 @@ def header_map(pairs: Column) -> Column:
     """
     names = pairs["key"]
     last_of_name = F.filter(
-        pairs, lambda pair, at: ~F.array_contains(F.slice(names, at + 2, 1 << 30), pair["key"])
+        pairs, lambda pair, at: ~F.array_contains(F.slice(names, at + 2, F.size(names)), pair["key"])
     )
     return F.when(
         F.size(F.array_distinct(names)) == F.size(pairs), F.map_from_entries(pairs)

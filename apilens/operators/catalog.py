@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apilens.functions.paths import (
@@ -97,13 +97,18 @@ def match_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
+def _endpoint() -> Column:
+    """A request without a path asks for the root."""
+    return F.coalesce("endpoint", F.lit("/"))
+
+
 def match_catalog(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Add ``match_path``, ``matched_path`` and ``endpoint_id`` to mapped requests.
 
     Matching runs on distinct paths; the result returns to the requests by one equi join.
     """
     keyed = requests.withColumn(
-        "match_path", norm_path(strip_query(F.col("endpoint")))
+        "match_path", norm_path(strip_query(_endpoint()))
     ).withColumn("match_method", norm_method(F.col("method")))
     paths = keyed.select(
         *INSTANCE, F.col("match_method").alias("method"), F.col("match_path").alias("path")
@@ -126,7 +131,7 @@ def plan_catalog_actions(matched: DataFrame) -> DataFrame:
         .otherwise(COMMIT)
     )
     template = (
-        F.when(matched_path.isNull(), path_template(norm_path(F.col("endpoint"))))
+        F.when(matched_path.isNull(), path_template(norm_path(_endpoint())))
         .when(F.col("endpoint_id").isNull(), F.lit(None).cast("string"))
         .otherwise(path_template(matched_path))
     )

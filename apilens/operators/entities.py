@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from apilens.staging import staged
+
 
 def list_with_count(table: DataFrame) -> DataFrame:
     """All rows, each with the number of rows; the list itself is never collected."""
@@ -125,24 +127,27 @@ def order_product_info(order_id: int, products: DataFrame) -> DataFrame:
     return products.select(F.lit(order_id).cast("bigint").alias("order_id"), *products.columns)
 
 
-def numbered(table: DataFrame, by: str, block: int = 1 << 16) -> DataFrame:
-    """Add ``number`` = 1, 2, 3, ... in the order of the unique integer column ``by``.
+def numbered(table: DataFrame, by: str) -> DataFrame:
+    """Add ``number`` = 1, 2, 3, ... in the order of the unique column ``by``.
 
-    Rows are numbered inside key blocks (at most ``block`` rows each, as keys are unique) and
-    shifted by the sizes of the blocks before; only one row per block meets in one place.
+    Rows are sorted into ranges of the key and numbered inside their range; one row per range, so no more
+    than there are partitions, meets in one place to give the ranges their offsets. The sorted rows are
+    stored, as another sampling of the ranges could cut them elsewhere.
     """
-    blocked = table.withColumn("_block", F.floor(F.col(by) / F.lit(block)))
-    sizes = blocked.groupBy("_block").agg(F.count("*").alias("_size"))
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    ranges = staged(
+        table.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id()), "ranges"
+    )
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
+        "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    inside = F.row_number().over(W.partitionBy("_block").orderBy(by))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(by))
     return (
-        blocked.withColumn("_inside", inside)
-        .join(offsets, "_block")
+        ranges.withColumn("_inside", inside)
+        .join(offsets, "_range")
         .withColumn("number", F.col("_offset") + F.col("_inside"))
-        .drop("_block", "_inside", "_offset")
+        .drop("_range", "_inside", "_offset")
     )
 
 
@@ -176,21 +181,41 @@ def insert_rows(
 
 
 def update_rows(
-    table: DataFrame, changes: DataFrame, renamed: Mapping[str, str] | None = None
+    table: DataFrame,
+    changes: DataFrame,
+    renamed: Mapping[str, str] | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Given (non-null) fields of ``changes`` overwrite those of the row with the same ``id``.
 
+    Of several changes of one field of a row the last by the column ``order`` counts (without that column the
+    greatest value). Changes of ids that the table lacks change nothing, see :func:`unknown_changes`.
+
     ``renamed`` maps other field names in the changes to columns; columns the table does not have
     are left out. Serves full updates and patches alike: a DataFrame has a fixed set of columns.
     """
     new = changes.withColumnsRenamed(dict(renamed or {}))
     given = [c for c in table.columns if c != "id" and c in new.columns]
-    new = new.select("id", *[F.col(c).alias(f"_new_{c}") for c in given])
+    # max_by skips rows whose rank is null, so fields that a change leaves out do not count
+    new = new.groupBy("id").agg(
+        *[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order or c))).alias(f"_new_{c}")
+            for c in given
+        ]
+    )
     return table.join(new, "id", "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in given else F.col(c) for c in table.columns]
     )
 
 
+def unknown_changes(table: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ids of changes (answered with 404) that the table does not have."""
+    return (
+        changes.select("id").distinct().join(table.select("id"), "id", "left_anti")
+        .select("id", F.lit(404).alias("status_code"))
+    )
+
+
 def delete_rows(table: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(remaining rows, deleted rows)``."""
     return table.join(ids, "id", "left_anti"), table.join(ids, "id", "left_semi")

@@ -15,6 +15,7 @@ the bytes that were left open at the end of a chunk are handed to the next one:
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from apilens.functions.http import METHODS
+from apilens.functions.http import METHODS, UNREACHABLE_LENGTH
 from apilens.sources.segments import FLOW, non_empty
 from apilens.staging import staged
 
@@ -34,7 +35,11 @@ _RESTART = re.compile(
     rb"(?:" + b"|".join(_HEADS[:-1]) + rb") (?:/|\*|http)|HTTP/[0-9]\.[0-9] [0-9]"
 )
 _LONGEST_RESTART = 12
-_LENGTH = re.compile(rb"(?im)^[ \t]*content-length[ \t]*:[ \t]*([0-9]{1,18})[ \t]*\r?$")
+# The rule of apilens.functions.http.LENGTH_HEADER on bytes.
+_LENGTH = re.compile(rb"(?i)\r\n[ \t]*content-length[ \t]*:[ \t]*0*([0-9]+)[ \t]*(?=\r\n|\Z)")
+_CHUNKED = re.compile(rb"(?i)\r\n[ \t]*transfer-encoding[ \t]*:[^\r\n]*chunked[ \t]*(?=\r\n|\Z)")
+_CHUNK_SIZE = re.compile(rb"[ \t]*([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?\Z")
+_LONGEST_SIZE_LINE = 4096
 _CODE = re.compile(rb"^\S+\s+[0-9]+(?:\s|$)")
 
 FRESH = b"\x00"
@@ -43,9 +48,10 @@ FRESH = b"\x00"
 class Framer:
     """Cuts the bytes of one flow into messages; the state is the bytes not yet used.
 
-    A message ends after its Content-Length. Without one it ends with the segment that completed
-    its headers, unless a further message starts right there. Bytes that start no message are
-    dropped up to the next place where one can start.
+    A message ends after its Content-Length, or after its last chunk if it is sent in chunks; chunks leave as
+    one plain body. Without either it ends with the segment that completed its headers, unless a further
+    message starts right there. Bytes that start no message are dropped up to the next place where one can
+    start.
     """
 
     def __init__(self, state: bytes = FRESH):
@@ -53,6 +59,12 @@ class Framer:
         self.open = bytearray(state[1:])
         self.need = 0
         self.scanned = 0
+        self._restart_chunks()
+
+    def _restart_chunks(self) -> None:
+        # the end of the chunks that are complete, and where their content lies
+        self.chunk_at = 0
+        self.content: list[tuple[int, int]] = []
 
     @property
     def state(self) -> bytes:
@@ -62,8 +74,40 @@ class Framer:
         piece = bytes(self.open[:count])
         del self.open[:count]
         self.need = self.scanned = 0
+        self._restart_chunks()
         return piece
 
+    def _chunks(self, body: int) -> int | None:
+        """Where a body in chunks ends, -1 if it is no such body, None while it is open."""
+        at = self.chunk_at or body
+        while True:
+            end = self.open.find(b"\r\n", at)
+            if end < 0:
+                self.chunk_at = at
+                return -1 if len(self.open) - at > _LONGEST_SIZE_LINE else None
+            size = _CHUNK_SIZE.match(bytes(self.open[at:end]))
+            if size is None or len(size.group(1).lstrip(b"0")) > 15:
+                return -1
+            length = int(size.group(1), 16)
+            if not length:
+                # trailer lines up to an empty one
+                if self.open.startswith(b"\r\n", end + 2):
+                    return end + 4
+                last = self.open.find(b"\r\n\r\n", end + 2)
+                self.chunk_at = at
+                return last + 4 if last >= 0 else None
+            following = end + 2 + length + 2
+            if len(self.open) < following:
+                self.chunk_at, self.need = at, following
+                return None
+            if self.open[following - 2 : following] != b"\r\n":
+                return -1
+            self.content.append((end + 2, following - 2))
+            at = following
+
+    def _plain(self, head_end: int) -> bytes:
+        return bytes(self.open[:head_end]) + b"".join(self.open[a:b] for a, b in self.content)
+
     def feed(self, payload: bytes) -> Iterator[tuple[str, bytes]]:
         """Add one segment; yields ('message' | 'reject', bytes)."""
         self.open += payload
@@ -89,9 +133,23 @@ class Framer:
                 self.scanned = max(0, len(self.open) - 3)
                 return
             head = bytes(self.open[:end])
+            first = head.split(b"\r\n", 1)[0]
+            whole = _CODE.match(first) if head.startswith(b"HTTP/") else len(first.split()) >= 2
             length = _LENGTH.search(head)
+            if _CHUNKED.search(head):
+                total = self._chunks(end + 4)
+                if total is None:
+                    self.scanned = end
+                    return
+                if total >= 0:
+                    plain = self._plain(end + 4)
+                    self._take(total)
+                    yield ("message" if whole else "reject"), plain
+                    continue
+                self._restart_chunks()
             if length:
-                self.need = end + 4 + int(length.group(1))
+                digits = length.group(1)
+                self.need = end + 4 + (UNREACHABLE_LENGTH if len(digits) > 18 else int(digits))
                 if len(self.open) < self.need:
                     self.scanned = end
                     return
@@ -100,14 +158,12 @@ class Framer:
                 total = end + 4
             else:
                 total = len(self.open)
-            first = head.split(b"\r\n", 1)[0]
-            whole = _CODE.match(first) if head.startswith(b"HTTP/") else len(first.split()) >= 2
             yield ("message" if whole else "reject"), self._take(total)
 
 
 _FRAMED = (
     "flow string, chunk bigint, ts_us bigint, seq bigint, n int, kind string, data binary, "
-    "entry binary"
+    "entry binary, first_us bigint"
 )
 _FRAMED_ARROW = pa.schema(
     [
@@ -119,16 +175,20 @@ _FRAMED_ARROW = pa.schema(
         ("kind", pa.string()),
         ("data", pa.binary()),
         ("entry", pa.binary()),
+        ("first_us", pa.int64()),
     ]
 )
 _BATCH_BYTES = 16 << 20
 
 
-def _frame_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frame a partition sorted by (flow, chunk, arrival); one chunk's state at a time."""
+def _frame_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator[pa.RecordBatch]:
+    """Frame a partition sorted by (flow, chunk, arrival); one chunk's state at a time.
+
+    After a silence of more than ``idle_us`` inside a chunk the flow starts anew.
+    """
     rows: list[tuple] = []
     size = 0
-    key, framer, entry, last = None, Framer(), FRESH, (0, 0)
+    key, framer, entry, first, last = None, Framer(), FRESH, None, (0, 0)
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
@@ -143,57 +203,80 @@ def _frame_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for flow, chunk, carried, ts_us, seq, payload in zip(*columns, strict=True):
             if (flow, chunk) != key:
                 if key is not None:
-                    rows.append((*key, *last, 0, "edge", framer.state, entry))
-                key, framer, entry, last = (flow, chunk), Framer(), FRESH, (0, 0)
+                    rows.append((*key, *last, 0, "edge", framer.state, entry, first))
+                key, framer, entry, first, last = (flow, chunk), Framer(), FRESH, None, (0, 0)
+            seq = seq or 0
+            if first is not None and chunk != _BEFORE_ALL and ts_us - last[0] > idle_us:
+                if len(framer.state) > 1:
+                    rows.append((*key, last[0], 0, 0, "open", framer.state[1:], None, None))
+                framer = Framer()
             last = max(last, (ts_us, seq))
             if carried:
                 framer, entry = Framer(payload), payload
+                first = ts_us if chunk == _BEFORE_ALL else first
                 continue
+            first = ts_us if first is None else first
             for n, (kind, data) in enumerate(framer.feed(payload)):
-                rows.append((flow, chunk, ts_us, seq, n, kind, data, None))
+                rows.append((flow, chunk, ts_us, seq, n, kind, data, None, None))
                 size += len(data)
             if size > _BATCH_BYTES or len(rows) >= 10_000:
                 yield flush()
                 rows, size = [], 0
     if key is not None:
-        rows.append((*key, *last, 0, "edge", framer.state, entry))
+        rows.append((*key, *last, 0, "edge", framer.state, entry, first))
     if rows:
         yield flush()
 
 
-def _frame(keyed: DataFrame) -> DataFrame:
-    # A given number of partitions is left alone by adaptive coalescing, which looks at bytes and
-    # would put work that is bound by Python's speed on too few cores.
-    spark = keyed.sparkSession
-    partitions = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+def _frame(keyed: DataFrame, idle_us: int) -> DataFrame:
     return (
-        keyed.repartition(partitions, "flow", "chunk")
+        keyed.repartition("flow", "chunk")
         .sortWithinPartitions(
             "flow", "chunk", F.desc("carried"), "ts_us", "seq", "payload"
         )
-        .mapInArrow(_frame_sorted, _FRAMED)
+        .mapInArrow(functools.partial(_frame_sorted, idle_us=idle_us), _FRAMED)
     )
 
 
-def _stale(edges: DataFrame) -> DataFrame:
-    """Chunks whose entry is not the open bytes of the chunk before, with those bytes.
+def _in_order(edges: DataFrame, idle_us: int) -> DataFrame:
+    """Edges of all chunks, without their bytes, next to the chunk before: (flow, chunk, before, expected,
+    used, closes).
 
-    The window sees digests only; the bytes come back by an equi join.
+    A flow that was silent for longer than ``idle_us`` starts anew: its next chunk gets nothing, and what was
+    open before is closed.
     """
     order = W.partitionBy("flow").orderBy("chunk")
     marks = edges.select(
-        "flow", "chunk", F.sha2("data", 256).alias("exit"), F.sha2("entry", 256).alias("used")
+        "flow",
+        "chunk",
+        "first_us",
+        "ts_us",
+        F.sha2("data", 256).alias("exit"),
+        F.sha2("entry", 256).alias("used"),
     )
-    stale = marks.select(
+    silent = F.col("first_us") - F.lag("ts_us").over(order) > idle_us
+    closes = F.lead("first_us").over(order) - F.col("ts_us") > idle_us
+    return marks.select(
         "flow",
         "chunk",
         F.lag("chunk").over(order).alias("before"),
-        (F.lag("exit").over(order) != F.col("used")).alias("stale"),
-    ).filter("stale")
-    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("carry"))
-    return stale.join(exits, ["flow", "before"]).select("flow", "chunk", "carry")
+        F.when(silent, F.sha2(F.lit(FRESH), 256)).otherwise(F.lag("exit").over(order)).alias("expected"),
+        silent.alias("silent"),
+        "used",
+        F.coalesce(closes, F.lit(False)).alias("closes"),
+    )
+
+
+def _stale(edges: DataFrame, idle_us: int) -> DataFrame:
+    """Chunks whose entry is not what the chunk before left open, with those bytes.
+
+    The window sees digests only; the bytes come back by an equi join.
+    """
+    stale = _in_order(edges, idle_us).filter("expected <> used")
+    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("left"))
+    return stale.join(exits, ["flow", "before"]).select(
+        "flow", "chunk", F.when(F.col("silent"), F.lit(FRESH)).otherwise(F.col("left")).alias("carry")
+    )
 
 
 # Flows with unused bytes: what is left over after one batch of segments and opens the next.
@@ -201,19 +284,59 @@ OPEN_FLOWS = "flow string, ts_us bigint, state binary"
 _BEFORE_ALL = -(1 << 62)
 
 
-def reassemble(segments: DataFrame, chunk: str = "1 minute") -> DataFrame:
-    """Whole messages and rejected bytes of all flows.
+# Silence after which a flow starts anew, in batch plans and in streams.
+IDLE_SECONDS = 600
+
+
+def reassemble(
+    segments: DataFrame, chunk: str = "1 minute", idle_seconds: int = IDLE_SECONDS
+) -> DataFrame:
+    """Whole messages, rejected bytes and unfinished messages of all flows.
 
     Input: :data:`apilens.schemas.SEGMENTS`, copies already removed. Output: the flow columns,
     ``ts`` and ``seq`` of the completing segment, ``n`` (ordinal inside that segment), ``kind``
-    (``message`` or ``reject``) and ``data``. ``chunk`` is the length of a time chunk: it bounds
-    the part of a flow that one task handles and has no influence on the result.
+    (``message``, ``reject`` or ``open``) and ``data``. ``chunk`` is the length of a time chunk: it bounds
+    the part of a flow that one task handles and has no influence on the result. A flow that is silent for
+    more than ``idle_seconds`` starts anew, as its port may serve another connection then; what it had
+    begun comes out as ``open``, and so does what is unfinished at the end.
+
+    This is a job, not only a plan: the rounds run before it returns.
     """
-    return reassemble_onto(segments, None, chunk)[0]
+    framed, left = reassemble_onto(segments, None, chunk, idle_seconds)
+    return framed.unionByName(_opened(left.select("flow", "ts_us", F.col("state").alias("data"))))
+
+
+def _opened(flows: DataFrame) -> DataFrame:
+    """Unfinished bytes (flow, ts_us, data as a framer's state) as rows of the result."""
+    bytes_only = F.substr("data", F.lit(2))
+    rows = flows.select(
+        "flow", "ts_us", F.lit(0).cast("bigint").alias("seq"), F.lit(0).alias("n"), F.lit("open").alias("kind"),
+        bytes_only.alias("data"),
+    )
+    return _named(rows.filter(F.length("data") > 0))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    flow = F.split("flow", r"\|")
+    return rows.select(
+        flow[0].alias("node"),
+        flow[1].alias("src_ip"),
+        flow[2].cast("int").alias("src_port"),
+        flow[3].alias("dst_ip"),
+        flow[4].cast("int").alias("dst_port"),
+        F.timestamp_micros("ts_us").alias("ts"),
+        "seq",
+        "n",
+        "kind",
+        "data",
+    )
 
 
 def reassemble_onto(
-    segments: DataFrame, open_flows: DataFrame | None, chunk: str = "1 minute"
+    segments: DataFrame,
+    open_flows: DataFrame | None,
+    chunk: str = "1 minute",
+    idle_seconds: int = IDLE_SECONDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`reassemble`, for segments that continue ``open_flows`` (:data:`OPEN_FLOWS`).
 
@@ -221,6 +344,7 @@ def reassemble_onto(
     chunk before all others.
     """
     ts_us = F.unix_micros("ts")
+    idle_us = idle_seconds * 1_000_000
     width = F.lit(_microseconds(chunk))
     keyed = non_empty(segments).select(
         F.concat_ws("|", *FLOW).alias("flow"),
@@ -241,11 +365,11 @@ def reassemble_onto(
                 F.col("state").alias("payload"),
             )
         )
-    rounds = [staged(_frame(keyed).withColumn("round", F.lit(0)), "framed", ("kind",))]
+    rounds = [staged(_frame(keyed, idle_us).withColumn("round", F.lit(0)), "framed", ("kind",))]
     edges = rounds[0].filter("kind = 'edge'")
     replaced = None
     while True:
-        stale = staged(_stale(edges), "stale")
+        stale = staged(_stale(edges, idle_us), "stale")
         if stale.isEmpty():
             break
         names = stale.select("flow", "chunk")
@@ -260,7 +384,7 @@ def reassemble_onto(
         again = keyed.join(names, ["flow", "chunk"], "left_semi").unionByName(carried)
         number = len(rounds)
         redone = staged(
-            _frame(again).withColumn("round", F.lit(number)), "framed", ("kind",)
+            _frame(again, idle_us).withColumn("round", F.lit(number)), "framed", ("kind",)
         )
         outdated = (
             edges.join(names, ["flow", "chunk"], "left_semi").select("flow", "chunk", "round")
@@ -271,6 +395,9 @@ def reassemble_onto(
         rounds.append(redone)
         edges = _latest([r.filter("kind = 'edge'") for r in rounds], replaced)
     result = _latest([r.filter("kind <> 'edge'") for r in rounds], replaced)
+    closed = edges.join(
+        _in_order(edges, idle_us).filter("closes").select("flow", "chunk"), ["flow", "chunk"], "left_semi"
+    ).select("flow", "ts_us", "data")
     left = (
         edges.groupBy("flow")
         .agg(
@@ -279,20 +406,7 @@ def reassemble_onto(
         .filter(F.col("state") != F.lit(FRESH))
         .select("flow", "ts_us", "state")
     )
-    flow = F.split("flow", r"\|")
-    framed = result.select(
-        flow[0].alias("node"),
-        flow[1].alias("src_ip"),
-        flow[2].cast("int").alias("src_port"),
-        flow[3].alias("dst_ip"),
-        flow[4].cast("int").alias("dst_port"),
-        F.timestamp_micros("ts_us").alias("ts"),
-        "seq",
-        "n",
-        "kind",
-        "data",
-    )
-    return framed, left
+    return _named(result).unionByName(_opened(closed)), left
 
 
 def _latest(rounds: list[DataFrame], replaced: DataFrame | None) -> DataFrame:

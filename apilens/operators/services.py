@@ -61,9 +61,21 @@ def with_service(records: DataFrame, directory: DataFrame) -> DataFrame:
     )
 
 
+def last_mappings(mappings: DataFrame, order: str = "position") -> DataFrame:
+    """One entry per service: the last by the column ``order`` where there is one, else the greatest."""
+    ids = F.struct("appId", "instanceId")
+    rank = F.struct(order, ids) if order in mappings.columns else ids
+    return mappings.groupBy("service").agg(F.max_by(ids, rank).alias("last")).select(
+        "service", "last.appId", "last.instanceId"
+    )
+
+
 def overlay_mappings(base: DataFrame, saved: DataFrame) -> DataFrame:
-    """Base mappings with saved ones laid over; a saved entry replaces the whole base entry."""
-    old, new = base.alias("old"), saved.alias("new")
+    """Base mappings with saved ones laid over; a saved entry replaces the whole base entry.
+
+    Each side may name a service more than once, see :func:`last_mappings`.
+    """
+    old, new = last_mappings(base).alias("old"), last_mappings(saved).alias("new")
     taken = F.col("new.service").isNotNull()
     return old.join(new, F.col("old.service") == F.col("new.service"), "full").select(
         F.coalesce("new.service", "old.service").alias("service"),

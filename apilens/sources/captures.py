@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apilens import schemas
 from apilens.functions.values import iso_utc
+from apilens.staging import staged
 
 # Fixed value: prefix of capture records in a log.
 LOG_PREFIX = "ENDPOINT_CAPTURE: "
+_BROKEN = "_broken_line"
 
 
 def _record_columns() -> list[Column]:
@@ -25,15 +29,20 @@ def _record_columns() -> list[Column]:
 def parse_capture_lines(lines: DataFrame) -> DataFrame:
     """Text lines (``value``) to records; blank lines and lines that do not parse are skipped.
 
-    Every record carries an id, so a line without one did not parse.
+    Every field of a record may be missing. Other columns of ``lines`` stay.
     """
-    record = F.from_json(F.trim("value"), schemas.CAPTURE_RECORD, {"mode": "PERMISSIVE"})
+    record = F.from_json(
+        F.trim("value"),
+        f"{schemas.CAPTURE_RECORD}, {_BROKEN} string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN},
+    )
+    given = [c for c in lines.columns if c != "value"]
     return (
-        lines.filter(F.trim("value") != "")
-        .select(record.alias("r"))
-        .filter(F.col("r.id").isNotNull())
-        .select("r.*")
-        .select(*_record_columns())
+        lines.filter(F.trim("value").startswith("{"))
+        .select(record.alias("r"), *given)
+        .filter(F.col(f"r.{_BROKEN}").isNull())
+        .select("r.*", *given)
+        .select(*_record_columns(), *given)
     )
 
 
@@ -42,11 +51,39 @@ def read_captures(spark: SparkSession, *paths: str) -> DataFrame:
     return parse_capture_lines(spark.read.text(list(paths)))
 
 
+def read_positioned_captures(spark: SparkSession, *paths: str) -> DataFrame:
+    """Capture files with the ``position`` (from 1) of every record among all lines.
+
+    Files count by age, then name, so records keep their positions when files are added. Lines are numbered
+    inside the pieces in which Spark reads files; only one row per piece meets in one place.
+    """
+    lines = staged(
+        spark.read.text(list(paths)).select(
+            "value",
+            F.col("_metadata.file_modification_time").alias("_age"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+            F.monotonically_increasing_id().alias("_line"),
+        ),
+        "capture-lines",
+    )
+    piece = ["_age", "_file", "_start"]
+    sizes = lines.groupBy(*piece).agg(F.min("_line").alias("_first"), F.count("*").alias("_size"))
+    before = W.orderBy(*piece).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *piece, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
+    )
+    placed = lines.join(offsets, piece).select(
+        "value", (F.col("_line") + F.col("_shift") + 1).alias("position")
+    )
+    return parse_capture_lines(placed)
+
+
 def read_capture_log(spark: SparkSession, *paths: str) -> DataFrame:
     """Records from log files, where other lines may stand between them."""
     lines = spark.read.text(list(paths)).filter(F.col("value").startswith(LOG_PREFIX))
     return parse_capture_lines(
-        lines.select(F.substring(F.col("value"), len(LOG_PREFIX) + 1, 1 << 30).alias("value"))
+        lines.select(F.substr(F.col("value"), F.lit(len(LOG_PREFIX) + 1)).alias("value"))
     )
 
 
@@ -82,8 +119,11 @@ def write_extract_report(projected: DataFrame, metadata: DataFrame, path: str) -
 
 def read_position(spark: SparkSession, path: str) -> int:
     """Stored extract position; missing or unreadable gives 0."""
-    table = spark.read.schema("value string").text(path) if _exists(spark, path) else None
-    if table is None:
+    try:
+        table = spark.read.schema("value string").text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
     state = F.from_json("value", "lastCount bigint, lastExtracted string")
     row = table.select(F.coalesce(F.max(state["lastCount"]), F.lit(0))).first()
@@ -98,7 +138,3 @@ def write_position(records: DataFrame, path: str) -> None:
         ).alias("value")
     ).coalesce(1).write.mode("overwrite").text(path)
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)

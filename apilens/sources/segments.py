@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apilens import schemas
@@ -95,14 +96,28 @@ def select_interfaces(df: DataFrame) -> DataFrame:
     )
 
 
-def dedup_segments(segments: DataFrame) -> DataFrame:
-    """One row per (flow, seq, payload) on a node: the earliest copy.
+def dedup_segments(segments: DataFrame, gap_seconds: int = 10) -> DataFrame:
+    """Of copies of a segment on a node the earliest: same flow, seq and payload, and no more than
+    ``gap_seconds`` after the copy before. What comes later is a new segment (a reused port, a wrapped
+    seq); so is every segment whose seq is unknown (null).
 
-    ``min(ts)`` combines copies before the shuffle, so a segment that is repeated very often
-    costs one row per input partition.
+    Copies inside a stretch of ``gap_seconds`` combine before the shuffle, so a segment that is repeated
+    very often costs one row per input partition.
     """
-    copies = segments.groupBy(*FLOW, "seq", "payload").agg(F.min("ts").alias("ts"))
-    return copies.select("ts", *FLOW, "seq", "payload")
+    width = gap_seconds * 1_000_000
+    copy = [*FLOW, "seq", "payload"]
+    ts_us = F.unix_micros("ts")
+    stretches = (
+        segments.filter(F.col("seq").isNotNull())
+        .groupBy(*copy, F.floor(ts_us / F.lit(width)).alias("stretch"))
+        .agg(F.min("ts").alias("ts"), F.max("ts").alias("last"))
+    )
+    before = F.lag("last").over(W.partitionBy(*copy).orderBy("stretch"))
+    first = stretches.withColumn("before", before).filter(
+        F.col("before").isNull() | (ts_us - F.unix_micros("before") > width)
+    )
+    unknown = segments.filter(F.col("seq").isNull())
+    return first.select("ts", *copy).unionByName(unknown.select("ts", *copy))
 
 
 def flow_key(*parts: Column) -> Column:

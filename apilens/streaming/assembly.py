@@ -47,7 +47,8 @@ def assemble_batch(
     """Micro-batch function: state version ``n - 1`` and the segments give records and version ``n``.
 
     A repeated micro-batch writes the same again. State of flows and connections that have been
-    silent for ``idle_seconds`` is dropped.
+    silent for ``idle_seconds`` is dropped; a flow that goes on after such a silence starts anew, as
+    in the batch plan.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -55,7 +56,7 @@ def assemble_batch(
         newest = batch.agg(F.unix_micros(F.max("ts"))).first()[0] or 0
         oldest = newest - idle_seconds * 1_000_000
         open_flows = spark.read.schema(OPEN_FLOWS).parquet(_version(root, "open", number - 1))
-        framed, left = reassemble_onto(dedup_segments(batch), open_flows)
+        framed, left = reassemble_onto(dedup_segments(batch), open_flows, idle_seconds=idle_seconds)
         left.filter(F.col("ts_us") >= oldest).write.mode("overwrite").parquet(
             _version(root, "open", number)
         )

@@ -185,6 +185,12 @@ def test_mapping_precedence(spark):
     assert [r.service for r in services.usable_mappings(over).collect()] == ["d"]
     merged = services.merge_mappings(saved, table([("a", "5", "5")]))
     assert {r.service: r.appId for r in merged.collect()} == {"a": "5", "d": "2"}
+    twice = table([("a", "1", "1"), ("a", "3", "3"), ("a", "2", "2")]).withColumn(
+        "position", F.when(F.col("appId") == "1", 9).otherwise(1)
+    )
+    once = services.overlay_mappings(twice, table([]))
+    assert [(r.service, r.appId) for r in once.collect()] == [("a", "1")]
+    assert [r.appId for r in services.last_mappings(twice.drop("position")).collect()] == ["3"]
     asked = spark.createDataFrame([("a",), ("d",)], "service string")
     assert [r[0] for r in services.configured_services(asked, over).collect()] == ["d"]
 

@@ -1,4 +1,4 @@
-"""Entity queries on the demo services' own rows and random tables."""
+"""Entity queries on small and random tables."""
 
 import random
 
@@ -6,14 +6,13 @@ import pytest
 
 from apilens.operators import entities
 
-# Rows of the demo tables.
-USERS = [(1, "Alice", "alice@example.com", "admin", "active"),
-         (2, "Bob", "bob@example.com", "user", "active"),
-         (3, "Charlie", "charlie@example.com", "user", "inactive")]
-ORDERS = [(1, 1, 1999.98, "completed"), (2, 1, 29.99, "pending"), (3, 2, 79.99, "completed")]
-PRODUCTS = [(1, "Laptop", 999.99, 10), (2, "Mouse", 29.99, 50), (3, "Keyboard", 79.99, 25)]
-CUSTOMERS = [(1, "John Doe", 150.50, "pending"), (2, "Jane Smith", 75.25, "completed"),
-             (3, "Bob Johnson", 200.00, "processing")]
+USERS = [(1, "Nilay", "nilay@post.example", "admin", "active"),
+         (2, "Tom", "tom@post.example", "user", "active"),
+         (3, "Camila", "camila@post.example", "user", "inactive")]
+ORDERS = [(1, 1, 12.5, "completed"), (2, 1, 3.25, "pending"), (3, 2, 40.0, "completed")]
+PRODUCTS = [(1, "Lamp", 88.0, 10), (2, "Moss", 3.25, 50), (3, "Kettle", 40.0, 25)]
+CUSTOMERS = [(1, "Eve Hill", 61.5, "pending"), (2, "Kim Frost", 18.75, "completed"),
+             (3, "Tom Stone", 7.0, "processing")]
 
 
 @pytest.fixture
@@ -50,23 +49,23 @@ def test_orders_of_users(spark, users, orders):
 
 
 def test_search(users, products):
-    rows = entities.search("LI", users, products).collect()
+    rows = entities.search("IL", users, products).collect()
     assert sorted((r.kind, r.name, r.total_results) for r in rows) == [
-        ("user", "Alice", 2), ("user", "Charlie", 2),
+        ("user", "Camila", 2), ("user", "Nilay", 2),
     ]
-    assert entities.search("mouse", users, products).count() == 1
+    assert entities.search("moss", users, products).count() == 1
     with pytest.raises(ValueError):
         entities.search("", users, products)
 
 
 def test_sales_report(customers):
-    assert tuple(entities.sales_report(customers).first()) == (75.25, 1, 3)
+    assert tuple(entities.sales_report(customers).first()) == (18.75, 1, 3)
     assert tuple(entities.sales_report(customers.filter("false")).first()) == (0.0, 0, 0)
 
 
 def test_user_details(users, customers):
     got = {r.order_id: r.user_name for r in entities.order_user_details(customers, users).collect()}
-    assert got == {1: None, 2: None, 3: "Bob"}
+    assert got == {1: None, 2: None, 3: "Tom"}
 
 
 def test_user_details_equals_trying_every_user(spark):
@@ -96,7 +95,7 @@ def test_user_details_equals_trying_every_user(spark):
 def test_numbered(spark):
     keys = random.Random(5).sample(range(-5000, 5000), 700)
     df = spark.createDataFrame([(k,) for k in keys], "k bigint")
-    got = {r.k: r.number for r in entities.numbered(df, "k", block=64).collect()}
+    got = {r.k: r.number for r in entities.numbered(df, "k").collect()}
     assert got == {k: n for n, k in enumerate(sorted(keys), 1)}
 
 
@@ -116,19 +115,34 @@ def test_insert(spark, users):
     assert sorted(r.id for r in empty.collect()) == [1, 2]
 
 
+def test_numbered_with_sparse_keys(spark):
+    keys = [n * 1_000_003 for n in range(-1000, 1000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(5)
+    got = {r.k: r.number for r in entities.numbered(df, "k").collect()}
+    assert got == {k: n + 1 for n, k in enumerate(keys)}
+
+
 def test_update_and_delete(spark, users):
     changes = spark.createDataFrame(
-        [(1, "Alice Updated", "alice.updated@example.com", "x"), (9, "Nobody", None, None)],
+        [(1, "Nilay Updated", "nilay.updated@post.example", "x"), (9, "Nobody", None, None)],
         "id bigint, fullName string, email string, extra string",
     )
     rows = {r.id: r for r in entities.update_rows(users, changes, {"fullName": "name"}).collect()}
     assert (rows[1].name, rows[1].email, rows[1].role) == (
-        "Alice Updated", "alice.updated@example.com", "admin",
+        "Nilay Updated", "nilay.updated@post.example", "admin",
+    )
+    assert rows[2].name == "Tom" and len(rows) == 3 and "extra" not in rows[1].asDict()
+    twice = spark.createDataFrame(
+        [(1, 1, "First", None), (1, 3, "Third", None), (1, 2, "Second", "new@x"), (8, 1, "Nobody", None)],
+        "id bigint, at int, name string, email string",
     )
-    assert rows[2].name == "Bob" and len(rows) == 3 and "extra" not in rows[1].asDict()
+    patched = entities.update_rows(users, twice, order="at")
+    rows = {r.id: r for r in patched.collect()}
+    assert len(rows) == 3 and (rows[1].name, rows[1].email) == ("Third", "new@x")
+    assert [tuple(r) for r in entities.unknown_changes(users, twice).collect()] == [(8, 404)]
     left, gone = entities.delete_rows(users, spark.createDataFrame([(3,), (9,)], "id bigint"))
     assert sorted(r.id for r in left.collect()) == [1, 2]
-    assert [r.name for r in gone.collect()] == ["Charlie"]
+    assert [r.name for r in gone.collect()] == ["Camila"]
 
 
 def test_product_info(products):

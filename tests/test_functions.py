@@ -23,7 +23,7 @@ def values(spark, inputs, make):
     return [r[0] for r in df.orderBy("at").select(make(C("x"))).collect()]
 
 
-UUID = "550e8400-e29b-41d4-a716-446655440000"
+UUID = "0a1b2c3d-4e5f-6071-8293-a4b5c6d7e8f9"
 
 
 def test_path_template(spark):
@@ -156,8 +156,16 @@ def test_content_length(spark):
         "POST / HTTP/1.1\r\nContent-Length: -4",
         "POST / HTTP/1.1\r\nContent-Length: +4",
         "POST / HTTP/1.1\r\nX-Content-Length: 4",
+        "POST / HTTP/1.1\r\nContent-Length: 0000000000000000003",
+        "POST / HTTP/1.1\r\nContent-Length: 9999999999999999999",
+        "POST / HTTP/1.1\r\nX: a\rContent-Length: 5",
+        "Content-Length: 5 HTTP/1.1\r\nHost: a",
+        "POST / HTTP/1.1\r\nContent-Length: 000\r\nHost: a",
+    ]
+    huge = http.UNREACHABLE_LENGTH
+    assert values(spark, heads, http.content_length) == [
+        12, 7, None, None, None, 3, huge, None, None, 0,
     ]
-    assert values(spark, heads, http.content_length) == [12, 7, None, None, None]
 
 
 def test_completeness(spark):

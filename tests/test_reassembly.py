@@ -155,8 +155,12 @@ def collected(df):
 @pytest.mark.parametrize(("seed", "chunk"), [(1, "1 microsecond"), (2, "200 millisecond"), (3, "1 hour")])
 def test_chunks_do_not_change_the_result(spark, seed, chunk):
     rows = random_traffic(seed)
-    got = reassemble(spark.createDataFrame(rows, schemas.SEGMENTS), chunk)
-    assert collected(got) == one_pass(rows)[0]
+    got = collected(reassemble(spark.createDataFrame(rows, schemas.SEGMENTS), chunk))
+    whole, unfinished = one_pass(rows)
+    assert [r for r in got if r[8] != "open"] == whole
+    assert {r[:5]: r[9] for r in got if r[8] == "open"} == {
+        flow: state[1:] for flow, state in unfinished.items() if len(state) > 1
+    }
 
 
 def test_one_flow_holding_everything(spark):
@@ -169,6 +173,78 @@ def test_one_flow_holding_everything(spark):
     assert messages_only(got).count() == 51 and rejects_only(got).count() == 0
 
 
+@pytest.mark.parametrize("chunk", ["1 second", "1 minute", "2 hours"])
+def test_silence_starts_a_flow_anew(spark, chunk):
+    """A port that is used again does not go on with the body that was never finished."""
+    rows = [
+        segment(0, post(b"x" * 100)[:60], seq=1),
+        segment(500_000, b"yy", seq=2),
+        segment(1_200_000, GET, seq=3),
+        segment(1_200_500, GET[:9], seq=4),
+    ]
+    df = spark.createDataFrame(rows, schemas.SEGMENTS)
+    got = collected(reassemble(df, chunk))
+    assert [(r[8], r[9]) for r in got] == [
+        ("open", post(b"x" * 100)[:60] + b"yy"),
+        ("message", GET),
+        ("open", GET[:9]),
+    ]
+    first, left = reassemble_onto(spark.createDataFrame(rows[:2], schemas.SEGMENTS), None, chunk)
+    second, rest = reassemble_onto(
+        spark.createDataFrame(rows[2:], schemas.SEGMENTS),
+        spark.createDataFrame(left.collect(), OPEN_FLOWS),
+        chunk,
+    )
+    assert collected(first) + collected(second) == got[:2]
+    assert [bytes(r.state)[1:] for r in rest.collect()] == [GET[:9]]
+
+
+LENGTHS = [
+    (b"0000000000000000003", b"abc", True),
+    (b"9" * 19, b"abc", False),
+    (b"1" * 5000, b"abc", False),
+    (b"3", b"abc", True),
+]
+
+
+@pytest.mark.parametrize(("digits", "body", "whole"), LENGTHS)
+def test_lengths_of_any_number_of_digits(digits, body, whole):
+    message = b"POST /p HTTP/1.1\r\nContent-Length: " + digits + b"\r\n\r\n" + body
+    out, framer = frame([message + GET])
+    assert out == ([("message", message), ("message", GET)] if whole else [])
+    assert framer.state[1:] == (b"" if whole else message + GET)
+
+
+@pytest.mark.parametrize("bad", [b"a\rContent-Length: 5", b"\xc2\x85Content-Length: 5", b"a\nContent-Length: 5"])
+def test_header_lines_end_at_crlf_only(spark, bad):
+    message = b"GET /a HTTP/1.1\r\nX: " + bad + b"\r\n\r\n"
+    out, framer = frame([message + GET])
+    assert out == [("message", message), ("message", GET)] and framer.state == FRESH
+    df = spark.createDataFrame(
+        [("n", "10.0.0.1", 1, "10.0.0.2", 80, START, 0, 0, message)],
+        "node string, src_ip string, src_port int, dst_ip string, dst_port int, ts timestamp, "
+        "seq bigint, n int, message binary",
+    )
+    assert http_records(parse_messages(df)).count() == 1
+
+
+def chunked(*parts, trailer=b""):
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: gzip, chunked\r\n\r\n"
+    body = b"".join(b"%x;a=b\r\n%s\r\n" % (len(p), p) for p in parts)
+    return head + body + b"0\r\n" + trailer + b"\r\n", head + b"".join(parts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40), max_size=4), st.sampled_from([b"", b"T: 1\r\n"]), st.data())
+def test_chunked_bodies(parts, trailer, data):
+    raw, plain = chunked(*parts, trailer=trailer)
+    whole = raw + post(b"1") + raw
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(whole)), max_size=12)))
+    pieces = [whole[a:b] for a, b in zip([0, *cuts], [*cuts, len(whole)], strict=True)]
+    out, framer = frame([p for p in pieces if p])
+    assert out == [("message", plain), ("message", post(b"1")), ("message", plain)] and framer.state == FRESH
+
+
 def test_two_batches_equal_one(spark):
     rows = sorted(random_traffic(4))
     want, left_open = one_pass(rows)
@@ -191,10 +267,15 @@ def test_dedup_keeps_the_first_copy(spark):
         segment(2, b"a", seq=1),
         segment(3, b"b", seq=1),
         segment(4, b"a", seq=2),
+        segment(9_500, b"a", seq=1),
+        segment(5 * 3_600_000, b"a", seq=1),
+        segment(7, b"n", seq=None),
+        segment(8, b"n", seq=None),
     ]
     got = seg.dedup_segments(spark.createDataFrame(rows, schemas.SEGMENTS))
     assert sorted((r.ts.replace(tzinfo=None), bytes(r.payload)) for r in got.collect()) == [
-        (at(m).replace(tzinfo=None), p) for m, p in [(2, b"a"), (3, b"b"), (4, b"a")]
+        (at(m).replace(tzinfo=None), p)
+        for m, p in [(2, b"a"), (3, b"b"), (4, b"a"), (7, b"n"), (8, b"n"), (18_000_000, b"a")]
     ]
 
 

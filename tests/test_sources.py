@@ -1,6 +1,7 @@
 """Readers and writers on files."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +30,27 @@ def test_capture_files_of_several_nodes(spark, tmp_path):
     assert rows[2].response_headers == {"A": "b"} and rows[0].ts.microsecond == 500_000
 
 
+def test_records_without_id(spark, tmp_path):
+    file = tmp_path / "one.json"
+    file.write_text("\n".join(['{"method": "PUT"}', "{}", "[]", "7", '"x"', "null", '{"method": "GET"', '{"status_code": "x"}']))
+    assert sorted(str(r.method) for r in captures.read_captures(spark, str(file)).collect()) == ["None", "PUT"]
+
+
+def test_positions_of_stored_captures(spark, tmp_path):
+    """Positions count lines over all files and stay as they are when files are added."""
+    first, second = tmp_path / "b.json", tmp_path / "a.json"
+    first.write_text("\n".join([record(n) for n in range(3000)] + ["broken", record(3000)]))
+    os.utime(first, (1_000, 1_000))
+    got = captures.read_positioned_captures(spark, str(tmp_path))
+    assert {int(r.id): r.position for r in got.collect()} == {n: n + 1 for n in range(3000)} | {3000: 3002}
+    path = str(tmp_path / "position")
+    captures.write_position(got, path)
+    second.write_text("\n".join(record(n) for n in range(5000, 5003)))
+    later = captures.read_positioned_captures(spark, str(first), str(second))
+    new = extract.new_since(later, captures.read_position(spark, path))
+    assert sorted((int(r.id), r.position) for r in new.collect()) == [(5000, 3003), (5001, 3004), (5002, 3005)]
+
+
 def test_capture_log(spark, tmp_path):
     log = tmp_path / "pod.log"
     log.write_text(f"starting\nENDPOINT_CAPTURE: {record(1)}\nENDPOINT_CAPTURE: oops\n{record(2)}\n")
