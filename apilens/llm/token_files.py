@@ -245,7 +245,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         index.join(bases, "file")
         .withColumn("start", F.col("base") + F.col("start_in_file"))
         .select("file", "doc_id", "start_in_file", "start", "n_tokens")
-        .repartition("file")
+        .repartition(max(1, totals.count()), "file")
         .sortWithinPartitions("file", "start_in_file")
     )
     return located.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")

@@ -181,7 +181,7 @@ def fit(
     return stored(
         texts.join(F.broadcast(sample), "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "label", "text")
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(learn, "feature long, weight double"),
         "toxicity-weights",
     )

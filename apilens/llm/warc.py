@@ -291,4 +291,5 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select("name")
-    return manifest.repartition("name").mapInArrow(read, _RECORDS)
+    # a task per file: rows of names are too small for Spark to tell how much work they are
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, _RECORDS)
