@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apilens.functions import http
+from apilens.operators.reassembly import IDLE_SECONDS
 from apilens.sources.segments import flow_key
 
 
@@ -100,11 +101,13 @@ def _connection() -> Column:
     )
 
 
-def correlate(records: DataFrame, chunk_seconds: int = 60) -> DataFrame:
+def correlate(
+    records: DataFrame, chunk_seconds: int = 60, idle_seconds: int = IDLE_SECONDS
+) -> DataFrame:
     """Give every response the latest earlier request of its connection.
 
-    The request stays available, so several responses may take the same one. A response without
-    any gets method ``UNKNOWN``, endpoint ``/`` and its destination address as host.
+    The request stays available, so several responses may take the same one, but not for longer than
+    ``idle_seconds``, for which streams remember it. A response without any gets method ``UNKNOWN``, endpoint ``/`` and its destination address as host.
 
     The as-of lookup is split in two so that a busy connection is spread over tasks: a window
     inside (connection, time chunk), then the last request of each earlier chunk, carried forward
@@ -112,7 +115,7 @@ def correlate(records: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     """
     connection, chunk = "_connection", "_chunk"
     request = F.struct(
-        F.col("method"), F.col("endpoint"), F.col("host"), F.col("service")
+        F.col("method"), F.col("endpoint"), F.col("host"), F.col("service"), F.col("ts")
     )
     keyed = records.withColumn(connection, _connection()).withColumn(
         chunk, F.floor(F.unix_micros("ts") / F.lit(chunk_seconds * 1_000_000))
@@ -140,6 +143,8 @@ def correlate(records: DataFrame, chunk_seconds: int = 60) -> DataFrame:
     found = near.join(far, [connection, chunk], "left").withColumn(
         "_request", F.coalesce("_near", "_far")
     )
+    age = F.unix_micros("ts") - F.unix_micros("_request.ts")
+    found = found.withColumn("_request", F.when(age <= idle_seconds * 1_000_000, F.col("_request")))
 
     def taken(name: str, default: Column) -> Column:
         return (

@@ -95,15 +95,17 @@ _C = (
     + """,
 q AS (
   SELECT *, CASE WHEN type = 'request' THEN {'method': method, 'endpoint': endpoint, 'host': host,
-      'service': service} END AS req,
+      'service': service, 'ts': ts} END AS req,
     concat(node, '|', CASE WHEN type = 'request'
       THEN concat(source_ip, ':', source_port, '-', destination_ip, ':', destination_port)
       ELSE concat(destination_ip, ':', destination_port, '-', source_ip, ':', source_port) END) AS conn
   FROM a),
-w AS (
+v AS (
   SELECT *, last_value(req IGNORE NULLS) OVER (PARTITION BY conn ORDER BY ts, type, event_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l
   FROM q),
+w AS (
+  SELECT * REPLACE (CASE WHEN epoch_us(ts) - epoch_us(l.ts) <= 600000000 THEN l END AS l) FROM v),
 c AS (
   SELECT * EXCLUDE (method, endpoint, host, service, headers, body),
     CASE WHEN type = 'request' THEN method ELSE coalesce(l.method, 'UNKNOWN') END AS method,

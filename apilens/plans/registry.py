@@ -645,16 +645,13 @@ def _in_order(df: DataFrame, path: str, parts: int, files: int) -> None:
 
 @_query
 def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream over the stored segments, in three micro-batches.
-
-    Connections stay open for as long as the tables last, as in the stored-segment query.
-    """
+    """The stream over the stored segments, in three micro-batches."""
     root = staging_path(spark, "segments")
     stored = segments.http_port_filter(view.segments_view(spark, sf_dir)).drop("type")
     _in_order(stored, f"{root}/in", parts=3, files=4)
     stream = segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=4)
     paired = stream_capture.paired_records(
-        stream_capture.assemble_stream(stream, idle_seconds=366 * 86_400),
+        stream_capture.assemble_stream(stream),
         view.directory_view(spark, sf_dir),
     )
     stream_capture.store_captures(
@@ -676,7 +673,6 @@ def stream_assemble_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{root}/out",
         f"{root}/checkpoint",
         lambda: view.directory_view(spark, sf_dir),
-        idle_seconds=366 * 86_400,
     ).awaitTermination()
     return _paired_columns(captures.read_captures(spark, f"{root}/out"))
 
@@ -716,7 +712,7 @@ def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream, root, f"{root}/checkpoint", lambda: view.applications_view(spark, sf_dir)
     )
     query.awaitTermination()
-    latest = stream_catalog_jobs.catalog_version(root, stream_catalog_jobs.last_batch(query))
+    latest = stream_catalog_jobs.catalog_version(root, stream_catalog_jobs.last_version(spark, root))
     return (
         spark.read.parquet(latest)
         .filter(F.col("endpoint_id").isNotNull())

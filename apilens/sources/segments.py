@@ -96,7 +96,11 @@ def select_interfaces(df: DataFrame) -> DataFrame:
     )
 
 
-def dedup_segments(segments: DataFrame, gap_seconds: int = 10) -> DataFrame:
+# Copies of a segment follow each other within this time.
+COPY_GAP_SECONDS = 10
+
+
+def dedup_segments(segments: DataFrame, gap_seconds: int = COPY_GAP_SECONDS) -> DataFrame:
     """Of copies of a segment on a node the earliest: same flow, seq and payload, and no more than
     ``gap_seconds`` after the copy before. What comes later is a new segment (a reused port, a wrapped
     seq); so is every segment whose seq is unknown (null).

@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from apilens.operators.messages import correlate, http_records, parse_messages, to_http_messages
-from apilens.operators.reassembly import OPEN_FLOWS, messages_only, reassemble_onto
+from apilens.operators.reassembly import (
+    IDLE_SECONDS,
+    OPEN_FLOWS,
+    messages_only,
+    reassemble_onto,
+)
 from apilens.operators.services import with_service
 from apilens.sources.captures import write_captures
-from apilens.sources.segments import dedup_segments
+from apilens.sources.segments import COPY_GAP_SECONDS, FLOW, dedup_segments
 from apilens.staging import staged
 
 _ENDS = ("node", "source_ip", "source_port", "destination_ip", "destination_port")
@@ -29,6 +34,11 @@ _REQUEST = (
     "destination_ip string, destination_port int, type string, method string, endpoint string, "
     "host string, version string, service string"
 )
+# Segments seen last, by flow: the copies of the next micro-batch are among them.
+_RECENT = (
+    "node string, src_ip string, src_port int, dst_ip string, dst_port int, seq bigint, "
+    "digest string, last_us bigint"
+)
 
 
 def _version(root: str, name: str, number: int) -> str:
@@ -39,10 +49,30 @@ def start_state(spark: SparkSession, root: str) -> None:
     """Empty state, which the first micro-batch (number 0) starts from."""
     spark.createDataFrame([], OPEN_FLOWS).write.parquet(_version(root, "open", -1))
     spark.createDataFrame([], _REQUEST).write.parquet(_version(root, "requests", -1))
+    spark.createDataFrame([], _RECENT).write.parquet(_version(root, "recent", -1))
+
+
+def _unseen(batch: DataFrame, recent: DataFrame) -> DataFrame:
+    """Segments of the batch without copies, also of segments of the batch before."""
+    unique = dedup_segments(batch).withColumn("_digest", F.sha2("payload", 256)).alias("new")
+    old = recent.alias("old")
+    same = F.col("new._digest") == F.col("old.digest")
+    for name in (*FLOW, "seq"):
+        same = same & (F.col(f"new.{name}") == F.col(f"old.{name}"))
+    apart = F.unix_micros("new.ts") - F.col("old.last_us")
+    return unique.join(old, same & (apart <= COPY_GAP_SECONDS * 1_000_000), "left_anti").drop("_digest")
+
+
+def _recent_segments(batch: DataFrame, newest: int) -> DataFrame:
+    """What copies in the next micro-batch are recognised by."""
+    last = batch.filter(F.unix_micros("ts") >= newest - COPY_GAP_SECONDS * 1_000_000)
+    return last.groupBy(*FLOW, "seq", F.sha2("payload", 256).alias("digest")).agg(
+        F.unix_micros(F.max("ts")).alias("last_us")
+    )
 
 
 def assemble_batch(
-    root: str, captures: str, directory: Callable[[], DataFrame], idle_seconds: int = 600
+    root: str, captures: str, directory: Callable[[], DataFrame], idle_seconds: int = IDLE_SECONDS
 ) -> Callable[[DataFrame, int], None]:
     """Micro-batch function: state version ``n - 1`` and the segments give records and version ``n``.
 
@@ -56,7 +86,13 @@ def assemble_batch(
         newest = batch.agg(F.unix_micros(F.max("ts"))).first()[0] or 0
         oldest = newest - idle_seconds * 1_000_000
         open_flows = spark.read.schema(OPEN_FLOWS).parquet(_version(root, "open", number - 1))
-        framed, left = reassemble_onto(dedup_segments(batch), open_flows, idle_seconds=idle_seconds)
+        recent = spark.read.schema(_RECENT).parquet(_version(root, "recent", number - 1))
+        _recent_segments(batch, newest).write.mode("overwrite").parquet(
+            _version(root, "recent", number)
+        )
+        framed, left = reassemble_onto(
+            _unseen(batch, recent), open_flows, idle_seconds=idle_seconds
+        )
         left.filter(F.col("ts_us") >= oldest).write.mode("overwrite").parquet(
             _version(root, "open", number)
         )
@@ -68,7 +104,7 @@ def assemble_batch(
             .withColumn("old", F.lit(True))
         )
         records = staged(fresh.unionByName(remembered, allowMissingColumns=True), "records")
-        paired = correlate(records).filter(~F.col("old"))
+        paired = correlate(records, idle_seconds=idle_seconds).filter(~F.col("old"))
         write_captures(to_http_messages(paired), f"{captures}/batch={number}", "overwrite")
         names = [part.split()[0] for part in _REQUEST.split(", ")]
         records.filter("type = 'request'").filter(F.unix_micros("ts") >= oldest).groupBy(
@@ -86,7 +122,7 @@ def assemble_batches(
     captures: str,
     checkpoint: str,
     directory: Callable[[], DataFrame],
-    idle_seconds: int = 600,
+    idle_seconds: int = IDLE_SECONDS,
 ) -> StreamingQuery:
     return (
         segments.writeStream.foreachBatch(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -14,33 +15,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from apilens.functions import http
 from apilens.functions.hosts import UNKNOWN, host_label, names_no_service
 from apilens.operators.messages import http_records, parse_messages
-from apilens.operators.reassembly import FRESH, Framer
+from apilens.operators.reassembly import FRESH, IDLE_SECONDS, Framer
 from apilens.sources.captures import to_capture_records
-from apilens.sources.segments import FLOW
+from apilens.sources.segments import COPY_GAP_SECONDS, FLOW
 
 _OUTPUT = (
     "node string, src_ip string, src_port int, dst_ip string, dst_port int, ts_us bigint, "
     "seq bigint, n int, kind string, message binary, request_head binary"
 )
-_STATE = "low binary, high binary, request_head binary"
+_STATE = (
+    "low binary, high binary, low_us bigint, high_us bigint, request_head binary, head_us bigint, "
+    "recent binary"
+)
+_COPY_GAP_US = COPY_GAP_SECONDS * 1_000_000
 _TAKEN = ("ts_us", "seq", "forward", "payload", *FLOW)
 
 
 def dedup_stream(segments: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Drop copies of a segment that arrive within the watermark delay of each other."""
+    """Drop copies of a segment that arrive within the watermark delay of each other.
+
+    Which copy stays is open, so this is for streams that do not go on to be reassembled; those drop
+    copies themselves and keep the earliest.
+    """
     return segments.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         [*FLOW, "seq", "payload"]
     )
 
 
-def _assembler(idle_ms: int):
+def _digest(forward: bool, seq: int, payload: bytes) -> bytes:
+    return hashlib.blake2b(b"%d %d " % (forward, seq) + payload, digest_size=16).digest()
+
+
+def _recent(packed: bytes) -> dict[bytes, int]:
+    """Digests of the segments seen last, with their latest times."""
+    return {packed[a : a + 16]: int.from_bytes(packed[a + 16 : a + 24], "little") for a in range(0, len(packed), 24)}
+
+
+def _assembler(idle_us: int):
     def assemble(
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        low, high, head = state.get if state.exists else (FRESH, FRESH, None)
+        none_yet = (FRESH, FRESH, None, None, None, None, b"")
+        low, high, low_us, high_us, head, head_us, packed = state.get if state.exists else none_yet
+        recent = _recent(bytes(packed))
+        last_us = {True: low_us, False: high_us}
         framers = {True: Framer(bytes(low)), False: Framer(bytes(high))}
         head = None if head is None else bytes(head)
         # One micro-batch of one connection; its size is set by the source's admission limit.
@@ -48,19 +69,35 @@ def _assembler(idle_ms: int):
             (row for frame in frames for row in zip(*(frame[c] for c in _TAKEN), strict=True)),
             key=itemgetter(0, 1),
         )
-        rows, seen = [], set()
+        rows = []
         for ts_us, seq, forward, payload, *flow in batch:
-            if (forward, seq, payload) in seen:
-                continue
-            seen.add((forward, seq, payload))
+            if not pd.isna(seq):
+                digest = _digest(forward, int(seq), payload)
+                before, recent[digest] = recent.get(digest), ts_us
+                if before is not None and ts_us - before <= _COPY_GAP_US:
+                    continue
+            if last_us[forward] is not None and ts_us - last_us[forward] > idle_us:
+                # the port serves another connection now
+                if len(framers[forward].state) > 1:
+                    unfinished = framers[forward].state[1:]
+                    rows.append((*flow, last_us[forward], 0, 0, "open", unfinished, None))
+                framers[forward] = Framer()
+            last_us[forward] = ts_us
             for n, (kind, data) in enumerate(framers[forward].feed(payload)):
                 is_response = data.startswith(b"HTTP/")
                 if kind == "message" and not is_response:
-                    head = data[: data.find(b"\r\n\r\n") + 4]
+                    head, head_us = data[: data.find(b"\r\n\r\n") + 4], ts_us
+                elif head_us is not None and ts_us - head_us > idle_us:
+                    head = head_us = None
                 rows.append((*flow, ts_us, seq, n, kind, data, head if is_response else None))
-        state.update((framers[True].state, framers[False].state, head))
+        kept = b"".join(
+            d + us.to_bytes(8, "little") for d, us in recent.items() if batch[-1][0] - us <= _COPY_GAP_US
+        )
+        state.update(
+            (framers[True].state, framers[False].state, last_us[True], last_us[False], head, head_us, kept)
+        )
         newest = batch[-1][0] // 1000
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_us // 1000)
         if rows:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
 
@@ -68,10 +105,13 @@ def _assembler(idle_ms: int):
 
 
 def assemble_stream(
-    segments: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600
+    segments: DataFrame, delay: str = "10 minutes", idle_seconds: int = IDLE_SECONDS
 ) -> DataFrame:
     """Whole messages of a segment stream; responses come with the head of their request.
 
+    Copies of segments are dropped as in the batch plan, also if they come in different micro-batches. A
+    direction that goes on after a silence of more than ``idle_seconds`` starts anew.
+
     State per connection: the open bytes of both directions and the last request head. It is
     dropped once the watermark has passed the connection's last segment by ``idle_seconds``, so
     connections that fall silent do not pile up. Segments have to arrive in capture order, apart
@@ -86,7 +126,7 @@ def assemble_stream(
         .withColumn("connection", F.concat_ws("|", "node", F.least(low, high), F.greatest(low, high)))
     )
     assembled = keyed.groupBy("connection").applyInPandasWithState(
-        _assembler(idle_seconds * 1000),
+        _assembler(idle_seconds * 1_000_000),
         _OUTPUT,
         _STATE,
         "append",

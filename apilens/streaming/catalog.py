@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -37,6 +37,7 @@ def start_versions(catalog: DataFrame, mappings: DataFrame, root: str) -> None:
     """Write what the first micro-batch (number 0) starts from."""
     catalog.select(*_CATALOG).write.parquet(catalog_version(root, -1))
     mappings.select("service", "appId", "instanceId").write.parquet(mappings_version(root, -1))
+    _note_version(catalog.sparkSession, root, -1)
 
 
 def apply_batch(
@@ -66,6 +67,7 @@ def apply_batch(
         apply_to_catalog(catalog, actions).select(*_CATALOG).write.mode("overwrite").parquet(
             catalog_version(root, number)
         )
+        _note_version(spark, root, number)
 
     return run
 
@@ -85,9 +87,13 @@ def maintain_catalog(
     )
 
 
-def last_batch(query: StreamingQuery) -> int:
-    progress = query.lastProgress
-    return -1 if progress is None else int(progress["batchId"])
+def last_version(spark: SparkSession, root: str) -> int:
+    """The newest version that was written whole; -1 is what the stream started from."""
+    return int(spark.read.parquet(f"{root}/versions").agg(F.max("number")).first()[0])
+
+
+def _note_version(spark: SparkSession, root: str, number: int) -> None:
+    spark.range(1).select(F.lit(number).alias("number")).write.mode("append").parquet(f"{root}/versions")
 
 
 def first_requests(records: DataFrame, delay: str = "10 minutes") -> DataFrame:

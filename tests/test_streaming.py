@@ -182,8 +182,29 @@ def test_catalog_stream_onboards_once(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = jobs.maintain_catalog(stream, root, f"{root}/checkpoint", lambda: apps, auto_onboard=True)
     query.awaitTermination()
-    last = jobs.last_batch(query)
+    last = jobs.last_version(spark, root)
     rows_ = spark.read.parquet(jobs.catalog_version(root, last)).collect()
     assert [(r.appId, r.instanceId, r.method, r.path) for r in rows_] == [("A", "I", "get", "/u/{id}")]
     mapped = spark.read.parquet(jobs.mappings_version(root, last)).collect()
     assert [tuple(r) for r in mapped] == [("new", "A", "I")]
+
+
+@pytest.mark.parametrize("plan", ["keyed", "batches"])
+def test_copies_in_different_micro_batches(spark, tmp_path, plan):
+    """A copy that comes with the next micro-batch is a copy all the same."""
+    path, root = str(tmp_path / "in"), str(tmp_path)
+    get = b"GET /a HTTP/1.1\r\nHost: x\r\n\r\n"
+    flow = ("n1", "eth0", "10.0.0.1", 4000, "10.0.0.2", 80)
+    for ms, seq in ((0, 1), (3, 1), (20_000, 1), (20_001, 2)):
+        row = (START + timedelta(milliseconds=ms), *flow, seq, get)
+        spark.createDataFrame([row], schemas.SEGMENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = read_segments(spark, path, streaming=True, max_files_per_trigger=1)
+    directory = spark.createDataFrame([], "ip string, ip_service string")
+    if plan == "keyed":
+        paired = keyed.paired_records(keyed.assemble_stream(stream), directory)
+        keyed.store_captures(to_http_messages(paired), f"{root}/out", f"{root}/check").awaitTermination()
+    else:
+        assembly.start_state(spark, root)
+        assembly.assemble_batches(stream, root, f"{root}/out", f"{root}/check", lambda: directory).awaitTermination()
+    pattern = f"{root}/out" if plan == "keyed" else f"{root}/out/*"
+    assert captures.read_captures(spark, pattern).count() == 3
