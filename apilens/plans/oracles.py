@@ -527,6 +527,14 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
             _C,
             f"{_PROJECTED} WHERE {_KEPT} AND position > (SELECT max(position) // 2 FROM c)",
         ),
+        "incremental_captures": _with(
+            _C,
+            f"{_PROJECTED} WHERE {_KEPT} AND position > (SELECT max(position) // 2 FROM c)",
+        ),
+        "unknown_changes": (
+            "SELECT DISTINCT o_orderkey AS id, 404 AS status_code FROM orders "
+            "WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)"
+        ),
         "extract_position": _with(
             _M, "SELECT max(position) AS last_count, count(*) AS records FROM m"
         ),

@@ -313,6 +313,27 @@ def incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(extract.drop_health_checks(records))
 
 
+@_query
+def incremental_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures written twice; the second extract goes on from the position stored by the first."""
+    root = staging_path(spark, "positions")
+    records = staged(_positioned(spark, sf_dir), "records")
+    half = records.agg((F.max("position") / 2).cast("bigint").alias("position")).scalar()
+    captures.write_captures(records.filter(F.col("position") <= half).drop("position"), f"{root}/captures")
+    captures.write_position(captures.read_positioned_captures(spark, f"{root}/captures"), f"{root}/position")
+    captures.write_captures(records.filter(F.col("position") > half).drop("position"), f"{root}/captures")
+    later = captures.read_positioned_captures(spark, f"{root}/captures")
+    new = extract.new_since(later, captures.read_position(spark, f"{root}/position"))
+    return _projected(extract.drop_health_checks(new))
+
+
+@_query
+def unknown_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of customers and of ids that no user has."""
+    changes = view.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return entities.unknown_changes(view.users_view(spark, sf_dir), changes)
+
+
 @_query
 def extract_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position state written and read back."""
