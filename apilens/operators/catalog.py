@@ -226,3 +226,22 @@ def endpoint_parameters(actions: DataFrame) -> DataFrame:
             F.count("*").alias("times_seen"),
         )
     )
+
+
+def apply_parameters(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stored parameters after a batch: the newest value of a name counts, the times it was seen add up.
+
+    Both have the columns of :func:`endpoint_parameters`; the table stands beside the catalog, keyed by
+    endpoint, kind and name.
+    """
+    keys = [*INSTANCE, "endpoint_id", "kind", "name"]
+    old, new = stored.alias("old"), seen.alias("new")
+    same = F.lit(True)
+    for key in keys:
+        same = same & (F.col(f"old.{key}") == F.col(f"new.{key}"))
+    none = F.lit(0).cast("bigint")
+    return old.join(new, same, "full").select(
+        *[F.coalesce(f"new.{key}", f"old.{key}").alias(key) for key in keys],
+        F.coalesce("new.value", "old.value").alias("value"),
+        (F.coalesce("old.times_seen", none) + F.coalesce("new.times_seen", none)).alias("times_seen"),
+    )

@@ -561,6 +561,7 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
         ),
         "catalog_upsert": _with(_ACTIONS + _CATALOG_AFTER, "SELECT * FROM after"),
         "endpoint_parameters": _with(_ACTIONS, params),
+        "parameters_upsert": _with(_ACTIONS, params),
         "path_params_of_requests": _with(
             _ACTIONS,
             "SELECT id, p.name AS name, p.value AS value FROM (SELECT id, unnest(CASE matched_path "

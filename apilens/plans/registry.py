@@ -398,6 +398,15 @@ def endpoint_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.endpoint_parameters(_actions(spark, sf_dir))
 
 
+@_query
+def parameters_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters of the first half of the time stored, those of the second half applied."""
+    actions = staged(_actions(spark, sf_dir), "actions")
+    middle = actions.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("bigint"))).scalar()
+    before = staged(catalog.endpoint_parameters(actions.filter(F.col("ts") <= middle)), "parameters")
+    return catalog.apply_parameters(before, catalog.endpoint_parameters(actions.filter(F.col("ts") > middle)))
+
+
 @_query
 def path_params_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _actions(spark, sf_dir).select(
