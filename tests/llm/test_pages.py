@@ -4,6 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from apilens.llm import extraction, oracles, warc
@@ -35,7 +36,7 @@ def pages(spark):
         (None, "http://n", "ü" * 60),
         (4, "http://big", "<p>" + "word " * 300_000),
     ]
-    return spark.createDataFrame(rows, PAGE).repartition(3).withColumn("digest", __import__("pyspark").sql.functions.lit("x"))
+    return spark.createDataFrame(rows, PAGE).repartition(3).withColumn("digest", F.lit("x"))
 
 
 def test_archives(spark, pages, tmp_path):
