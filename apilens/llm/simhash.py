@@ -8,10 +8,11 @@ verified on all 64 bits and deduplicated. No pair at distance three or less is l
 fingerprints are one row here, and only verified pairs leave the join.
 
 Three bits of 64 are a strict rule: a text of 250 words with one other word is beyond it about every second time.
-``similar_documents`` therefore takes several families of fingerprints, mixed from the same shingle hashes, and
-judges by the bits of all of them, which estimates a similarity of 0.8. Candidates meet in the middle: texts
-whose halves differ in at most two bits share a variant. Where many meet, each is compared with the least of them, so
-a group of n similar texts takes n comparisons a variant, not n squared.
+``similar_documents`` is therefore an exact join on the Jaccard similarity of the sets of word shingles. Shingles are
+put in one order, common ones last; two sets of similarity 0.8 share one of the first fifth of the larger set and the first
+ninth of the smaller. Texts that meet in such a shingle are first compared with one of them, which joins large groups
+in a number of comparisons that grows with their size; then every pair that meets and is not yet in one group is
+compared, so that the groups are those of a comparison of all pairs.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ from apilens.llm.common import slices, stored, text_bytes
 from apilens.llm.components import connected_components
 
 SEED = 42
-#: Fingerprints of 64 bits for ``similar_documents``, and the bits of all of them in which similar texts may differ:
-#: shingle sets of Jaccard similarity 0.8 have a cosine of 0.89, an angle of 0.15 pi and so about 0.15 * 256 bits.
-FAMILIES = 4
-MOST_BITS = 42
+#: Least Jaccard similarity of ``similar_documents``, in percent.
+SIMILARITY = 80
+#: Common shingles are found in one of ``_SAMPLE`` texts, as those of at least ``_COMMON`` texts of the sample, the
+#: ``_MOST_COMMON`` first. They only order the shingles; every order gives the same pairs.
+_SAMPLE, _COMMON, _MOST_COMMON = 8, 4, 1 << 18
 _CHUNK = 1 << 16
 
 
@@ -174,25 +176,169 @@ def near_duplicates(
     return _with_components(prints, classes, linked_pairs(_each(classes), radius))
 
 
-def star_links(classes: DataFrame, most_bits: int) -> DataFrame:
-    """Links (a, b) between classes that meet in a variant and differ in at most ``most_bits`` bits of all families.
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
-    All that share a variant are compared with the least class among them.
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """(doc_id, fingerprint, key, text) of every row; texts with the same set of shingles have the same key."""
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    schema = T.StructType(
+        [
+            narrow.schema["doc_id"],
+            T.StructField("fingerprint", T.LongType()),
+            T.StructField("key", T.LongType()),
+            narrow.schema["text"],
+        ]
+    )
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            prints, keys = [], []
+            for text in text_bytes(batch.column("text")):
+                hashes = shingle_hashes(text, shingle)
+                prints += fingerprint(hashes)
+                keys.append(xxhash.xxh64_intdigest(np.unique(np.array(hashes, dtype="<u8")).tobytes(), SEED))
+            columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *columns, batch.column("text")], names=schema.names
+            )
+
+    return narrow.mapInArrow(compute, schema)
+
+
+def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles, ascending, and in how many texts of the sample they are."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = np.concatenate([shingle_set(t, shingle) for t in text_bytes(batch.column("text"))])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["token"])
+
+    sample = keyed.filter(F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SAMPLE)) == 0).select("text")
+    found = (
+        sample.mapInArrow(compute, "token long")
+        .groupBy("token")
+        .count()
+        .filter(F.col("count") >= _COMMON)
+        .orderBy(F.desc("count"), "token")
+        .limit(_MOST_COMMON)
+        .collect()  # bounded by _MOST_COMMON
+    )
+    tokens = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r[1] for r in found], dtype=np.int64)[order]
+
+
+def _prefixes(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """(token, key, n, place) of the first shingles of every text, whose set has ``n``; ``place`` counts from 0."""
+    shared = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed, shingle))
+    schema = "token long, key long, n int, place int"
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = shared.value
+        for batch in slices(batches, "text"):
+            firsts, sizes = [], []
+            for text in text_bytes(batch.column("text")):
+                tokens = shingle_set(text, shingle)
+                many = np.zeros(len(tokens), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+                    many = np.where(common[at] == tokens, counts[at], 0)
+                # those behind are fewer than similar sets have in common
+                first = min(len(tokens), len(tokens) + -similarity * len(tokens) // 100 + 1)
+                firsts.append(tokens[np.lexsort((tokens, many))[:first]])
+                sizes.append(len(tokens))
+            taken = np.array([len(f) for f in firsts])
+            columns = [
+                np.concatenate(firsts).view(np.int64),
+                np.repeat(batch.column("key").to_numpy(), taken),
+                np.repeat(np.array(sizes, dtype=np.int32), taken),
+                np.concatenate([np.arange(k, dtype=np.int32) for k in taken]),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "place"])
+
+    return keyed.select("key", "text").mapInArrow(compute, schema)
+
+
+def _may_be_similar(n: Column, place: Column, m: Column, other: Column, similarity: int) -> Column:
+    """Whether sets of n and m shingles whose first common one is at these places can be as similar as asked.
+
+    Holds for every similar pair at its first common shingle.
     """
-    emitted = _each(classes).select("node", F.explode(F.concat(*_variants(1))).alias("variant"))
-    least = F.min("node").over(W.partitionBy("variant"))
-    meetings = emitted.select("node", least.alias("least")).filter("node > least").distinct()
-    a = classes.select(F.col("node").alias("a"), F.col("fingerprints").alias("x"))
-    b = classes.select(F.col("node").alias("b"), F.col("fingerprints").alias("y"))
-    differing = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
+    rest = F.least(n - place, m - other).cast("long")
+    near = 100 * F.least(n, m).cast("long") >= similarity * F.greatest(n, m).cast("long")
+    return near & ((100 + similarity) * rest >= similarity * (n.cast("long") + m))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts have the Jaccard similarity."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))
+        for big in batches:
+            for batch in slices(slices([big], "x"), "y"):
+                good = []
+                for x, y in zip(text_bytes(batch.column("x")), text_bytes(batch.column("y"))):
+                    if known[0] != y:
+                        known = (y, shingle_set(y, shingle))
+                    one, other = shingle_set(x, shingle), known[1]
+                    both = len(np.intersect1d(one, other, assume_unique=True))
+                    good.append(100 * both >= similarity * (len(one) + len(other) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    a = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
+    b = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compute, "a long, b long")
+
+
+def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Links (a, b) between keys: all are similar, and what similar pairs connect is connected by them."""
+    meeting = W.partitionBy("token")
+    meetings = stored(
+        _prefixes(keyed, shingle, similarity)
+        .withColumn("lead", F.min(F.struct("key", "n", "place")).over(meeting))
+        .withColumn("_last", F.max("key").over(meeting))
+        .filter("lead.key < _last")
+        .drop("_last")
+        .distinct(),
+        "meetings",
     )
-    return (
-        meetings.join(a, F.col("node") == F.col("a"))
-        .join(b, F.col("least") == F.col("b"))
-        .filter(differing <= most_bits)
-        .select("a", "b")
+    needed = meetings.select("key").distinct()
+    texts = stored(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]), "meeting-texts")
+    columns = (F.col("n"), F.col("place"))
+    stars = stored(
+        meetings.filter("lead.key < key")
+        .filter(_may_be_similar(*columns, F.col("lead.n"), F.col("lead.place"), similarity))
+        .select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
+        .distinct(),
+        "stars",
     )
+    links = stored(_verified(stars, texts, shingle, similarity), "star-links")
+    grouped = meetings.drop("lead").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
+    grouped = stored(grouped.withColumn("component", F.coalesce("component", "key")), "meeting-groups")
+    # Of two groups at least one is not the largest that meets in the shingle.
+    sizes = grouped.groupBy("token", "component").count()
+    largest = (
+        sizes.groupBy("token")
+        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"))
+        .filter("groups > 1")
+        .select("token", F.col("top.component").alias("main"))
+    )
+    mixed = stored(grouped.join(largest, "token"), "mixed-meetings")
+    few = mixed.filter("component <> main").select(
+        "token", F.col("key").alias("a"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("own")
+    )
+    met = few.join(
+        mixed.drop("main"),
+        (few["token"] == mixed["token"])
+        & (F.col("own") != F.col("component"))
+        & _may_be_similar(*columns, F.col("m"), F.col("other"), similarity),
+    )
+    rest = met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct()
+    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "untested")
+    return links.union(stored(_verified(rest, texts, shingle, similarity), "more-links"))
 
 
 def similar_documents(
@@ -200,13 +346,25 @@ def similar_documents(
     id_column: str = "doc_id",
     text_column: str = "text",
     shingle: int = 5,
-    families: int = FAMILIES,
-    most_bits: int = MOST_BITS,
+    similarity: int = SIMILARITY,
 ) -> DataFrame:
-    """As ``near_duplicates``, for a similarity of about 0.8 and more of the word shingles."""
-    prints = stored(fingerprints(docs, id_column, text_column, shingle, families), "fingerprints")
-    classes = _classes(prints)
-    return _with_components(prints, classes, star_links(classes, most_bits))
+    """As ``near_duplicates``, for a Jaccard similarity of the word shingles of ``similarity`` percent and more."""
+    if not 1 <= similarity <= 100:
+        raise ValueError("the similarity is 1 to 100 percent")
+    keyed = stored(_keyed(docs, id_column, text_column, shingle), "keyed")
+    links = similar_links(keyed.filter("doc_id IS NOT NULL"), shingle, similarity)
+    classes = keyed.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    grouped = classes.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key")
+    )
+    grouped = stored(grouped, "groups")
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(named, "component").select("key", "component_id")
+    return keyed.drop("text").join(named, "key", "left").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+    )
 
 
 def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how: int) -> DataFrame:
