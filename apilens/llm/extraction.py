@@ -3,10 +3,9 @@
 A page is read once into blocks: runs of text between block-level tags, each with its path of block-level
 tags and classes from the root. Regions that their tag, role, class or id names as menu, header, footer,
 sidebar, notice, advert, form or reader comments hold no candidates; where a page has an article or main
-element, only blocks inside are. For every path of candidates the mean text length and the mean number of
-punctuation marks of its blocks are taken, without linked text; the ratios are smoothed along the page,
-fused (with each other and with the ratio of the parent path, so that a heading shares in its
-article), and blocks whose path reaches a part of the best value are the content.
+element, only blocks inside are. There every candidate is content unless its path is mostly links. Elsewhere the
+container with nine tenths of the unlinked text takes this place, and blocks outside of it count if the value of their
+path (mean text length times punctuation, smoothed along the page) reaches a part of the median inside.
 """
 
 from __future__ import annotations
@@ -46,6 +45,12 @@ _SKIPPED_WORDS = frozenset(
     "newsletter subscribe subscription signup login form share sharing social related recommended "
     "comment comments commentlist discussion disqus reply replies respond skip".split()
 )
+#: May stand beside those in a class or id; with any other word it names something else (has-sidebar).
+_NEUTRAL_WORDS = frozenset(
+    "box bar container wrapper wrap list item items block area section links link main top bottom left right primary "
+    "secondary inner outer page site global buttons button icons text group panel".split()
+)
+_CONTAINERS = frozenset("html body div section center".split())
 #: Start tags that end an open element of the listed kinds, unless the bounds lie between.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -96,12 +101,14 @@ def _element(name: str, raw: str, in_main: bool) -> tuple[str, bool]:
     for key, a, b, c, bare in _ATTRIBUTE.findall(raw):
         key, value = (key or bare).lower(), a or b or c
         if key in ("class", "id"):
-            words = {w.lower() for w in _NAME_WORDS.findall(value)}
             if key == "class" and value:
                 label = f"{name}.{'.'.join(sorted(value.split()))}"
             # a page header is ruled out, the header of an article is not
-            if words & _SKIPPED_WORDS and not (in_main and words & _SKIPPED_WORDS <= {"header", "banner"}):
-                skipped = True
+            for token in value.split():
+                words = {w.lower() for w in _NAME_WORDS.findall(token)}
+                ruled = words & _SKIPPED_WORDS
+                if ruled and words <= _SKIPPED_WORDS | _NEUTRAL_WORDS and not (in_main and ruled <= {"header", "banner"}):
+                    skipped = True
         elif key == "role" and value.lower() in _SKIPPED_ROLES:
             skipped = True
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -197,44 +204,55 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def main_text(page: str, part: float = 0.05) -> str:
+def _container(blocks: list[tuple[Block, str]], weights: np.ndarray) -> tuple[str, ...]:
+    """The deepest path of plain containers under which nine tenths of the weight lie."""
+    sums: dict[tuple[str, ...], float] = defaultdict(float)
+    for (block, _), weight in zip(blocks, weights):
+        for depth in range(len(block.path) + 1):
+            sums[block.path[:depth]] += weight
+            if depth < len(block.path) and block.path[depth].split(".")[0] not in _CONTAINERS:
+                break
+    return max((p for p, w in sums.items() if w >= 0.9 * sums[()]), key=len)
+
+
+def main_text(page: str, part: float = 0.5) -> str:
     """Content blocks joined by one space; empty if the page has no text.
 
-    A block is content if the fused value of its path reaches ``part`` of the best one.
+    In an article or main element, or else the best container, every candidate is content unless its path is mostly links. Other
+    blocks are content if the fused value of their path reaches ``part`` of the median in the container.
     """
     blocks = [(b, t) for b in blocks_of(page) if (t := b.text())]
-    if any(b.main for b, _ in blocks):
+    in_main = any(b.main for b, _ in blocks)
+    if in_main:
         blocks = [(b, t) for b, t in blocks if b.main]
     if not blocks:
         return ""
     own: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    parent: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    unlinked = []
     for block, text in blocks:
         size = sum(map(len, block.parts)) or 1
-        unlinked = 1 - min(1.0, block.linked / size)
-        length, marks = len(text) * unlinked, len(_PUNCTUATION.findall(text)) * unlinked
-        for sums, path in ((own, block.path), (parent, block.path[:-1])):
-            sums[path][0] += length
-            sums[path][1] += marks
-            sums[path][2] += 1
-            sums[path][3] += len(text)
-
-    def ratio(sums: list[float]) -> float:
-        length, marks, count, _ = sums
-        return length / count * (1 + marks / count)
-
-    values = np.array([ratio(own[b.path]) for b, _ in blocks])
-    smooth = np.convolve(np.pad(values, 2, mode="edge"), _KERNEL, mode="valid")
-    shared = np.array([ratio(parent[b.path[:-1]]) for b, _ in blocks])
-    fused = np.maximum(np.sqrt(values * smooth), shared)
+        share = 1 - min(1.0, block.linked / size)
+        length, marks = len(text) * share, len(_PUNCTUATION.findall(text)) * share
+        unlinked.append(length)
+        sums = own[block.path]
+        sums[0] += length
+        sums[1] += marks
+        sums[2] += 1
+        sums[3] += len(text)
     # a path of mostly linked text is a list of links
-    links = np.array([own[b.path][0] < 0.3 * own[b.path][3] for b, _ in blocks])
-    kept = (fused >= part * fused.max()) & ~links
+    kept = np.array([own[b.path][0] >= 0.3 * own[b.path][3] for b, _ in blocks])
+    if not in_main and kept.any():
+        values = np.array([own[b.path][0] / own[b.path][2] * (1 + own[b.path][1] / own[b.path][2]) for b, _ in blocks])
+        smooth = np.convolve(np.pad(values, 2, mode="edge"), _KERNEL, mode="valid")
+        fused = np.sqrt(values * smooth)
+        best = _container(blocks, np.array(unlinked) * kept)
+        inside = np.array([b.path[: len(best)] == best for b, _ in blocks])
+        kept &= inside | (fused >= part * np.median(fused[inside & kept]))
     return " ".join(t for (_, t), k in zip(blocks, kept) if k)
 
 
 def extract(
-    pages: DataFrame, part: float = 0.05, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
+    pages: DataFrame, part: float = 0.5, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of every row.
 

@@ -121,3 +121,25 @@ def test_extract_rows(spark, pages):
     assert len(got) == 12
     assert {(r.text, r.n_chars) for r in got if r.page_id in (1, 2)} == {("short", 5)}
     assert {r.n_chars for r in got if r.page_id == 4} == {300_000 * 5 - 1}
+
+
+LONG = "<p>" + "One long sentence of the article, with marks. " * 40 + "</p>"
+PARTS = (
+    "<header><h1>Head</h1></header><p>Short one.</p><ul><li>An item of it</li></ul><dl><dt>term</dt><dd>sense</dd></dl>"
+    "<table><tr><td>7</td><td>cell</td></tr></table><pre>x = 1</pre>"
+)
+
+
+@pytest.mark.parametrize(
+    ("start", "end", "head"),
+    [
+        ("<article>", "</article>", "Head "),
+        ("<main class='has-sidebar'>", "</main>", "Head "),
+        ("<body><div class='layout with-sidebar'><div class='post'>", "</div></div></body>", ""),
+    ],
+)
+def test_short_parts_of_the_article_stay(start, end, head):
+    body = f"<blockquote>{LONG}</blockquote>{LONG * 3}"
+    got = extraction.main_text(f"<div class='sidebar'><p>Aside, not this.</p></div>{start}{PARTS}{body}{end}")
+    assert got.startswith(head + "Short one. An item of it term sense 7 cell x = 1 One long")
+    assert "Aside" not in got
