@@ -34,7 +34,7 @@ _REQUEST = (
     "destination_ip string, destination_port int, type string, method string, endpoint string, "
     "host string, version string, service string"
 )
-# Segments seen last, by flow: the copies of the next micro-batch are among them.
+# Segments seen within the copy gap, by flow: what copies in later micro-batches are copies of.
 _RECENT = (
     "node string, src_ip string, src_port int, dst_ip string, dst_port int, seq bigint, "
     "digest string, last_us bigint"
@@ -53,7 +53,7 @@ def start_state(spark: SparkSession, root: str) -> None:
 
 
 def _unseen(batch: DataFrame, recent: DataFrame) -> DataFrame:
-    """Segments of the batch without copies, also of segments of the batch before."""
+    """Segments of the batch without copies, also of segments of the batches before."""
     unique = dedup_segments(batch).withColumn("_digest", F.sha2("payload", 256)).alias("new")
     old = recent.alias("old")
     same = F.col("new._digest") == F.col("old.digest")
@@ -63,12 +63,13 @@ def _unseen(batch: DataFrame, recent: DataFrame) -> DataFrame:
     return unique.join(old, same & (apart <= COPY_GAP_SECONDS * 1_000_000), "left_anti").drop("_digest")
 
 
-def _recent_segments(batch: DataFrame, newest: int) -> DataFrame:
-    """What copies in the next micro-batch are recognised by."""
-    last = batch.filter(F.unix_micros("ts") >= newest - COPY_GAP_SECONDS * 1_000_000)
-    return last.groupBy(*FLOW, "seq", F.sha2("payload", 256).alias("digest")).agg(
-        F.unix_micros(F.max("ts")).alias("last_us")
-    )
+def _recent_segments(batch: DataFrame, recent: DataFrame, newest: int) -> DataFrame:
+    """What copies in later micro-batches are recognised by."""
+    seen = batch.select(
+        *FLOW, "seq", F.sha2("payload", 256).alias("digest"), F.unix_micros("ts").alias("last_us")
+    ).unionByName(recent)
+    last = seen.filter(F.col("last_us") >= newest - COPY_GAP_SECONDS * 1_000_000)
+    return last.groupBy(*FLOW, "seq", "digest").agg(F.max("last_us").alias("last_us"))
 
 
 def assemble_batch(
@@ -77,7 +78,8 @@ def assemble_batch(
     """Micro-batch function: state version ``n - 1`` and the segments give records and version ``n``.
 
     A repeated micro-batch writes the same again. State of flows and connections that have been
-    silent for ``idle_seconds`` is dropped; a flow that goes on after such a silence starts anew, as
+    silent for ``idle_seconds`` is dropped, and the open bytes of such flows are written to the
+    ``expired`` table of the version as rows of kind ``open``; a flow that goes on after such a silence starts anew, as
     in the batch plan.
     """
 
@@ -87,15 +89,22 @@ def assemble_batch(
         oldest = newest - idle_seconds * 1_000_000
         open_flows = spark.read.schema(OPEN_FLOWS).parquet(_version(root, "open", number - 1))
         recent = spark.read.schema(_RECENT).parquet(_version(root, "recent", number - 1))
-        _recent_segments(batch, newest).write.mode("overwrite").parquet(
+        _recent_segments(batch, recent, newest).write.mode("overwrite").parquet(
             _version(root, "recent", number)
         )
         framed, left = reassemble_onto(
             _unseen(batch, recent), open_flows, idle_seconds=idle_seconds
         )
+        left = staged(left, "left")
         left.filter(F.col("ts_us") >= oldest).write.mode("overwrite").parquet(
             _version(root, "open", number)
         )
+        expired = left.filter(F.col("ts_us") < oldest).select(
+            "flow", "ts_us", F.lit("open").alias("kind"), F.expr("substring(state, 2)").alias("message")
+        )
+        expired.filter(F.length("message") > 0).write.mode("overwrite").parquet(
+            _version(root, "expired", number)
+        )
         parsed = http_records(parse_messages(messages_only(framed)))
         fresh = with_service(parsed, directory()).withColumn("old", F.lit(False))
         remembered = (

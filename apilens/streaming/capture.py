@@ -56,7 +56,17 @@ def _assembler(idle_us: int):
         key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            low, high, low_us, high_us, *_ = state.get
             state.remove()
+            *node, one, other = key[0].rsplit("|", 2)
+            ends = [(a[0], int(a[1])) for a in (one.rsplit(":", 1), other.rsplit(":", 1))]
+            rows = [
+                (node[0] if node else None, *source, *target, us, 0, 0, "open", bytes(left)[1:], None)
+                for left, us, source, target in ((low, low_us, *ends), (high, high_us, *ends[::-1]))
+                if len(left) > 1
+            ]
+            if rows:
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
             return
         none_yet = (FRESH, FRESH, None, None, None, None, b"")
         low, high, low_us, high_us, head, head_us, packed = state.get if state.exists else none_yet
@@ -113,7 +123,7 @@ def assemble_stream(
     direction that goes on after a silence of more than ``idle_seconds`` starts anew.
 
     State per connection: the open bytes of both directions and the last request head. It is
-    dropped once the watermark has passed the connection's last segment by ``idle_seconds``, so
+    dropped, and its open bytes come out with kind ``open``, once the watermark has passed the connection's last segment by ``idle_seconds``, so
     connections that fall silent do not pile up. Segments have to arrive in capture order, apart
     from the order inside a micro-batch.
     """

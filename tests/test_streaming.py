@@ -208,3 +208,48 @@ def test_copies_in_different_micro_batches(spark, tmp_path, plan):
         assembly.assemble_batches(stream, root, f"{root}/out", f"{root}/check", lambda: directory).awaitTermination()
     pattern = f"{root}/out" if plan == "keyed" else f"{root}/out/*"
     assert captures.read_captures(spark, pattern).count() == 3
+
+
+def test_many_short_batches_equal_batch(spark, tmp_path, directory):
+    """A copy comes two micro-batches later, within the gap."""
+    request = b"GET /a/%d HTTP/1.1\r\nHost: 10.96.0.1\r\n\r\n"
+    parts = []
+    for i in range(3):
+        ts = START + timedelta(seconds=1.2 * i)
+        own = [(ts, "n", "eth0", *CLIENT, *SERVER, 100 * i, request % i)]
+        if i == 2:
+            own.append((ts, "n", "veth1", *CLIENT, *SERVER, 0, request % 0))
+        parts.append(spark.createDataFrame(own, schemas.SEGMENTS))
+    root = str(tmp_path / "state")
+    assembly.start_state(spark, root)
+    run = assembly.assemble_batch(root, f"{root}/out", lambda: directory)
+    for number, part in enumerate(parts):
+        run(part, number)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+    got = captures.read_captures(spark, f"{root}/out")
+    assert plain(got) == plain(batch_result(spark, str(tmp_path / "in"), directory)) and got.count() == 3
+
+
+def test_expired_bytes_come_out_open(spark, tmp_path, directory):
+    root = str(tmp_path / "state")
+    assembly.start_state(spark, root)
+    run = assembly.assemble_batch(root, f"{root}/out", lambda: directory, idle_seconds=60)
+    for number, (port, seconds) in enumerate(((1, 0), (2, 90))):
+        row = (START + timedelta(seconds=seconds), "n", "eth0", CLIENT[0], port, *SERVER, 0, b"GET /x HTTP/1.1\r\n")
+        run(spark.createDataFrame([row], schemas.SEGMENTS), number)
+    got = spark.read.parquet(f"{root}/expired/batch=0", f"{root}/expired/batch=1").collect()
+    assert [(r.kind, bytes(r.message)) for r in got] == [("open", b"GET /x HTTP/1.1\r\n")]
+
+
+def test_timed_out_bytes_come_out_open():
+    class Ended:
+        hasTimedOut = True
+        get = (keyed.FRESH, keyed.FRESH + b"HTTP/1.1 2", 5, 7, None, None, b"")
+
+        def remove(self):
+            self.hasTimedOut = False
+
+    rows = [r for f in keyed._assembler(1)(("n|10.0.0.1:4000|10.0.0.2:80",), iter(()), Ended()) for r in f.to_dict("records")]
+    assert [(r["node"], r["src_ip"], r["dst_port"], r["ts_us"], r["kind"], r["message"]) for r in rows] == [
+        ("n", "10.0.0.2", 4000, 7, "open", b"HTTP/1.1 2")
+    ]
