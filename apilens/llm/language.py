@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from apilens.llm.common import slices, text_bytes
 
-#: Characters of the sample per language; longer texts are not learned from.
+#: Characters of the sample per language. Of longer texts the start of one is learned, if the language has no others.
 SAMPLE_CHARS = 30_000
 #: Rows ranked per language when the sample is chosen.
 SAMPLE_ROWS = 512
@@ -76,29 +76,60 @@ class SuffixAutomaton:
                     link[q] = link[new] = copy
             last = new
 
-    def table(self, n_classes: int) -> np.ndarray:
-        """Step per (state, class): four times the next state, plus the number of phrases that ended.
 
-        A class that the text lacks is a phrase of its own. Padding changes nothing.
-        """
-        states = len(self.next)
-        to = np.full((states, n_classes), -1, dtype=np.int32)
-        for state, edges in enumerate(self.next):
-            for c, target in edges.items():
-                to[state, c] = target
-        root = np.where(to[0] >= 0, to[0], 0)
-        ends = to < 0
-        ends[0] = False  # nothing is open at the root
-        steps = 4 * np.where(to >= 0, to, root) + ends
-        steps[:, root == 0] += 1
-        steps[:, 0] = 4 * np.arange(states)
-        return steps.astype(np.int32)
+class Steps:
+    """Step per (state, class): four times the next state, plus the number of phrases that ended.
+
+    A class that the text lacks is a phrase of its own. Padding changes nothing. Few classes make a dense table over the
+    classes of the text alone; for many, the edges are sorted by state and class.
+    """
+
+    def __init__(self, automaton: SuffixAutomaton, n_classes: int, most_cells: int = 1 << 22) -> None:
+        self.n_classes = n_classes
+        own = sorted(automaton.next[0])
+        # 0 pads, 1 is any class that the text lacks
+        self.local = np.ones(n_classes, dtype=np.int32)
+        self.local[0] = 0
+        self.local[own] = np.arange(2, len(own) + 2)
+        self.width, self.states = len(own) + 2, len(automaton.next)
+        edges = [(s, c, t) for s, e in enumerate(automaton.next) for c, t in e.items()]
+        found = np.array(edges, dtype=np.int64).reshape(-1, 3)
+        keys = found[:, 0] * self.width + self.local[found[:, 1]]
+        order = np.argsort(keys)
+        self.keys, self.targets = keys[order], (4 * found[order, 2]).astype(np.int32)
+        # from the root: nothing is open there
+        self.root = np.zeros(self.width, dtype=np.int32)
+        self.root[self.local[own]] = [4 * automaton.next[0][c] for c in own]
+        self.miss = self.root + 1
+        self.miss[1] = 2
+        self.root[1] = 1
+        self.dense: np.ndarray | None = None
+        if self.states * self.width <= most_cells:
+            table = np.tile(self.miss, (self.states, 1))
+            table[0] = self.root
+            table[:, 0] = 4 * np.arange(self.states)
+            table.reshape(-1)[self.keys] = self.targets
+            self.dense = table.reshape(-1)
+
+    def step(self, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Steps from states by classes of ``local``."""
+        keys = state.astype(np.int64) * self.width + classes
+        if self.dense is not None:
+            return self.dense[keys]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        missed = np.where(state == 0, self.root[classes], self.miss[classes])
+        missed = np.where(classes == 0, 4 * state, missed)
+        return np.where(self.keys[at] == keys, self.targets[at], missed).astype(np.int32)
+
+    def __getitem__(self, index: int) -> int:
+        state, c = divmod(int(index), self.n_classes)
+        return int(self.step(np.array([state]), self.local[[c]])[0])
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    steps: list[np.ndarray]
+    steps: list[Steps]
     bits: list[float]
     classes: np.ndarray
     n_classes: int
@@ -107,8 +138,8 @@ class LanguageModel:
     def fit(texts: dict[str, list[str]]) -> LanguageModel:
         letter = letters_table()
         own = {k: " ".join(map(normalised, v)) for k, v in sorted(texts.items())}
-        known = sorted({c for t in own.values() for c in t if letter[ord(c)]})[:250]
-        classes = np.where(letter, _OTHER, _SPACE).astype(np.uint8)
+        known = sorted({c for t in own.values() for c in t if letter[ord(c)]})
+        classes = np.where(letter, _OTHER, _SPACE).astype(np.int32)
         for i, c in enumerate(known):
             classes[ord(c)] = i + 3
         model = LanguageModel([], [], [], classes, len(known) + 3)
@@ -116,7 +147,7 @@ class LanguageModel:
             sequence = model._sequence(text)
             if (sequence > _SPACE).any():
                 model.languages.append(language)
-                model.steps.append(SuffixAutomaton(sequence.tolist()).table(model.n_classes).reshape(-1))
+                model.steps.append(Steps(SuffixAutomaton(sequence.tolist()), model.n_classes))
                 model.bits.append(math.log2(len(sequence) + 1))
         return model
 
@@ -140,7 +171,7 @@ class LanguageModel:
         blocks = -(-lengths // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         first = np.cumsum(blocks) - blocks
-        columns = np.zeros((int(blocks.sum()), BLOCK), dtype=np.uint8)
+        columns = np.zeros((int(blocks.sum()), BLOCK), dtype=np.int32)
         flat = columns.reshape(-1)
         for s, at in zip(sequences, (first * BLOCK).tolist()):
             flat[at : at + len(s)] = s
@@ -149,8 +180,8 @@ class LanguageModel:
         for k, steps in enumerate(self.steps):
             state = np.zeros(columns.shape[1], dtype=np.int32)
             phrases = np.zeros(columns.shape[1], dtype=np.int32)
-            for column in columns:
-                step = steps[state * self.n_classes + column]
+            for column in steps.local[columns]:
+                step = steps.step(state, column)
                 phrases += step & 3
                 state = step >> 2
             phrases += state > 0
@@ -177,19 +208,21 @@ def fit(
     rows = labelled.select(
         F.col(id_column).alias("doc_id"), F.col(language_column).alias("lang"), F.col(text_column).alias("text")
     ).filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    order = W.partitionBy("lang").orderBy("h", "doc_id")
+    order = W.partitionBy("lang").orderBy("long", "h", "doc_id")
     chosen = (
         rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n"))
-        .filter(F.col("n").between(1, sample_chars))
+        .filter("n >= 1")
+        .withColumn("long", F.col("n") > sample_chars)
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= SAMPLE_ROWS)
         .withColumn("before", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n"))
-        .filter(F.col("before") < sample_chars)
-        .select("lang", "doc_id")
+        .filter((F.col("before") < sample_chars) & (~F.col("long") | (F.col("place") == 1)))
+        .select("lang", "doc_id", "long")
     )
     # at most SAMPLE_ROWS rows of two columns a language
     texts: dict[str, list[str]] = {}
-    found = rows.filter(F.length("text") <= sample_chars).join(F.broadcast(chosen), ["lang", "doc_id"])
+    cut = rows.withColumn("long", F.length("text") > sample_chars).withColumn("text", F.substring("text", 1, sample_chars))
+    found = cut.join(F.broadcast(chosen), ["lang", "doc_id", "long"])
     for language, _, text in sorted(found.select("lang", "doc_id", "text").collect()):
         texts.setdefault(language, []).append(text)
     return LanguageModel.fit(texts)

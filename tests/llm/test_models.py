@@ -102,3 +102,26 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert len(got) == 14 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(empty, weights).count() == 0
     assert {r.score for r in toxicity.score(odd, toxicity.fit(labels, empty)).collect()} == {0.5}
+
+
+def test_every_letter_has_a_class_of_its_own():
+    draw = random.Random(4)
+    latin = [chr(c) for c in range(0x100, 0x600) if chr(c).isalpha()]
+    han = {k: [chr(a + i) for i in range(600)] for k, a in (("a", 0x4E00), ("b", 0x6000))}
+    words = {k: ["".join(v[i : i + 4]) for i in range(0, 600, 4)] for k, v in han.items()}
+    texts = {k: ["".join(draw.choice(v) for _ in range(1000))] for k, v in words.items()}
+    model = language.LanguageModel.fit(texts | {"c": ["".join(latin)]})
+    tests = ["".join(draw.choice(words[k]) for _ in range(50)) for k in "abab"]
+    assert model.predict(tests)[0] == list("abab")
+    automaton = language.SuffixAutomaton(model._sequence(texts["a"][0]).tolist())
+    dense, sparse = (language.Steps(automaton, model.n_classes, n) for n in (1 << 30, 0))
+    assert dense.dense is not None and sparse.dense is None
+    states = np.array([draw.randrange(dense.states) for _ in range(5000)] + [0] * 100)
+    classes = np.array([draw.randrange(dense.width) for _ in range(5100)])
+    assert (dense.step(states, classes) == sparse.step(states, classes)).all()
+
+
+def test_language_of_long_texts_only(spark):
+    rows = [(1, "de", "aber ja " * 5000), (2, "en", "yes but " * 20), (3, "en", "zzz " * 9000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.languages == ["de", "en"] and model.predict(["aber"])[0] == ["de"]
