@@ -15,6 +15,7 @@ from apilens.llm import (
     mixing,
     packing,
     repetition,
+    sharding,
     simhash,
     token_files,
     tokens,
@@ -91,6 +92,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents")).drop("range")
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -105,5 +110,6 @@ def queries() -> dict[str, Query]:
             op8_warc,
             op9_source_mixing,
             op10_html_extraction,
+            op11_sharding,
         )
     }
