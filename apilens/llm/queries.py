@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apilens.llm import (
+    collocations,
     exact_dedup,
     extraction,
     language,
     mixing,
     packing,
     repetition,
+    resampling,
     sharding,
     simhash,
     token_files,
@@ -96,6 +98,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents")).drop("range")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -111,5 +121,7 @@ def queries() -> dict[str, Query]:
             op9_source_mixing,
             op10_html_extraction,
             op11_sharding,
+            op12_collocations,
+            op13_importance_resampling,
         )
     }
