@@ -2,26 +2,32 @@
 
 A flow (one direction of a connection on one node) can hold a large share of all traffic, so it is
 never handled as one group. Flows are cut into time chunks, every chunk is framed on its own, and
-the bytes that were left open at the end of a chunk are handed to the next one:
+what was left open at the end of a chunk is handed to the next one:
 
 1. Shuffle by (flow, chunk), sort inside partitions, and frame all chunks in one streaming pass
-   (``mapInArrow``; a task holds one unfinished message, never a group). Each chunk is assumed to
-   start at a message boundary. The output is written once.
-2. A chunk is stale when its predecessor's open bytes differ from what the chunk was given. Only
-   stale chunks are framed again, now with those bytes. This repeats until nothing is stale.
-   After round k the first k chunks of every flow are final, so it always ends; framing finds its
-   place again after one message, so in practice one or two rounds do.
+   (``mapInArrow``; a task holds one unfinished message, never a group). The same pass drops copies of
+   segments. Each chunk is assumed to start at a message boundary. The output is written once.
+2. One row per chunk - how many bytes it has, what it was given, what it left - is read in the order of each flow.
+   A body that goes on behind its chunk leaves a number of bytes still to come, not bytes: summed up
+   over the chunks behind, that number says in which chunk the body ends, and the chunks before that one
+   belong to it whole. Where a head is open its bytes are handed on.
+3. A chunk is stale when it was given something else than it should have been. Only stale chunks are
+   framed again. This repeats until nothing is stale: after round k the first k chunks of every flow
+   that were framed again are final, so it always ends. Framing finds its place again after one message and
+   bodies are skipped by length, so one or two rounds do, however many chunks a body spans.
+4. Messages over several chunks are put together from their parts, which only those chunks are read for.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apilens.functions.http import METHODS, UNREACHABLE_LENGTH
@@ -43,6 +49,9 @@ _LONGEST_SIZE_LINE = 4096
 _CODE = re.compile(rb"^\S+\s+[0-9]+(?:\s|$)")
 
 FRESH = b"\x00"
+# State of a chunk that begins inside a body: bytes still to come, chunk of its head, whether the start line is one.
+_INSIDE = b"\x02"
+_SPAN = struct.Struct("<qq?")
 
 
 class Framer:
@@ -59,6 +68,7 @@ class Framer:
         self.open = bytearray(state[1:])
         self.need = 0
         self.scanned = 0
+        self.body_of: bool | None = None
         self._restart_chunks()
 
     def _restart_chunks(self) -> None:
@@ -74,6 +84,7 @@ class Framer:
         piece = bytes(self.open[:count])
         del self.open[:count]
         self.need = self.scanned = 0
+        self.body_of = None
         self._restart_chunks()
         return piece
 
@@ -152,6 +163,7 @@ class Framer:
                 self.need = end + 4 + (UNREACHABLE_LENGTH if len(digits) > 18 else int(digits))
                 if len(self.open) < self.need:
                     self.scanned = end
+                    self.body_of = bool(whole)
                     return
                 total = self.need
             elif _RESTART.match(self.open, end + 4):
@@ -161,9 +173,67 @@ class Framer:
             yield ("message" if whole else "reject"), self._take(total)
 
 
+class _ChunkFramer:
+    """Frames a chunk from what it was given: a framer's state, or a body to skip first."""
+
+    def __init__(self, entry: bytes = FRESH):
+        self.skip, self.origin, self.whole = 0, None, True
+        self.head: list[bytes] = []
+        if entry.startswith(_INSIDE):
+            self.skip, self.origin, self.whole = _SPAN.unpack(entry[1:])
+            entry = FRESH
+        self.framer = Framer(entry)
+
+    def feed(self, payload: bytes) -> Iterator[tuple[str, bytes, int | None]]:
+        """As the framer, with the chunk in which a message began whose first part is not here."""
+        if self.skip:
+            taken = payload[: self.skip]
+            self.head.append(taken)
+            self.skip -= len(taken)
+            if self.skip:
+                return
+            yield ("message" if self.whole else "reject"), b"".join(self.head), self.origin
+            payload = payload[len(taken) :]
+            if not payload:
+                return
+        for kind, data in self.framer.feed(payload):
+            yield kind, data, None
+
+    def unfinished(self) -> tuple[bytes, int | None]:
+        return (b"".join(self.head), self.origin) if self.skip else (self.framer.state[1:], None)
+
+    def leave(self, chunk: int) -> tuple[bytes, bytes | None]:
+        """(what the next chunk is given, the first part of a body that goes on there)."""
+        if self.skip:
+            return _INSIDE + _SPAN.pack(self.skip, self.origin, self.whole), None
+        if self.framer.body_of is None:
+            return self.framer.state, None
+        opened = bytes(self.framer.open)
+        return _INSIDE + _SPAN.pack(self.framer.need - len(opened), chunk, self.framer.body_of), opened
+
+
+class _Copies:
+    """Recognises segments that were seen within the gap, by seq and digest."""
+
+    def __init__(self, gap_us: int) -> None:
+        self.gap_us = gap_us
+        self.seen: dict[tuple[int, bytes], int] = {}
+        self.room = 1 << 14
+
+    def is_copy(self, seq: int, digest: bytes, ts_us: int) -> bool:
+        before = self.seen.get((seq, digest))
+        self.seen[seq, digest] = ts_us
+        if len(self.seen) > self.room:
+            self.seen = {k: us for k, us in self.seen.items() if ts_us - us <= self.gap_us}
+            self.room = max(1 << 14, 2 * len(self.seen))
+        return before is not None and ts_us - before <= self.gap_us
+
+
+_ENTRY, _CONTEXT, _SEGMENT = 0, 1, 2
+
 _FRAMED = (
     "flow string, chunk bigint, ts_us bigint, seq bigint, n int, kind string, data binary, "
-    "entry binary, first_us bigint"
+    "entry binary, first_us bigint, bytes bigint, silence boolean, origin bigint"
 )
 _FRAMED_ARROW = pa.schema(
     [
@@ -176,106 +246,262 @@ _FRAMED_ARROW = pa.schema(
         ("data", pa.binary()),
         ("entry", pa.binary()),
         ("first_us", pa.int64()),
+        ("bytes", pa.int64()),
+        ("silence", pa.bool_()),
+        ("origin", pa.int64()),
     ]
 )
 _BATCH_BYTES = 16 << 20
 
 
-def _frame_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator[pa.RecordBatch]:
-    """Frame a partition sorted by (flow, chunk, arrival); one chunk's state at a time.
+def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
+    )
+
+
+def _segments_in_order(
+    batches: Iterator[pa.RecordBatch], gap_us: int | None
+) -> Iterator[tuple[tuple[str, int], int, int, int, bytes]]:
+    """((flow, chunk), role, ts_us, seq, payload) of entries and of segments that are no copies."""
+    key, copies = None, _Copies(gap_us or 0)
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in
+                   ("flow", "chunk", "role", "ts_us", "seq", "payload")]
+        for flow, chunk, role, ts_us, seq, payload in zip(*columns, strict=True):
+            if (flow, chunk) != key:
+                key, copies = (flow, chunk), _Copies(gap_us or 0)
+            if role != _ENTRY and gap_us is not None and seq is not None:
+                digest = payload if role == _CONTEXT else hashlib.md5(payload).digest()
+                if copies.is_copy(seq, digest, ts_us):
+                    continue
+            if role != _CONTEXT:
+                yield key, role, ts_us, seq or 0, payload
+
+
+def _frame_sorted(
+    batches: Iterator[pa.RecordBatch], idle_us: int, gap_us: int | None
+) -> Iterator[pa.RecordBatch]:
+    """Frame a partition sorted by (flow, chunk, role, arrival); one chunk's state at a time.
 
     After a silence of more than ``idle_us`` inside a chunk the flow starts anew.
     """
     rows: list[tuple] = []
     size = 0
-    key, framer, entry, first, last = None, Framer(), FRESH, None, (0, 0)
+    key, framer, entry, first, last, total, silence = None, _ChunkFramer(), FRESH, None, (0, 0), 0, False
+    none = (None,) * 5
+
+    def edge() -> None:
+        left, part = framer.leave(key[1])
+        if part is not None:
+            rows.append((*key, *last, 0, "part", part, *none))
+        rows.append((*key, *last, 0, "edge", left, entry, first, total, silence, None))
+
+    for place, role, ts_us, seq, payload in _segments_in_order(batches, gap_us):
+        if place != key:
+            if key is not None:
+                edge()
+            key, framer, entry, first, last, total, silence = place, _ChunkFramer(), FRESH, None, (0, 0), 0, False
+        if first is not None and role == _SEGMENT and place[1] != _BEFORE_ALL and ts_us - last[0] > idle_us:
+            unfinished, origin = framer.unfinished()
+            if unfinished or origin is not None:
+                rows.append((*key, last[0], 0, 0, "open", unfinished, None, None, None, None, origin))
+            framer, silence = _ChunkFramer(), True
+        last = max(last, (ts_us, seq))
+        if role == _ENTRY:
+            framer, entry = _ChunkFramer(payload), payload
+            first = ts_us if place[1] == _BEFORE_ALL else first
+            continue
+        first = ts_us if first is None else first
+        total += len(payload)
+        for n, (kind, data, origin) in enumerate(framer.feed(payload)):
+            rows.append((*place, ts_us, seq, n, kind, data, None, None, None, None, origin))
+            size += len(data)
+        if size > _BATCH_BYTES or len(rows) >= 10_000:
+            yield _arrow(rows, _FRAMED_ARROW)
+            rows, size = [], 0
+    if key is not None:
+        edge()
+    if rows:
+        yield _arrow(rows, _FRAMED_ARROW)
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(columns, _FRAMED_ARROW, strict=True)],
-            schema=_FRAMED_ARROW,
-        )
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """The one shuffle of payloads."""
+    return keyed.repartition("flow", "chunk").sortWithinPartitions(
+        "flow", "chunk", "role", "ts_us", "seq", "payload"
+    )
+
+
+def _frame(keyed: DataFrame, idle_us: int, gap_us: int | None) -> DataFrame:
+    return _dealt(keyed).mapInArrow(
+        functools.partial(_frame_sorted, idle_us=idle_us, gap_us=gap_us), _FRAMED
+    )
+
+
+_MARKS = "flow string, chunk bigint, status string, entry binary, before bigint, origin bigint, ts_us bigint"
+_MARKS_ARROW = pa.schema(
+    [
+        ("flow", pa.string()),
+        ("chunk", pa.int64()),
+        ("status", pa.string()),
+        ("entry", pa.binary()),
+        ("before", pa.int64()),
+        ("origin", pa.int64()),
+        ("ts_us", pa.int64()),
+    ]
+)
+_FRESH_MARK = hashlib.sha256(FRESH).digest()
+
+
+def _resolve_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator[pa.RecordBatch]:
+    """Read the edges of each flow in order; one number or digest is carried along.
+
+    Rows: ``stale`` chunks with what they should be given (``entry``, or what the chunk ``before`` left),
+    ``swallowed`` chunks that lie inside the body begun in ``origin``, and what is open where a flow falls
+    silent (``closed``) or ends (``left``).
+    """
+    rows: list[tuple] = []
+    flow, given, source, last_us = None, _FRESH_MARK, None, 0
+
+    def ends(status: str) -> None:
+        if given.startswith(_INSIDE) and len(given) == 1 + _SPAN.size:
+            rows.append((flow, source, status, None, None, _SPAN.unpack(given[1:])[1], last_us))
+        elif given != _FRESH_MARK:
+            rows.append((flow, source, status, None, source, None, last_us))
 
     for batch in batches:
         columns = [batch.column(name).to_pylist() for name in
-                   ("flow", "chunk", "carried", "ts_us", "seq", "payload")]
-        for flow, chunk, carried, ts_us, seq, payload in zip(*columns, strict=True):
-            if (flow, chunk) != key:
-                if key is not None:
-                    rows.append((*key, *last, 0, "edge", framer.state, entry, first))
-                key, framer, entry, first, last = (flow, chunk), Framer(), FRESH, None, (0, 0)
-            seq = seq or 0
-            if first is not None and chunk != _BEFORE_ALL and ts_us - last[0] > idle_us:
-                if len(framer.state) > 1:
-                    rows.append((*key, last[0], 0, 0, "open", framer.state[1:], None, None))
-                framer = Framer()
-            last = max(last, (ts_us, seq))
-            if carried:
-                framer, entry = Framer(payload), payload
-                first = ts_us if chunk == _BEFORE_ALL else first
-                continue
-            first = ts_us if first is None else first
-            for n, (kind, data) in enumerate(framer.feed(payload)):
-                rows.append((flow, chunk, ts_us, seq, n, kind, data, None, None))
-                size += len(data)
-            if size > _BATCH_BYTES or len(rows) >= 10_000:
-                yield flush()
-                rows, size = [], 0
-    if key is not None:
-        rows.append((*key, *last, 0, "edge", framer.state, entry, first))
+                   ("flow", "chunk", "first_us", "ts_us", "left", "used", "bytes", "silence")]
+        for name, chunk, first_us, ts_us, left, used, count, silence in zip(*columns, strict=True):
+            if name != flow:
+                if flow is not None:
+                    ends("left")
+                flow = name
+            else:
+                if first_us - last_us > idle_us:
+                    ends("closed")
+                    given = _FRESH_MARK
+                if given.startswith(_INSIDE) and len(given) == 1 + _SPAN.size:
+                    skip, origin, whole = _SPAN.unpack(given[1:])
+                    if skip > count and not silence:
+                        rows.append((flow, chunk, "swallowed", None, None, origin, ts_us))
+                        given = _INSIDE + _SPAN.pack(skip - count, origin, whole)
+                        last_us = ts_us
+                        continue
+                    entry, before = given, None
+                elif given == _FRESH_MARK:
+                    entry, before = FRESH, None
+                else:
+                    entry, before = None, source
+                if used != given:
+                    rows.append((flow, chunk, "stale", entry, before, None, ts_us))
+            given, source, last_us = left, chunk, ts_us
+            if len(rows) >= 10_000:
+                yield _arrow(rows, _MARKS_ARROW)
+                rows.clear()
+    if flow is not None:
+        ends("left")
     if rows:
-        yield flush()
+        yield _arrow(rows, _MARKS_ARROW)
 
 
-def _frame(keyed: DataFrame, idle_us: int) -> DataFrame:
+def _resolve(edges: DataFrame, idle_us: int) -> DataFrame:
+    """Marks of all chunks. Open bytes are compared by digest and never leave their row."""
+
+    def mark(state: str) -> Column:
+        inside = F.substring(state, 1, 1) == F.lit(_INSIDE)
+        return F.when(inside, F.col(state)).otherwise(F.unhex(F.sha2(F.col(state), 256)))
+
+    narrow = edges.select(
+        "flow", "chunk", "first_us", "ts_us", mark("data").alias("left"), mark("entry").alias("used"), "bytes", "silence"
+    )
     return (
-        keyed.repartition("flow", "chunk")
-        .sortWithinPartitions(
-            "flow", "chunk", F.desc("carried"), "ts_us", "seq", "payload"
-        )
-        .mapInArrow(functools.partial(_frame_sorted, idle_us=idle_us), _FRAMED)
+        narrow.repartition("flow")
+        .sortWithinPartitions("flow", "chunk")
+        .mapInArrow(functools.partial(_resolve_sorted, idle_us=idle_us), _MARKS)
     )
 
 
-def _in_order(edges: DataFrame, idle_us: int) -> DataFrame:
-    """Edges of all chunks, without their bytes, next to the chunk before: (flow, chunk, before, expected,
-    used, closes).
+_PARTS = "flow string, origin bigint, place bigint, at bigint, ts_us bigint, seq bigint, n int, kind string, data binary"
+_WHOLE_ARROW = pa.schema(
+    [
+        ("flow", pa.string()),
+        ("ts_us", pa.int64()),
+        ("seq", pa.int64()),
+        ("n", pa.int32()),
+        ("kind", pa.string()),
+        ("data", pa.binary()),
+    ]
+)
+_LAST_PLACE = 1 << 62
 
-    A flow that was silent for longer than ``idle_us`` starts anew: its next chunk gets nothing, and what was
-    open before is closed.
-    """
-    order = W.partitionBy("flow").orderBy("chunk")
-    marks = edges.select(
-        "flow",
-        "chunk",
-        "first_us",
-        "ts_us",
-        F.sha2("data", 256).alias("exit"),
-        F.sha2("entry", 256).alias("used"),
-    )
-    silent = F.col("first_us") - F.lag("ts_us").over(order) > idle_us
-    closes = F.lead("first_us").over(order) - F.col("ts_us") > idle_us
-    return marks.select(
-        "flow",
-        "chunk",
-        F.lag("chunk").over(order).alias("before"),
-        F.when(silent, F.sha2(F.lit(FRESH), 256)).otherwise(F.lag("exit").over(order)).alias("expected"),
-        silent.alias("silent"),
-        "used",
-        F.coalesce(closes, F.lit(False)).alias("closes"),
-    )
 
+def _collect_sorted(batches: Iterator[pa.RecordBatch], gap_us: int | None) -> Iterator[pa.RecordBatch]:
+    """The bytes of whole chunks, in pieces of bounded size."""
+    schema = pa.schema([("flow", pa.string()), ("chunk", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+    key, held, size, at = None, [], 0, 0
 
-def _stale(edges: DataFrame, idle_us: int) -> DataFrame:
-    """Chunks whose entry is not what the chunk before left open, with those bytes.
+    def piece() -> pa.RecordBatch:
+        return _arrow([(*key, at, b"".join(held))], schema)
 
-    The window sees digests only; the bytes come back by an equi join.
-    """
-    stale = _in_order(edges, idle_us).filter("expected <> used")
-    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("left"))
-    return stale.join(exits, ["flow", "before"]).select(
-        "flow", "chunk", F.when(F.col("silent"), F.lit(FRESH)).otherwise(F.col("left")).alias("carry")
+    for place, _, _, _, payload in _segments_in_order(batches, gap_us):
+        if place != key or size > _BATCH_BYTES:
+            if held:
+                yield piece()
+            at = 0 if place != key else at + 1
+            key, held, size = place, [], 0
+        held.append(payload)
+        size += len(payload)
+    if held:
+        yield piece()
+
+
+def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put parts together; the last part of a message carries what is known of it."""
+    key, held = None, []
+    for batch in batches:
+        columns = [batch.column(name).to_pylist() for name in
+                   ("flow", "origin", "ts_us", "seq", "n", "kind", "data")]
+        for flow, origin, ts_us, seq, n, kind, data in zip(*columns, strict=True):
+            if (flow, origin) != key:
+                key, held = (flow, origin), []
+            held.append(data)
+            if kind is not None:
+                yield _arrow([(flow, ts_us, seq, n, kind, b"".join(held))], _WHOLE_ARROW)
+                held = []
+
+
+def _joined(result: DataFrame, marks: DataFrame, keyed: DataFrame, gap_us: int | None) -> DataFrame:
+    """(flow, ts_us, seq, n, kind, data) of what spans chunks; kind ``left`` where a flow ends inside a body."""
+    spark = result.sparkSession
+    first = result.filter("kind = 'part'").selectExpr(
+        "flow", "chunk as origin", "chunk as place", "0L as at", "null as ts_us", "null as seq", "null as n",
+        "null as kind", "data",
+    )
+    last = result.filter("origin IS NOT NULL").selectExpr(
+        "flow", "origin", f"{_LAST_PLACE}L as place", "0L as at", "ts_us", "seq", "n", "kind", "data"
+    )
+    ends = marks.filter("status IN ('closed', 'left') AND origin IS NOT NULL").selectExpr(
+        "flow", "origin", f"{_LAST_PLACE}L as place", "0L as at", "ts_us", "0L as seq", "0 as n",
+        "if(status = 'left', 'left', 'open') as kind", "X'' as data",
+    )
+    parts = spark.createDataFrame([], _PARTS).union(first).union(last).union(ends)
+    swallowed = marks.filter("status = 'swallowed'").select("flow", "chunk", "origin")
+    if not swallowed.isEmpty():
+        inner = _dealt(keyed.join(swallowed.select("flow", "chunk"), ["flow", "chunk"], "left_semi")).mapInArrow(
+            functools.partial(_collect_sorted, gap_us=gap_us), "flow string, chunk bigint, at bigint, data binary"
+        )
+        parts = parts.union(
+            inner.join(swallowed, ["flow", "chunk"]).selectExpr(
+                "flow", "origin", "chunk as place", "at", "null as ts_us", "null as seq", "null as n", "null as kind", "data"
+            )
+        )
+    return (
+        parts.repartition("flow", "origin")
+        .sortWithinPartitions("flow", "origin", "place", "at")
+        .mapInArrow(_join_sorted, "flow string, ts_us bigint, seq bigint, n int, kind string, data binary")
     )
 
 
@@ -289,20 +515,27 @@ IDLE_SECONDS = 600
 
 
 def reassemble(
-    segments: DataFrame, chunk: str = "1 minute", idle_seconds: int = IDLE_SECONDS
+    segments: DataFrame,
+    chunk: str = "1 minute",
+    idle_seconds: int = IDLE_SECONDS,
+    copy_gap_seconds: int | None = None,
 ) -> DataFrame:
     """Whole messages, rejected bytes and unfinished messages of all flows.
 
-    Input: :data:`apilens.schemas.SEGMENTS`, copies already removed. Output: the flow columns,
+    Input: :data:`apilens.schemas.SEGMENTS`. Output: the flow columns,
     ``ts`` and ``seq`` of the completing segment, ``n`` (ordinal inside that segment), ``kind``
     (``message``, ``reject`` or ``open``) and ``data``. ``chunk`` is the length of a time chunk: it bounds
     the part of a flow that one task handles and has no influence on the result. A flow that is silent for
     more than ``idle_seconds`` starts anew, as its port may serve another connection then; what it had
     begun comes out as ``open``, and so does what is unfinished at the end.
 
+    With ``copy_gap_seconds`` copies of segments are dropped on the way, by the rule of
+    :func:`apilens.sources.segments.dedup_segments` but without its shuffle; chunks are at least that long
+    then. Without it there must not be any.
+
     This is a job, not only a plan: the rounds run before it returns.
     """
-    framed, left = reassemble_onto(segments, None, chunk, idle_seconds)
+    framed, left = reassemble_onto(segments, None, chunk, idle_seconds, copy_gap_seconds)
     return framed.unionByName(_opened(left.select("flow", "ts_us", F.col("state").alias("data"))))
 
 
@@ -319,11 +552,11 @@ def _opened(flows: DataFrame) -> DataFrame:
 def _named(rows: DataFrame) -> DataFrame:
     flow = F.split("flow", r"\|")
     return rows.select(
-        flow[0].alias("node"),
-        flow[1].alias("src_ip"),
-        flow[2].cast("int").alias("src_port"),
-        flow[3].alias("dst_ip"),
-        flow[4].cast("int").alias("dst_port"),
+        F.nullif(flow[0], F.lit(_NULL)).alias("node"),
+        F.nullif(flow[1], F.lit(_NULL)).alias("src_ip"),
+        F.nullif(flow[2], F.lit(_NULL)).cast("int").alias("src_port"),
+        F.nullif(flow[3], F.lit(_NULL)).alias("dst_ip"),
+        F.nullif(flow[4], F.lit(_NULL)).cast("int").alias("dst_port"),
         F.timestamp_micros("ts_us").alias("ts"),
         "seq",
         "n",
@@ -332,59 +565,85 @@ def _named(rows: DataFrame) -> DataFrame:
     )
 
 
+# Stands for a missing part of a flow's key.
+_NULL = "-"
+
+
+def _keyed(segments: DataFrame, width_us: int, gap_us: int | None) -> DataFrame:
+    """Segments with flow and chunk. To recognise copies across a border, the digests of the last segments of a chunk
+    go to the chunk behind as well."""
+    ts_us = F.unix_micros("ts")
+    chunk = F.floor(ts_us / F.lit(width_us)).cast("bigint")
+    flow = F.concat_ws("|", *(F.coalesce(F.col(name).cast("string"), F.lit(_NULL)) for name in FLOW))
+    rows = non_empty(segments).select(flow.alias("flow"), chunk.alias("own"), ts_us.alias("ts_us"), "seq", "payload")
+    segment = F.struct(F.col("own").alias("chunk"), F.lit(_SEGMENT).alias("role"), F.col("payload").alias("payload"))
+    if gap_us is None:
+        return rows.select("flow", "own", "ts_us", "seq", "payload").selectExpr(
+            "flow", "own as chunk", f"{_SEGMENT} as role", "ts_us", "seq", "payload"
+        )
+    digest = F.unhex(F.md5("payload"))
+    context = F.struct(
+        (F.col("own") + 1).alias("chunk"), F.lit(_CONTEXT).alias("role"), digest.alias("payload")
+    )
+    border = F.col("seq").isNotNull() & (F.col("ts_us") + gap_us >= (F.col("own") + 1) * width_us)
+    both = F.when(border, F.array(segment, context)).otherwise(F.array(segment))
+    return rows.select("flow", "ts_us", "seq", F.inline(both)).select(
+        "flow", "chunk", "role", "ts_us", "seq", "payload"
+    )
+
+
 def reassemble_onto(
     segments: DataFrame,
     open_flows: DataFrame | None,
     chunk: str = "1 minute",
     idle_seconds: int = IDLE_SECONDS,
+    copy_gap_seconds: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`reassemble`, for segments that continue ``open_flows`` (:data:`OPEN_FLOWS`).
 
     Returns the messages and the flows that are open afterwards. What a flow had open counts as a
     chunk before all others.
     """
-    ts_us = F.unix_micros("ts")
     idle_us = idle_seconds * 1_000_000
-    width = F.lit(_microseconds(chunk))
-    keyed = non_empty(segments).select(
-        F.concat_ws("|", *FLOW).alias("flow"),
-        F.floor(ts_us / width).cast("bigint").alias("chunk"),
-        F.lit(0).alias("carried"),
-        ts_us.alias("ts_us"),
-        "seq",
-        "payload",
-    )
+    gap_us = None if copy_gap_seconds is None else copy_gap_seconds * 1_000_000
+    width_us = _microseconds(chunk)
+    if gap_us is not None and width_us < gap_us:
+        raise ValueError("a chunk is at least as long as the copy gap")
+    keyed = _keyed(segments, width_us, gap_us)
+    none = F.lit(0).cast("bigint")
     if open_flows is not None:
         keyed = keyed.unionByName(
             open_flows.select(
                 "flow",
                 F.lit(_BEFORE_ALL).cast("bigint").alias("chunk"),
-                F.lit(1).alias("carried"),
+                F.lit(_ENTRY).alias("role"),
                 "ts_us",
-                F.lit(0).cast("bigint").alias("seq"),
+                none.alias("seq"),
                 F.col("state").alias("payload"),
             )
         )
-    rounds = [staged(_frame(keyed, idle_us).withColumn("round", F.lit(0)), "framed", ("kind",))]
+    rounds = [staged(_frame(keyed, idle_us, gap_us).withColumn("round", F.lit(0)), "framed", ("kind",))]
     edges = rounds[0].filter("kind = 'edge'")
     replaced = None
     while True:
-        stale = staged(_stale(edges, idle_us), "stale")
+        marks = staged(_resolve(edges, idle_us), "marks")
+        stale = marks.filter("status = 'stale'")
         if stale.isEmpty():
             break
         names = stale.select("flow", "chunk")
-        carried = stale.select(
+        exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("exit"))
+        carried = stale.join(exits, ["flow", "before"], "left").select(
             "flow",
             "chunk",
-            F.lit(1).alias("carried"),
-            F.lit(0).cast("bigint").alias("ts_us"),
-            F.lit(0).cast("bigint").alias("seq"),
-            F.col("carry").alias("payload"),
+            F.lit(_ENTRY).alias("role"),
+            none.alias("ts_us"),
+            none.alias("seq"),
+            F.coalesce("entry", "exit").alias("payload"),
         )
         again = keyed.join(names, ["flow", "chunk"], "left_semi").unionByName(carried)
         number = len(rounds)
         redone = staged(
-            _frame(again, idle_us).withColumn("round", F.lit(number)), "framed", ("kind",)
+            _frame(again, idle_us, gap_us).withColumn("round", F.lit(number)), "framed", ("kind",)
         )
         outdated = (
             edges.join(names, ["flow", "chunk"], "left_semi").select("flow", "chunk", "round")
@@ -394,19 +653,23 @@ def reassemble_onto(
         )
         rounds.append(redone)
         edges = _latest([r.filter("kind = 'edge'") for r in rounds], replaced)
-    result = _latest([r.filter("kind <> 'edge'") for r in rounds], replaced)
-    closed = edges.join(
-        _in_order(edges, idle_us).filter("closes").select("flow", "chunk"), ["flow", "chunk"], "left_semi"
-    ).select("flow", "ts_us", "data")
+    inside = marks.filter("status = 'swallowed'").select("flow", "chunk")
+    result = _latest([r.filter("kind <> 'edge'") for r in rounds], replaced).join(
+        inside, ["flow", "chunk"], "left_anti"
+    )
+    joined = staged(_joined(result, marks, keyed, gap_us), "joined", ("kind",))
+    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("state"))
+    ended = marks.filter("status IN ('closed', 'left') AND before IS NOT NULL").join(exits, ["flow", "before"])
+    columns = ("flow", "ts_us", "seq", "n", "kind", "data")
+    messages = result.filter("kind <> 'part' AND origin IS NULL").select(*columns)
+    messages = messages.union(joined.filter("kind <> 'left'").select(*columns))
+    closed = ended.filter("status = 'closed'").select("flow", "ts_us", F.col("state").alias("data"))
     left = (
-        edges.groupBy("flow")
-        .agg(
-            F.max_by("data", "chunk").alias("state"), F.max("ts_us").alias("ts_us")
-        )
-        .filter(F.col("state") != F.lit(FRESH))
+        ended.filter("status = 'left'")
         .select("flow", "ts_us", "state")
+        .union(joined.filter("kind = 'left'").select("flow", "ts_us", F.concat(F.lit(FRESH), "data").alias("state")))
     )
-    return _named(result).unionByName(_opened(closed)), left
+    return _named(messages).unionByName(_opened(closed)), left
 
 
 def _latest(rounds: list[DataFrame], replaced: DataFrame | None) -> DataFrame:

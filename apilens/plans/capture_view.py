@@ -309,6 +309,52 @@ def segments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_download_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 10,000 events are an hour of two downloads, an event a segment; every ninth is seen twice.
+
+    A head with the length of the whole body comes first; a short answer and the first bytes of a head come last.
+    """
+    piece = "concat(cast(event_id as string), ':', props, ';')"
+    event = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "event_id div 10000 as hour",
+        "cast(8000 + event_id % 2 as int) as src_port",
+        f"{piece} as piece",
+        "1704067200000000 + (event_id div 10000) * 7200000000 + (event_id % 10000) * 360000 as us",
+    )
+    heads = event.groupBy("hour", "src_port").agg(
+        F.sum(F.octet_length("piece")).alias("size"), F.min("us").alias("first"), F.max("us").alias("last")
+    )
+    text = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
+    around = heads.select(
+        "hour",
+        "src_port",
+        F.inline(
+            F.array(
+                F.struct((F.col("first") - 1000).alias("us"), F.lit(-2).cast("bigint").alias("seq"), text.alias("piece")),
+                F.struct(
+                    (F.col("last") + 1000).alias("us"),
+                    F.lit(-1).cast("bigint").alias("seq"),
+                    F.lit("HTTP/1.1 204 No Content\r\nContent-Length: 0\r\n\r\nHTTP/1.1 20").alias("piece"),
+                ),
+            )
+        ),
+    )
+    copies = F.when(F.col("event_id") % 9 == 0, F.array(F.lit(0), F.lit(5000))).otherwise(F.array(F.lit(0)))
+    body = event.select("hour", "src_port", "us", F.col("event_id").alias("seq"), "piece", F.explode(copies).alias("late"))
+    return body.withColumn("us", F.col("us") + F.col("late")).drop("late").unionByName(around).select(
+        F.timestamp_micros("us").alias("ts"),
+        F.lit("node-0").alias("node"),
+        F.lit("eth0").alias("iface"),
+        F.concat(F.lit("10.96.1."), F.col("hour").cast("string")).alias("src_ip"),
+        "src_port",
+        F.lit("10.244.0.1").alias("dst_ip"),
+        F.lit(50000).alias("dst_port"),
+        "seq",
+        F.encode("piece", "UTF-8").alias("payload"),
+    )
+
+
 def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request segments as IPv4/TCP packets, every seventh with TCP options, some UDP between."""
     def address(column: str):

@@ -670,6 +670,20 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
         ),
         "reassemble": _with(_M, _PARSED),
         "messages_from_segments": _with(_C, _FROM_SEGMENTS),
+        "long_bodies": (
+            "WITH e AS (SELECT event_id, event_id // 10000 AS hour, CAST(8000 + event_id % 2 AS INTEGER) AS src_port, "
+            "concat(event_id, ':', props, ';') AS piece, 1704067200000000 + (event_id // 10000) * 7200000000 "
+            "+ (event_id % 10000) * 360000 AS us FROM events), "
+            "g AS (SELECT hour, src_port, string_agg(piece, '' ORDER BY event_id) AS body, max(us) AS last "
+            "FROM e GROUP BY ALL), "
+            "d AS (SELECT hour, src_port, 'message' AS kind, last AS ts_us, concat('HTTP/1.1 200 OK', chr(13), chr(10), "
+            "'Content-Length: ', octet_length(encode(body)), chr(13), chr(10), chr(13), chr(10), body) AS data FROM g "
+            "UNION ALL SELECT hour, src_port, 'message', last + 1000, concat('HTTP/1.1 204 No Content', chr(13), chr(10), "
+            "'Content-Length: 0', chr(13), chr(10), chr(13), chr(10)) FROM g "
+            "UNION ALL SELECT hour, src_port, 'open', last + 1000, 'HTTP/1.1 20' FROM g) "
+            "SELECT concat('10.96.1.', hour) AS src_ip, src_port, kind, ts_us, "
+            "CAST(octet_length(encode(data)) AS BIGINT) AS bytes, md5(data) AS digest FROM d"
+        ),
         "capture_roundtrip": _with(_C, _RECORDS),
         "log_line_roundtrip": _with(_C, _RECORDS),
         "stream_reassemble": _with(_C, _FROM_SEGMENTS),

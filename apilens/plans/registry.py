@@ -508,7 +508,7 @@ def dedup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages_of(segment_table: DataFrame) -> DataFrame:
-    framed = reassembly.reassemble(segments.dedup_segments(segment_table))
+    framed = reassembly.reassemble(segment_table, copy_gap_seconds=segments.COPY_GAP_SECONDS)
     return messages.http_records(
         messages.parse_messages(reassembly.messages_only(framed))
     )
@@ -534,6 +534,17 @@ def _paired_columns(df: DataFrame) -> DataFrame:
     )
 
 
+@_query
+def long_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Downloads that go on for an hour, in chunks of a minute, each followed by one short answer."""
+    framed = reassembly.reassemble(
+        view.long_download_segments(spark, sf_dir), copy_gap_seconds=segments.COPY_GAP_SECONDS
+    )
+    return framed.select(
+        "src_ip", "src_port", "kind", _us(), F.length("data").cast("bigint").alias("bytes"), F.md5("data").alias("digest")
+    )
+
+
 @_query
 def capture_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "captures")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from apilens import schemas
+from apilens.operators import reassembly
 from apilens.operators.messages import http_records, malformed, parse_messages
 from apilens.operators.reassembly import (
     FRESH,
@@ -21,6 +22,7 @@ from apilens.operators.reassembly import (
     rejects_only,
 )
 from apilens.sources import segments as seg
+from apilens.staging import staged
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -173,6 +175,64 @@ def test_one_flow_holding_everything(spark):
     assert messages_only(got).count() == 51 and rejects_only(got).count() == 0
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_body_takes_no_more_rounds_over_more_chunks(spark, monkeypatch, whole):
+    """As many written tables for a body over 2 chunks as over 200."""
+    written = {}
+    for chunks in (2, 200):
+        big = post(bytes(range(250)) * 4 * chunks)
+        pieces = [big[i : i + 500] for i in range(0, len(big), 500)]
+        if not whole:
+            pieces = pieces[:-1]
+        rows = [segment(i * 1000, piece, seq=i) for i, piece in enumerate(pieces)]
+        rows += [segment(i * 1000 + 5, GET, ("n1", "10.0.0.9", 1, "10.0.0.2", 80), seq=i) for i in range(3)]
+        names = []
+        monkeypatch.setattr(reassembly, "staged", lambda df, name, by=(): names.append(name) or staged(df, name, by))
+        got = collected(reassemble(spark.createDataFrame(rows, schemas.SEGMENTS), "2 seconds"))
+        want, left = one_pass(rows)
+        assert [r for r in got if r[8] != "open"] == want
+        assert [r[9] for r in got if r[8] == "open"] == [state[1:] for state in left.values()]
+        written[chunks] = names
+    assert written[2] == written[200]
+
+
+def with_copies(rows, seed):
+    """Some segments again, milliseconds to 25 seconds later, some several times, some without seq."""
+    rng = random.Random(seed)
+    out = []
+    for row in rows:
+        row = (*row[:7], None if rng.random() < 0.05 else row[7], row[8])
+        out.append(row)
+        for _ in range(rng.choice((0, 0, 0, 1, 3))):
+            out.append((row[0] + timedelta(milliseconds=rng.choice((1, 900, 9_999, 10_000, 25_000))), *row[1:]))
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "chunk"), [(1, "10 seconds"), (2, "1 minute"), (3, "1 hour")])
+def test_copies_dropped_on_the_way(spark, seed, chunk):
+    """The same as dropping them before, also where copies stand on both sides of a border."""
+    rows = with_copies([(START + (r[0] - START) * 30, *r[1:]) for r in random_traffic(seed, flows=3)], seed)
+    df = spark.createDataFrame(rows, schemas.SEGMENTS)
+    assert collected(reassemble(df, chunk, copy_gap_seconds=10)) == collected(reassemble(seg.dedup_segments(df), "1 hour"))
+
+
+def test_one_exchange_of_payloads(spark):
+    df = spark.createDataFrame([segment(0, GET)], schemas.SEGMENTS)
+    framed = reassembly._frame(reassembly._keyed(df, 60_000_000, 10_000_000), 600_000_000, 10_000_000)
+    plan = framed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    with pytest.raises(ValueError):
+        reassemble(df, "1 second", copy_gap_seconds=10)
+
+
+def test_missing_parts_of_a_flow(spark):
+    flow = ("n1", "10.0.0.1", None, None, 80)
+    got = reassemble(spark.createDataFrame([segment(0, GET, flow), segment(1, GET[:5], flow, 1)], schemas.SEGMENTS))
+    assert sorted(((r.src_port, r.dst_ip, r.dst_port, r.kind) for r in got.collect()), key=str) == [
+        (None, None, 80, "message"), (None, None, 80, "open")]
+
+
 @pytest.mark.parametrize("chunk", ["1 second", "1 minute", "2 hours"])
 def test_silence_starts_a_flow_anew(spark, chunk):
     """A port that is used again does not go on with the body that was never finished."""
