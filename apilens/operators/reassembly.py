@@ -173,7 +173,7 @@ class Framer:
             yield ("message" if whole else "reject"), self._take(total)
 
 
-class _ChunkFramer:
+class ChunkFramer:
     """Frames a chunk from what it was given: a framer's state, or a body to skip first."""
 
     def __init__(self, entry: bytes = FRESH):
@@ -289,7 +289,7 @@ def _frame_sorted(
     """
     rows: list[tuple] = []
     size = 0
-    key, framer, entry, first, last, total, silence = None, _ChunkFramer(), FRESH, None, (0, 0), 0, False
+    key, framer, entry, first, last, total, silence = None, ChunkFramer(), FRESH, None, (0, 0), 0, False
     none = (None,) * 5
 
     def edge() -> None:
@@ -302,15 +302,15 @@ def _frame_sorted(
         if place != key:
             if key is not None:
                 edge()
-            key, framer, entry, first, last, total, silence = place, _ChunkFramer(), FRESH, None, (0, 0), 0, False
+            key, framer, entry, first, last, total, silence = place, ChunkFramer(), FRESH, None, (0, 0), 0, False
         if first is not None and role == _SEGMENT and place[1] != _BEFORE_ALL and ts_us - last[0] > idle_us:
             unfinished, origin = framer.unfinished()
             if unfinished or origin is not None:
                 rows.append((*key, last[0], 0, 0, "open", unfinished, None, None, None, None, origin))
-            framer, silence = _ChunkFramer(), True
+            framer, silence = ChunkFramer(), True
         last = max(last, (ts_us, seq))
         if role == _ENTRY:
-            framer, entry = _ChunkFramer(payload), payload
+            framer, entry = ChunkFramer(payload), payload
             first = ts_us if place[1] == _BEFORE_ALL else first
             continue
         first = ts_us if first is None else first
@@ -359,8 +359,8 @@ def _resolve_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator
     """Read the edges of each flow in order; one number or digest is carried along.
 
     Rows: ``stale`` chunks with what they should be given (``entry``, or what the chunk ``before`` left),
-    ``swallowed`` chunks that lie inside the body begun in ``origin``, and what is open where a flow falls
-    silent (``closed``) or ends (``left``).
+    ``swallowed`` chunks that lie inside the body begun in ``origin``, ``spanned`` chunks that a body reaches into,
+    and what is open where a flow falls silent (``closed``) or ends (``left``).
     """
     rows: list[tuple] = []
     flow, given, source, last_us = None, _FRESH_MARK, None, 0
@@ -391,6 +391,7 @@ def _resolve_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator
                         last_us = ts_us
                         continue
                     entry, before = given, None
+                    rows.append((flow, chunk, "spanned", None, None, None, ts_us))
                 elif given == _FRESH_MARK:
                     entry, before = FRESH, None
                 else:
@@ -425,6 +426,7 @@ def _resolve(edges: DataFrame, idle_us: int) -> DataFrame:
 
 
 _PARTS = "flow string, origin bigint, place bigint, at bigint, ts_us bigint, seq bigint, n int, kind string, data binary"
+_WHOLE = "flow string, ts_us bigint, seq bigint, n int, kind string, data binary"
 _WHOLE_ARROW = pa.schema(
     [
         ("flow", pa.string()),
@@ -473,7 +475,9 @@ def _join_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = []
 
 
-def _joined(result: DataFrame, marks: DataFrame, keyed: DataFrame, gap_us: int | None) -> DataFrame:
+def _joined(
+    result: DataFrame, marks: DataFrame, keyed: DataFrame, gap_us: int | None, any_swallowed: bool
+) -> DataFrame:
     """(flow, ts_us, seq, n, kind, data) of what spans chunks; kind ``left`` where a flow ends inside a body."""
     spark = result.sparkSession
     first = result.filter("kind = 'part'").selectExpr(
@@ -489,7 +493,7 @@ def _joined(result: DataFrame, marks: DataFrame, keyed: DataFrame, gap_us: int |
     )
     parts = spark.createDataFrame([], _PARTS).union(first).union(last).union(ends)
     swallowed = marks.filter("status = 'swallowed'").select("flow", "chunk", "origin")
-    if not swallowed.isEmpty():
+    if any_swallowed:
         inner = _dealt(keyed.join(swallowed.select("flow", "chunk"), ["flow", "chunk"], "left_semi")).mapInArrow(
             functools.partial(_collect_sorted, gap_us=gap_us), "flow string, chunk bigint, at bigint, data binary"
         )
@@ -501,10 +505,15 @@ def _joined(result: DataFrame, marks: DataFrame, keyed: DataFrame, gap_us: int |
     return (
         parts.repartition("flow", "origin")
         .sortWithinPartitions("flow", "origin", "place", "at")
-        .mapInArrow(_join_sorted, "flow string, ts_us bigint, seq bigint, n int, kind string, data binary")
+        .mapInArrow(_join_sorted, _WHOLE)
     )
 
 
+# Segments seen last, by the MD5 of their payload: what later ones can be copies of.
+RECENT = (
+    "node string, src_ip string, src_port int, dst_ip string, dst_port int, seq bigint, "
+    "digest string, last_us bigint"
+)
 # Flows with unused bytes: what is left over after one batch of segments and opens the next.
 OPEN_FLOWS = "flow string, ts_us bigint, state binary"
 _BEFORE_ALL = -(1 << 62)
@@ -549,33 +558,34 @@ def _opened(flows: DataFrame) -> DataFrame:
     return _named(rows.filter(F.length("data") > 0))
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    flow = F.split("flow", r"\|")
+def flow_columns(rows: DataFrame) -> DataFrame:
+    """The columns that the key ``flow`` was made of, ``ts`` from ``ts_us``, and all other columns."""
+    part = [F.nullif(p, F.lit(_NULL)) for p in (F.get(F.split("flow", r"\|"), i) for i in range(len(FLOW)))]
+    typed = [p.cast("int") if name.endswith("port") else p for name, p in zip(FLOW, part, strict=True)]
+    others = [c for c in rows.columns if c not in ("flow", "ts_us")]
     return rows.select(
-        F.nullif(flow[0], F.lit(_NULL)).alias("node"),
-        F.nullif(flow[1], F.lit(_NULL)).alias("src_ip"),
-        F.nullif(flow[2], F.lit(_NULL)).cast("int").alias("src_port"),
-        F.nullif(flow[3], F.lit(_NULL)).alias("dst_ip"),
-        F.nullif(flow[4], F.lit(_NULL)).cast("int").alias("dst_port"),
-        F.timestamp_micros("ts_us").alias("ts"),
-        "seq",
-        "n",
-        "kind",
-        "data",
+        *(p.alias(name) for name, p in zip(FLOW, typed, strict=True)), F.timestamp_micros("ts_us").alias("ts"), *others
     )
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    return flow_columns(rows).select(*FLOW, "ts", "seq", "n", "kind", "data")
+
+
 # Stands for a missing part of a flow's key.
 _NULL = "-"
 
 
+def _flow() -> Column:
+    return F.concat_ws("|", *(F.coalesce(F.col(name).cast("string"), F.lit(_NULL)) for name in FLOW))
+
+
 def _keyed(segments: DataFrame, width_us: int, gap_us: int | None) -> DataFrame:
     """Segments with flow and chunk. To recognise copies across a border, the digests of the last segments of a chunk
     go to the chunk behind as well."""
     ts_us = F.unix_micros("ts")
     chunk = F.floor(ts_us / F.lit(width_us)).cast("bigint")
-    flow = F.concat_ws("|", *(F.coalesce(F.col(name).cast("string"), F.lit(_NULL)) for name in FLOW))
-    rows = non_empty(segments).select(flow.alias("flow"), chunk.alias("own"), ts_us.alias("ts_us"), "seq", "payload")
+    rows = non_empty(segments).select(_flow().alias("flow"), chunk.alias("own"), ts_us.alias("ts_us"), "seq", "payload")
     segment = F.struct(F.col("own").alias("chunk"), F.lit(_SEGMENT).alias("role"), F.col("payload").alias("payload"))
     if gap_us is None:
         return rows.select("flow", "own", "ts_us", "seq", "payload").selectExpr(
@@ -598,11 +608,12 @@ def reassemble_onto(
     chunk: str = "1 minute",
     idle_seconds: int = IDLE_SECONDS,
     copy_gap_seconds: int | None = None,
+    recent: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Like :func:`reassemble`, for segments that continue ``open_flows`` (:data:`OPEN_FLOWS`).
 
     Returns the messages and the flows that are open afterwards. What a flow had open counts as a
-    chunk before all others.
+    chunk before all others. ``recent`` (:data:`RECENT`) are earlier segments that these may be copies of.
     """
     idle_us = idle_seconds * 1_000_000
     gap_us = None if copy_gap_seconds is None else copy_gap_seconds * 1_000_000
@@ -622,13 +633,22 @@ def reassemble_onto(
                 F.col("state").alias("payload"),
             )
         )
+    if recent is not None:
+        own = F.floor(F.col("last_us") / F.lit(width_us)).cast("bigint")
+        known = recent.select(_flow().alias("flow"), F.col("last_us").alias("ts_us"), "seq", F.unhex("digest").alias("payload"), F.explode(F.array(own, own + 1)).alias("chunk"))
+        keyed = keyed.unionByName(known.withColumn("role", F.lit(_CONTEXT)))
     rounds = [staged(_frame(keyed, idle_us, gap_us).withColumn("round", F.lit(0)), "framed", ("kind",))]
     edges = rounds[0].filter("kind = 'edge'")
     replaced = None
     while True:
         marks = staged(_resolve(edges, idle_us), "marks")
         stale = marks.filter("status = 'stale'")
-        if stale.isEmpty():
+        seen = marks.agg(
+            F.bool_or(F.col("status") == "stale").alias("stale"),
+            F.bool_or(F.col("status") == "swallowed").alias("swallowed"),
+            F.bool_or((F.col("status") == "spanned") | F.col("origin").isNotNull()).alias("spanned"),
+        ).first()
+        if not seen.stale:
             break
         names = stale.select("flow", "chunk")
         exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("exit"))
@@ -657,12 +677,15 @@ def reassemble_onto(
     result = _latest([r.filter("kind <> 'edge'") for r in rounds], replaced).join(
         inside, ["flow", "chunk"], "left_anti"
     )
-    joined = staged(_joined(result, marks, keyed, gap_us), "joined", ("kind",))
+    columns = ("flow", "ts_us", "seq", "n", "kind", "data")
+    if seen.spanned:
+        joined = staged(_joined(result, marks, keyed, gap_us, seen.swallowed), "joined", ("kind",)).select(*columns)
+    else:
+        joined = result.sparkSession.createDataFrame([], _WHOLE)
     exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("state"))
     ended = marks.filter("status IN ('closed', 'left') AND before IS NOT NULL").join(exits, ["flow", "before"])
-    columns = ("flow", "ts_us", "seq", "n", "kind", "data")
     messages = result.filter("kind <> 'part' AND origin IS NULL").select(*columns)
-    messages = messages.union(joined.filter("kind <> 'left'").select(*columns))
+    messages = messages.union(joined.filter("kind <> 'left'"))
     closed = ended.filter("status = 'closed'").select("flow", "ts_us", F.col("state").alias("data"))
     left = (
         ended.filter("status = 'left'")

@@ -19,12 +19,14 @@ from apilens.operators.messages import correlate, http_records, parse_messages,
 from apilens.operators.reassembly import (
     IDLE_SECONDS,
     OPEN_FLOWS,
+    RECENT,
+    flow_columns,
     messages_only,
     reassemble_onto,
 )
 from apilens.operators.services import with_service
 from apilens.sources.captures import write_captures
-from apilens.sources.segments import COPY_GAP_SECONDS, FLOW, dedup_segments
+from apilens.sources.segments import COPY_GAP_SECONDS, FLOW
 from apilens.staging import staged
 
 _ENDS = ("node", "source_ip", "source_port", "destination_ip", "destination_port")
@@ -34,11 +36,6 @@ _REQUEST = (
     "destination_ip string, destination_port int, type string, method string, endpoint string, "
     "host string, version string, service string"
 )
-# Segments seen within the copy gap, by flow: what copies in later micro-batches are copies of.
-_RECENT = (
-    "node string, src_ip string, src_port int, dst_ip string, dst_port int, seq bigint, "
-    "digest string, last_us bigint"
-)
 
 
 def _version(root: str, name: str, number: int) -> str:
@@ -49,26 +46,15 @@ def start_state(spark: SparkSession, root: str) -> None:
     """Empty state, which the first micro-batch (number 0) starts from."""
     spark.createDataFrame([], OPEN_FLOWS).write.parquet(_version(root, "open", -1))
     spark.createDataFrame([], _REQUEST).write.parquet(_version(root, "requests", -1))
-    spark.createDataFrame([], _RECENT).write.parquet(_version(root, "recent", -1))
-
-
-def _unseen(batch: DataFrame, recent: DataFrame) -> DataFrame:
-    """Segments of the batch without copies, also of segments of the batches before."""
-    unique = dedup_segments(batch).withColumn("_digest", F.sha2("payload", 256)).alias("new")
-    old = recent.alias("old")
-    same = F.col("new._digest") == F.col("old.digest")
-    for name in (*FLOW, "seq"):
-        same = same & (F.col(f"new.{name}") == F.col(f"old.{name}"))
-    apart = F.unix_micros("new.ts") - F.col("old.last_us")
-    return unique.join(old, same & (apart <= COPY_GAP_SECONDS * 1_000_000), "left_anti").drop("_digest")
+    spark.createDataFrame([], RECENT).write.parquet(_version(root, "recent", -1))
 
 
 def _recent_segments(batch: DataFrame, recent: DataFrame, newest: int) -> DataFrame:
     """What copies in later micro-batches are recognised by."""
     seen = batch.select(
-        *FLOW, "seq", F.sha2("payload", 256).alias("digest"), F.unix_micros("ts").alias("last_us")
+        *FLOW, "seq", F.md5("payload").alias("digest"), F.unix_micros("ts").alias("last_us")
     ).unionByName(recent)
-    last = seen.filter(F.col("last_us") >= newest - COPY_GAP_SECONDS * 1_000_000)
+    last = seen.filter(F.col("seq").isNotNull() & (F.col("last_us") >= newest - COPY_GAP_SECONDS * 1_000_000))
     return last.groupBy(*FLOW, "seq", "digest").agg(F.max("last_us").alias("last_us"))
 
 
@@ -80,7 +66,8 @@ def assemble_batch(
     A repeated micro-batch writes the same again. State of flows and connections that have been
     silent for ``idle_seconds`` is dropped, and the open bytes of such flows are written to the
     ``expired`` table of the version as rows of kind ``open``; a flow that goes on after such a silence starts anew, as
-    in the batch plan.
+    in the batch plan. What a flow had begun before such a silence and bytes that are no message go to the
+    ``unframed`` table of the version. Nothing is thrown away: see :func:`leftovers`.
     """
 
     def run(batch: DataFrame, number: int) -> None:
@@ -88,12 +75,12 @@ def assemble_batch(
         newest = batch.agg(F.unix_micros(F.max("ts"))).first()[0] or 0
         oldest = newest - idle_seconds * 1_000_000
         open_flows = spark.read.schema(OPEN_FLOWS).parquet(_version(root, "open", number - 1))
-        recent = spark.read.schema(_RECENT).parquet(_version(root, "recent", number - 1))
+        recent = spark.read.schema(RECENT).parquet(_version(root, "recent", number - 1))
         _recent_segments(batch, recent, newest).write.mode("overwrite").parquet(
             _version(root, "recent", number)
         )
         framed, left = reassemble_onto(
-            _unseen(batch, recent), open_flows, idle_seconds=idle_seconds
+            batch, open_flows, idle_seconds=idle_seconds, copy_gap_seconds=COPY_GAP_SECONDS, recent=recent
         )
         left = staged(left, "left")
         left.filter(F.col("ts_us") >= oldest).write.mode("overwrite").parquet(
@@ -105,6 +92,7 @@ def assemble_batch(
         expired.filter(F.length("message") > 0).write.mode("overwrite").parquet(
             _version(root, "expired", number)
         )
+        framed.filter("kind <> 'message'").write.mode("overwrite").parquet(_version(root, "unframed", number))
         parsed = http_records(parse_messages(messages_only(framed)))
         fresh = with_service(parsed, directory()).withColumn("old", F.lit(False))
         remembered = (
@@ -125,6 +113,19 @@ def assemble_batch(
     return run
 
 
+def leftovers(spark: SparkSession, root: str, last: int) -> DataFrame:
+    """Unfinished and rejected bytes of the versions up to ``last``: flow columns, ``ts``, ``kind``, ``data``.
+
+    What is open still, and may go on, is in the ``open`` table of the last version.
+    """
+    versions = range(last + 1)
+    columns = (*FLOW, "ts", "kind", "data")
+    unframed = spark.read.parquet(*(_version(root, "unframed", n) for n in versions)).select(*columns)
+    expired = spark.read.parquet(*(_version(root, "expired", n) for n in versions))
+    named = flow_columns(expired.withColumnRenamed("message", "data"))
+    return unframed.unionByName(named.select(*columns))
+
+
 def assemble_batches(
     segments: DataFrame,
     root: str,

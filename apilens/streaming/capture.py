@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from operator import itemgetter
+from operator import attrgetter
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from apilens.functions import http
 from apilens.functions.hosts import UNKNOWN, host_label, names_no_service
 from apilens.operators.messages import http_records, parse_messages
-from apilens.operators.reassembly import FRESH, IDLE_SECONDS, Framer
+from apilens.operators.reassembly import FRESH, IDLE_SECONDS, ChunkFramer
 from apilens.sources.captures import to_capture_records
 from apilens.sources.segments import COPY_GAP_SECONDS, FLOW
 
@@ -23,12 +22,15 @@ _OUTPUT = (
     "node string, src_ip string, src_port int, dst_ip string, dst_port int, ts_us bigint, "
     "seq bigint, n int, kind string, message binary, request_head binary"
 )
-_STATE = (
-    "low binary, high binary, low_us bigint, high_us bigint, request_head binary, head_us bigint, "
-    "recent binary"
+_Out = Row(*(part.split()[0] for part in _OUTPUT.split(", ")))
+# Of each direction: its flow, when it was seen last, the framer's state or how much of a body is still to come.
+_SIDE = (
+    "forward boolean, node string, src_ip string, src_port int, dst_ip string, dst_port int, "
+    "last_us bigint, state binary, parts int"
 )
+_CONNECTION = "head binary, head_us bigint, recent binary, timer_ms bigint"
 _COPY_GAP_US = COPY_GAP_SECONDS * 1_000_000
-_TAKEN = ("ts_us", "seq", "forward", "payload", *FLOW)
+_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def dedup_stream(segments: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -51,67 +53,113 @@ def _recent(packed: bytes) -> dict[bytes, int]:
     return {packed[a : a + 16]: int.from_bytes(packed[a + 16 : a + 24], "little") for a in range(0, len(packed), 24)}
 
 
-def _assembler(idle_us: int):
-    def assemble(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            low, high, low_us, high_us, *_ = state.get
-            state.remove()
-            *node, one, other = key[0].rsplit("|", 2)
-            ends = [(a[0], int(a[1])) for a in (one.rsplit(":", 1), other.rsplit(":", 1))]
-            rows = [
-                (node[0] if node else None, *source, *target, us, 0, 0, "open", bytes(left)[1:], None)
-                for left, us, source, target in ((low, low_us, *ends), (high, high_us, *ends[::-1]))
-                if len(left) > 1
-            ]
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
-            return
-        none_yet = (FRESH, FRESH, None, None, None, None, b"")
-        low, high, low_us, high_us, head, head_us, packed = state.get if state.exists else none_yet
+class _Side:
+    """One direction of a connection: a framer, and the stored parts of a body that began in an earlier micro-batch."""
+
+    def __init__(self, flow: tuple, last_us: int | None = None, state: bytes = FRESH, parts: int = 0) -> None:
+        self.flow, self.last_us, self.parts = flow, last_us, parts
+        self.framer = ChunkFramer(state)
+
+    def row(self, forward: bool, state: bytes) -> tuple:
+        return (forward, *self.flow, self.last_us, state, self.parts)
+
+
+class _Assembler(StatefulProcessor):
+    """Messages of one connection.
+
+    State: the last request head and recent digests (a value), both directions (a list of two), and the bytes of
+    unfinished bodies (lists that only grow, so a long body is not written again with every micro-batch). A
+    timer drops it all when the connection has been silent.
+    """
+
+    def __init__(self, idle_us: int) -> None:
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.connection = handle.getValueState("connection", _CONNECTION)
+        self.sides = handle.getListState("sides", _SIDE)
+        self.bodies = {f: handle.getListState(f"body_{'low' if f else 'high'}", "part binary") for f in (True, False)}
+
+    def _body(self, forward: bool, side: _Side) -> bytes:
+        """Stored parts of the body that has ended now."""
+        if not side.parts:
+            return b""
+        whole = b"".join(bytes(r[0]) for r in self.bodies[forward].get())
+        self.bodies[forward].clear()
+        side.parts = 0
+        return whole
+
+    def _open_row(self, forward: bool, side: _Side) -> Row | None:
+        left, origin = side.framer.unfinished()
+        left = self._body(forward, side) + left
+        return _Out(*side.flow, side.last_us, 0, 0, "open", left, None) if left else None
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        head, head_us, packed, timer_ms = self.connection.get() or (None, None, b"", None)
+        sides = {r[0]: _Side(tuple(r[1:6]), r[6], bytes(r[7]), r[8]) for r in self.sides.get()}
         recent = _recent(bytes(packed))
-        last_us = {True: low_us, False: high_us}
-        framers = {True: Framer(bytes(low)), False: Framer(bytes(high))}
         head = None if head is None else bytes(head)
+        newest = 0
         # One micro-batch of one connection; its size is set by the source's admission limit.
-        batch = sorted(
-            (row for frame in frames for row in zip(*(frame[c] for c in _TAKEN), strict=True)),
-            key=itemgetter(0, 1),
-        )
-        rows = []
-        for ts_us, seq, forward, payload, *flow in batch:
-            if not pd.isna(seq):
-                digest = _digest(forward, int(seq), payload)
+        for row in sorted(rows, key=attrgetter("ts_us", "order")):
+            ts_us, payload, newest = row.ts_us, bytes(row.payload), row.ts_us
+            if row.seq is not None:
+                digest = _digest(row.forward, row.seq, payload)
                 before, recent[digest] = recent.get(digest), ts_us
                 if before is not None and ts_us - before <= _COPY_GAP_US:
                     continue
-            if last_us[forward] is not None and ts_us - last_us[forward] > idle_us:
+            flow = tuple(row[c] for c in FLOW)
+            side = sides.setdefault(row.forward, _Side(flow))
+            if side.last_us is not None and ts_us - side.last_us > self.idle_us:
                 # the port serves another connection now
-                if len(framers[forward].state) > 1:
-                    unfinished = framers[forward].state[1:]
-                    rows.append((*flow, last_us[forward], 0, 0, "open", unfinished, None))
-                framers[forward] = Framer()
-            last_us[forward] = ts_us
-            for n, (kind, data) in enumerate(framers[forward].feed(payload)):
+                opened = self._open_row(row.forward, side)
+                if opened:
+                    yield opened
+                side = sides[row.forward] = _Side(flow)
+            side.last_us = ts_us
+            for n, (kind, data, origin) in enumerate(side.framer.feed(payload)):
+                if origin is not None:
+                    data = self._body(row.forward, side) + data
                 is_response = data.startswith(b"HTTP/")
                 if kind == "message" and not is_response:
                     head, head_us = data[: data.find(b"\r\n\r\n") + 4], ts_us
-                elif head_us is not None and ts_us - head_us > idle_us:
+                elif head_us is not None and ts_us - head_us > self.idle_us:
                     head = head_us = None
-                rows.append((*flow, ts_us, seq, n, kind, data, head if is_response else None))
-        kept = b"".join(
-            d + us.to_bytes(8, "little") for d, us in recent.items() if batch[-1][0] - us <= _COPY_GAP_US
-        )
-        state.update(
-            (framers[True].state, framers[False].state, last_us[True], last_us[False], head, head_us, kept)
-        )
-        newest = batch[-1][0] // 1000
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_us // 1000)
-        if rows:
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _OUTPUT.split(", ")])
+                yield _Out(*flow, ts_us, row.seq or 0, n, kind, data, head if is_response else None)
+        left = []
+        for forward, side in sides.items():
+            state, part = side.framer.leave(0)
+            part = part if part is not None else b"".join(side.framer.head) if side.framer.skip else None
+            if part:
+                self.bodies[forward].appendValue((part,))
+                side.parts += 1
+            left.append(side.row(forward, state))
+        self.sides.put(left)
+        kept = b"".join(d + us.to_bytes(8, "little") for d, us in recent.items() if newest - us <= _COPY_GAP_US)
+        if timer_ms is None:
+            timer_ms = max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_us // 1000
+            self.handle.registerTimer(timer_ms)
+        self.connection.update((head, head_us, kept, timer_ms))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        sides = {r[0]: _Side(tuple(r[1:6]), r[6], bytes(r[7]), r[8]) for r in self.sides.get()}
+        due = max((s.last_us for s in sides.values()), default=0) // 1000 + self.idle_us // 1000
+        if due > timerValues.getCurrentWatermarkInMs():
+            # there was traffic since the timer was set
+            head, head_us, recent, _ = self.connection.get()
+            self.connection.update((head, head_us, recent, due))
+            self.handle.registerTimer(due)
+            return
+        for forward, side in sides.items():
+            opened = self._open_row(forward, side)
+            if opened:
+                yield opened
+        self.connection.clear()
+        self.sides.clear()
 
-    return assemble
+    def close(self) -> None:
+        pass
 
 
 def assemble_stream(
@@ -120,27 +168,33 @@ def assemble_stream(
     """Whole messages of a segment stream; responses come with the head of their request.
 
     Copies of segments are dropped as in the batch plan, also if they come in different micro-batches. A
-    direction that goes on after a silence of more than ``idle_seconds`` starts anew.
+    direction that goes on after a silence of more than ``idle_seconds`` starts anew, and what it had begun
+    comes out with kind ``open``.
 
     State per connection: the open bytes of both directions and the last request head. It is
-    dropped, and its open bytes come out with kind ``open``, once the watermark has passed the connection's last segment by ``idle_seconds``, so
-    connections that fall silent do not pile up. Segments have to arrive in capture order, apart
-    from the order inside a micro-batch.
+    dropped, and its open bytes come out with kind ``open``, once the watermark has passed the connection's last
+    segment by ``idle_seconds``, so connections that fall silent do not pile up. Segments have to arrive in
+    capture order, apart from the order inside a micro-batch. Flows whose columns are partly null are flows like others.
+
+    The operator needs the RocksDB state store, which this switches on for the session.
     """
-    low = F.concat_ws(":", "src_ip", "src_port")
-    high = F.concat_ws(":", "dst_ip", "dst_port")
+    segments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STATE_STORE)
+
+    def end(ip: str, port: str) -> Column:
+        return F.concat_ws(":", F.coalesce(ip, F.lit("-")), F.coalesce(F.col(port).cast("string"), F.lit("-")))
+
+    low, high = end("src_ip", "src_port"), end("dst_ip", "dst_port")
     keyed = (
         segments.withWatermark("ts", delay)
         .select("ts", F.unix_micros("ts").alias("ts_us"), *FLOW, "seq", "payload")
+        .withColumn("order", F.coalesce("seq", F.lit(0).cast("bigint")))
         .withColumn("forward", low < high)
-        .withColumn("connection", F.concat_ws("|", "node", F.least(low, high), F.greatest(low, high)))
+        .withColumn(
+            "connection", F.concat_ws("|", F.coalesce("node", F.lit("-")), F.least(low, high), F.greatest(low, high))
+        )
     )
-    assembled = keyed.groupBy("connection").applyInPandasWithState(
-        _assembler(idle_seconds * 1_000_000),
-        _OUTPUT,
-        _STATE,
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
+    assembled = keyed.groupBy("connection").transformWithState(
+        _Assembler(idle_seconds * 1_000_000), _OUTPUT, "append", "eventTime"
     )
     return assembled.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")
 

@@ -241,15 +241,64 @@ def test_expired_bytes_come_out_open(spark, tmp_path, directory):
     assert [(r.kind, bytes(r.message)) for r in got] == [("open", b"GET /x HTTP/1.1\r\n")]
 
 
-def test_timed_out_bytes_come_out_open():
-    class Ended:
-        hasTimedOut = True
-        get = (keyed.FRESH, keyed.FRESH + b"HTTP/1.1 2", 5, 7, None, None, b"")
+HALF = b"POST /a HTTP/1.1\r\nHost: x\r\nContent-Length: 60\r\n\r\n" + b"x" * 20
+WHOLE = b"GET /b HTTP/1.1\r\nHost: x\r\n\r\n"
 
-        def remove(self):
-            self.hasTimedOut = False
 
-    rows = [r for f in keyed._assembler(1)(("n|10.0.0.1:4000|10.0.0.2:80",), iter(()), Ended()) for r in f.to_dict("records")]
-    assert [(r["node"], r["src_ip"], r["dst_port"], r["ts_us"], r["kind"], r["message"]) for r in rows] == [
-        ("n", "10.0.0.2", 4000, 7, "open", b"HTTP/1.1 2")
+@pytest.mark.parametrize("cuts", [(1, 2), (1, 2, 3), (3,)])
+@pytest.mark.parametrize("plan", ["keyed", "batches"])
+def test_nothing_is_lost(spark, tmp_path, plan, cuts):
+    """Flows that resume after a silence, that never do, with foreign bytes and without ports: as the batch plan,
+    wherever the micro-batches are cut."""
+    if plan == "keyed" and cuts not in ((1, 2), (3,)):
+        return
+    flows = [("n", "eth0", "10.0.0.1", 1, "10.0.0.2", 80), ("n", "eth0", "10.0.0.1", 2, "10.0.0.2", 80),
+             ("n", "eth0", "10.0.0.1", None, "10.0.0.2", None)]
+    times = [
+        [(0, 0, HALF), (0, 1, HALF), (1, 2, HALF)],
+        [(700, 0, b"~~" + WHOLE), (710, 2, WHOLE[:9])],
+        [(705, 0, HALF)],
+        [(2000, 0, WHOLE), (4000, 0, WHOLE)],
     ]
+    batches, number = [], 0
+    for i, part in enumerate(times):
+        if i == 0 or i in cuts:
+            batches.append([])
+        for seconds, flow, payload in part:
+            number += 1
+            batches[-1].append((START + timedelta(seconds=seconds), *flows[flow], number, payload))
+    path, root = str(tmp_path / "in"), str(tmp_path / "root")
+    for batch in batches:
+        spark.createDataFrame(batch, schemas.SEGMENTS).coalesce(1).write.mode("append").parquet(path)
+    want = reassemble(read_segments(spark, path)).filter("kind <> 'message'")
+    stream = read_segments(spark, path, streaming=True, max_files_per_trigger=1)
+    if plan == "batches":
+        assembly.start_state(spark, root)
+        none = spark.createDataFrame([], "ip string, ip_service string")
+        assembly.assemble_batches(stream, root, f"{root}/out", f"{root}/check", lambda: none).awaitTermination()
+        got = assembly.leftovers(spark, root, len(batches) - 1)
+        assert captures.read_captures(spark, f"{root}/out").count() == 3
+        assert spark.read.parquet(f"{root}/open/batch={len(batches) - 1}").count() == 0
+    else:
+        query = keyed.assemble_stream(stream, delay="0 seconds").writeStream.format("memory").queryName("left").option(
+            "checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("left").filter("kind = 'message'").count() == 3
+        got = spark.table("left").filter("kind <> 'message'").withColumnRenamed("message", "data")
+    columns = ["src_port", "kind", "data"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    assert want.count() == 6
+
+
+def test_long_body_in_keyed_state(spark, tmp_path):
+    """A body over many micro-batches; its parts are stored once each."""
+    path = str(tmp_path / "in")
+    message = b"POST /a HTTP/1.1\r\nHost: x\r\nContent-Length: 50\r\n\r\n" + bytes(range(50)) + WHOLE
+    for i in range(0, len(message), 20):
+        row = (START + timedelta(seconds=i), "n", "eth0", *CLIENT, *SERVER, i, message[i : i + 20])
+        spark.createDataFrame([row], schemas.SEGMENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = read_segments(spark, path, streaming=True, max_files_per_trigger=1)
+    keyed.assemble_stream(stream).writeStream.format("memory").queryName("long").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = [bytes(r.message) for r in spark.table("long").orderBy("ts", "n").collect()]
+    assert got == [message[: -len(WHOLE)], WHOLE]
