@@ -355,6 +355,34 @@ def long_download_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def broken_off_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flow per user: half a request that counts the user's events; after a silence foreign bytes and a whole request,
+    but only if the user's number is no multiple of three. Much later one last flow."""
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count("*").alias("events"), F.sum("event_id").alias("total")
+    )
+    parts = users.selectExpr(
+        "user_id",
+        "inline(filter(array("
+        "struct(1 as part, user_id % 60 as second, concat('POST /half HTTP/1.1\r\nContent-Length: 1000\r\n\r\n', "
+        "cast(events as string), ';') as text),"
+        "struct(2 as part, 700 + user_id % 60 as second, concat('~', cast(total as string), '~GET /whole HTTP/1.1\r\n\r\n') as text)),"
+        " p -> p.part = 1 or user_id % 3 > 0))",
+    )
+    last = spark.range(1).selectExpr("-1L as user_id", "3 as part", "5000L as second", "'GET /last HTTP/1.1\r\n\r\n' as text")
+    return parts.unionByName(last).select(
+        F.timestamp_micros(F.lit(1704067200000000) + F.col("second") * 1_000_000).alias("ts"),
+        F.lit("node-0").alias("node"),
+        F.lit("eth0").alias("iface"),
+        F.concat(F.lit("10.244.9."), F.col("user_id").cast("string")).alias("src_ip"),
+        F.when(F.col("user_id") % 2 == 0, F.lit(4000)).alias("src_port"),
+        F.lit("10.96.0.1").alias("dst_ip"),
+        F.lit(80).alias("dst_port"),
+        F.col("part").cast("bigint").alias("seq"),
+        F.encode("text", "UTF-8").alias("payload"),
+    )
+
+
 def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request segments as IPv4/TCP packets, every seventh with TCP options, some UDP between."""
     def address(column: str):

@@ -688,6 +688,15 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
         "log_line_roundtrip": _with(_C, _RECORDS),
         "stream_reassemble": _with(_C, _FROM_SEGMENTS),
         "stream_assemble_batches": _with(_C, _FROM_SEGMENTS),
+        "stream_leftovers": (
+            "WITH u AS (SELECT user_id, count(*) AS events, sum(event_id)::BIGINT AS total FROM events GROUP BY 1), "
+            "d AS (SELECT user_id, user_id % 60 AS second, 'open' AS kind, concat('POST /half HTTP/1.1', chr(13), chr(10), "
+            "'Content-Length: 1000', chr(13), chr(10), chr(13), chr(10), events, ';') AS data FROM u "
+            "UNION ALL SELECT user_id, 700 + user_id % 60, 'reject', concat('~', total, '~') FROM u WHERE user_id % 3 > 0) "
+            "SELECT p.name AS plan, concat('10.244.9.', user_id) AS src_ip, "
+            "CASE WHEN user_id % 2 = 0 THEN 4000 END::INTEGER AS src_port, "
+            "1704067200000000 + second * 1000000 AS ts_us, kind, data FROM d, (VALUES ('batches'), ('keyed')) AS p(name)"
+        ),
         "stream_incremental_extract": _with(_C, f"{_PROJECTED} WHERE {_KEPT}"),
         "stream_catalog": _with(
             _ACTIONS + _CATALOG_AFTER,

@@ -718,6 +718,36 @@ def stream_assemble_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired_columns(captures.read_captures(spark, f"{root}/out"))
 
 
+@_query
+def stream_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unfinished and rejected bytes of both streams; the flows resume after a silence, or never."""
+    root = staging_path(spark, "leftovers")
+    stored = staged(view.broken_off_segments(spark, sf_dir), "broken-off")
+    for part in range(1, 4):
+        stored.filter(F.col("seq") == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def stream() -> DataFrame:
+        return segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=1)
+
+    stream_assembly.start_state(spark, root)
+    stream_assembly.assemble_batches(
+        stream(), root, f"{root}/out", f"{root}/batches", lambda: view.directory_view(spark, sf_dir)
+    ).awaitTermination()
+    columns = ("src_ip", "src_port", _us(), "kind", F.col("data").cast("string").alias("data"))
+    batches = stream_assembly.leftovers(spark, root, 2).select(F.lit("batches").alias("plan"), *columns)
+    (
+        stream_capture.assemble_stream(stream()).withColumnRenamed("message", "data")
+        .writeStream.format("parquet")
+        .option("path", f"{root}/keyed")
+        .option("checkpointLocation", f"{root}/keyed-checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    keyed = spark.read.parquet(f"{root}/keyed").filter("kind <> 'message'").select(F.lit("keyed").alias("plan"), *columns)
+    return batches.unionByName(keyed)
+
+
 @_query
 def stream_incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of captures, each followed by an extract of what is new."""
