@@ -149,33 +149,60 @@ def action_counts(actions: DataFrame) -> DataFrame:
     return actions.groupBy("action").agg(F.count("*").alias("requests"))
 
 
-def apply_to_catalog(catalog: DataFrame, actions: DataFrame) -> DataFrame:
-    """Catalog after the actions: missing templates added, matched endpoints updated.
+def _reduced(actions: DataFrame) -> DataFrame:
+    """(keys, new_body, wanted): one row per endpoint that the actions add or update.
 
-    ``catalog`` has the columns of :data:`apilens.schemas.CATALOG`. Requests are reduced to one
-    row per endpoint first; the newest body of an endpoint is kept as its example.
+    The newest body is found on cleaned bodies before the shuffle, one per endpoint and input partition.
     """
-    keys = [*INSTANCE, "method", "path"]
-    newest = F.max_by(
-        F.nullif(clean_body(F.col("request_body")), F.lit("")),
-        F.when(clean_body(F.col("request_body")) != "", F.struct("ts", "id")),
-    ).alias("new_body")
-    reduced = (
+    body = F.nullif(clean_body(F.col("request_body")), F.lit(""))
+    return (
         actions.filter(F.col("action") != FAIL)
         .select(
             *INSTANCE,
             norm_method(F.col("method")).alias("method"),
             F.col("template").alias("path"),
-            "action",
-            "request_body",
+            (F.col("action") == ADD).alias("adds"),
+            body.alias("body"),
             "ts",
             "id",
         )
-        .groupBy(*keys)
-        .agg(newest, F.bool_or(F.col("action") == ADD).alias("wanted"))
+        .groupBy(*INSTANCE, "method", "path")
+        .agg(
+            F.max_by("body", F.when(F.col("body").isNotNull(), F.struct("ts", "id"))).alias("new_body"),
+            F.bool_or("adds").alias("wanted"),
+        )
+    )
+
+
+def catalog_changes(catalog: DataFrame, actions: DataFrame) -> DataFrame:
+    """Only the rows of the catalog that the actions add or update, with their ``status``."""
+    keys = [*INSTANCE, "method", "path"]
+    known = F.coalesce("listed", F.lit(False))
+    return (
+        _reduced(actions)
+        .join(catalog.withColumn("listed", F.lit(True)), keys, "left")
+        .select(
+            *INSTANCE,
+            F.when(known, F.col("endpoint_id"))
+            .otherwise(endpoint_id(F.col("method"), F.col("path")))
+            .alias("endpoint_id"),
+            "method",
+            "path",
+            F.coalesce("new_body", "body_example").alias("body_example"),
+            F.when(known, "updated").otherwise("added").alias("status"),
+        )
     )
+
+
+def apply_to_catalog(catalog: DataFrame, actions: DataFrame) -> DataFrame:
+    """Catalog after the actions: missing templates added, matched endpoints updated.
+
+    ``catalog`` has the columns of :data:`apilens.schemas.CATALOG`. Requests are reduced to one
+    row per endpoint first; the newest body of an endpoint is kept as its example.
+    """
+    keys = [*INSTANCE, "method", "path"]
     known = F.coalesce("listed", F.lit(False))
-    joined = catalog.withColumn("listed", F.lit(True)).join(reduced, keys, "full")
+    joined = catalog.withColumn("listed", F.lit(True)).join(_reduced(actions), keys, "full")
     return (
         joined.withColumn(
             "status",
@@ -228,6 +255,19 @@ def endpoint_parameters(actions: DataFrame) -> DataFrame:
     )
 
 
+def parameter_changes(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Only the stored parameters that a batch touches, as :func:`apply_parameters` leaves them."""
+    keys = [*INSTANCE, "endpoint_id", "kind", "name"]
+    old, new = stored.alias("old"), seen.alias("new")
+    same = [F.col(f"new.{key}") == F.col(f"old.{key}") for key in keys]
+    none = F.lit(0).cast("bigint")
+    return new.join(old, same, "left").select(
+        *[F.col(f"new.{key}").alias(key) for key in keys],
+        F.coalesce("new.value", "old.value").alias("value"),
+        (F.coalesce("old.times_seen", none) + F.col("new.times_seen")).alias("times_seen"),
+    )
+
+
 def apply_parameters(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """Stored parameters after a batch: the newest value of a name counts, the times it was seen add up.
 

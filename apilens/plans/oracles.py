@@ -309,6 +309,58 @@ after AS (
   FROM flat f FULL JOIN touched t ON f.appId = t.appId AND f.instanceId = t.instanceId
     AND f.method = t.method AND f.path = t.path)"""
 
+# The catalog stream: three equal stretches of time; saved mappings count from the second one on. Services without a
+# usable mapping are planned once; a template that was added is matched from the next stretch on.
+_APPS = _ONBOARD[_ONBOARD.index("apps AS (") : _ONBOARD.index("plan AS (")]
+_PLAN_OF = (
+    "SELECT u.service, CASE WHEN application_id IS NULL THEN 'CREATE_APP' WHEN instance_id IS NULL THEN "
+    "'CREATE_INSTANCE' ELSE 'REUSE' END AS action, application_id, instance_id, first_id "
+    "FROM {} u LEFT JOIN chosen ON application_name = service"
+)
+_STREAM_MAPPED = (
+    _REQ
+    + _MAPPINGS
+    + ", "
+    + _APPS
+    + f"""
+span AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 + 1 AS width FROM req),
+rb AS (SELECT req.*, (epoch_us(ts) - lo) // width AS batch FROM req, span WHERE service <> 'unknown'),
+u0 AS (SELECT service, appId, instanceId FROM base WHERE appId <> '' AND instanceId <> ''),
+f0 AS (SELECT service, arg_min(id, (ts, id)) AS first_id FROM rb
+  WHERE batch = 0 AND service NOT IN (SELECT service FROM u0) GROUP BY 1),
+p0 AS ({_PLAN_OF.format('f0')}),
+su AS (SELECT * FROM saved WHERE appId <> '' AND instanceId <> ''),
+m1 AS (
+  SELECT * FROM su
+  UNION ALL SELECT service, application_id, instance_id FROM p0 WHERE action = 'REUSE' AND service NOT IN (SELECT service FROM su)
+  UNION ALL SELECT * FROM u0 WHERE service NOT IN (SELECT service FROM su)),
+f1 AS (SELECT service, arg_min(id, (ts, id)) AS first_id FROM rb
+  WHERE batch > 0 AND service NOT IN (SELECT service FROM m1) AND service NOT IN (SELECT service FROM p0) GROUP BY 1),
+p1 AS ({_PLAN_OF.format('f1')}),
+used AS (
+  SELECT 0 AS late, * FROM u0
+  UNION ALL SELECT 0, service, application_id, instance_id FROM p0 WHERE action = 'REUSE'
+  UNION ALL SELECT 1, * FROM m1
+  UNION ALL SELECT 1, service, application_id, instance_id FROM p1 WHERE action = 'REUSE'),
+mr AS (
+  SELECT rb.*, u.appId, u.instanceId FROM rb JOIN used u
+    ON u.service = rb.service AND u.late = (rb.batch > 0)::INTEGER)"""
+)
+_STREAM_ACTIONS = (
+    _STREAM_MAPPED
+    + _ACTIONS[len(_MAPPED) :]
+    + """,
+born AS (
+  SELECT appId, instanceId, lower(method) AS lm, template, min(batch) AS born FROM ac WHERE action = 'ADD' GROUP BY ALL),
+later AS (
+  SELECT ac.* REPLACE (
+    CASE WHEN born < batch THEN 'COMMIT' ELSE action END AS action,
+    CASE WHEN born < batch THEN ac.template ELSE matched_path END AS matched_path,
+    CASE WHEN born < batch THEN to_base64(encode(concat(upper(method), ':', ac.template))) ELSE endpoint_id END AS endpoint_id)
+  FROM ac LEFT JOIN born b ON ac.action = 'ADD' AND ac.matched_path IS NULL AND b.appId = ac.appId
+    AND b.instanceId = ac.instanceId AND b.lm = lower(ac.method) AND b.template = ac.template)"""
+)
+
 _REQUEST_HEADERS = "request_headers"
 _MATCH_DOC = (
     "concat('{\"requests\":[{\"method\":\"', method, '\",\"url\":\"', endpoint, "
@@ -699,9 +751,25 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
         ),
         "stream_incremental_extract": _with(_C, f"{_PROJECTED} WHERE {_KEPT}"),
         "stream_catalog": _with(
-            _ACTIONS + _CATALOG_AFTER,
-            "SELECT appId, instanceId, method, path FROM after",
-        ),
+            _STREAM_ACTIONS + _CATALOG_AFTER,
+            "SELECT coalesce(f.appId, t.appId) AS appId, coalesce(f.instanceId, t.instanceId) AS instanceId, "
+            "CASE WHEN f.path IS NULL THEN to_base64(encode(concat(upper(t.method), ':', t.path))) "
+            "ELSE f.endpoint_id END AS endpoint_id, coalesce(f.method, t.method) AS method, "
+            "coalesce(f.path, t.path) AS path, t.body AS body_example FROM templates f FULL JOIN touched t "
+            "ON f.appId = t.appId AND f.instanceId = t.instanceId AND f.method = t.method AND f.path = t.path",
+        ),
+        "stream_parameters": _with(
+            _STREAM_ACTIONS,
+            params.replace("FROM ac ", "FROM later ").replace(
+                "ELSE [] END",
+                "WHEN '/api/v1/users/{id}/orders/{id}' THEN [{'name': 'id', 'value': string_split(match_path, '/')[5]}, "
+                "{'name': 'id', 'value': string_split(match_path, '/')[7]}] "
+                "WHEN '/api/v1/products/{id}' THEN [{'name': 'id', 'value': string_split(match_path, '/')[5]}] "
+                "WHEN '/api/v2/orders/{id}' THEN [{'name': 'id', 'value': string_split(match_path, '/')[5]}] ELSE [] END",
+            ),
+        ),
+        "stream_onboarding": _with(_STREAM_MAPPED, "SELECT * FROM p0 UNION ALL SELECT * FROM p1"),
+        "first_requests": _with(_REQ, "SELECT DISTINCT service, 'request' AS type FROM req"),
         "list_with_count": _with(
             _USERS, "SELECT *, (SELECT count(*) FROM users) AS count FROM users"
         ),

@@ -764,31 +764,73 @@ def stream_incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query
-def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests in three micro-batches, each applied to the catalog version before it."""
+def _catalog_stream(spark: SparkSession, sf_dir: str) -> tuple[stream_catalog_jobs.CatalogTables, int]:
+    """Requests in three micro-batches, services onboarded on the way, saved mappings that appear after the first batch;
+    gives the tables and their last version."""
     root = staging_path(spark, "catalog")
     requests = view.attributed_requests(spark, sf_dir)
     _in_order(requests, f"{root}/in", parts=3, files=4)
     listed = catalog.catalog_templates(view.catalog_view(spark, sf_dir)).withColumn(
         "body_example", F.lit(None).cast("string")
     )
-    stream_catalog_jobs.start_versions(listed, view.mappings_view(spark, sf_dir), root)
+    tables = stream_catalog_jobs.CatalogTables(spark, root, compact_every=2)
+    tables.start(listed, view.base_mappings(spark, sf_dir))
     stream = (
         spark.readStream.schema(requests.schema)
         .option("maxFilesPerTrigger", 4)
         .parquet(f"{root}/in")
     )
-    query = stream_catalog_jobs.maintain_catalog(
-        stream, root, f"{root}/checkpoint", lambda: view.applications_view(spark, sf_dir)
-    )
-    query.awaitTermination()
-    latest = stream_catalog_jobs.catalog_version(root, stream_catalog_jobs.last_version(spark, root))
-    return (
-        spark.read.parquet(latest)
-        .filter(F.col("endpoint_id").isNotNull())
-        .select("appId", "instanceId", "method", "path")
+    saved = view.saved_mappings(spark, sf_dir)
+    stream_catalog_jobs.maintain_catalog(
+        stream,
+        root,
+        f"{root}/checkpoint",
+        lambda: view.applications_view(spark, sf_dir),
+        auto_onboard=True,
+        saved_mappings=lambda number: saved if number > 0 else saved.limit(0),
+        compact_every=2,
+    ).awaitTermination()
+    return tables, tables.last()
+
+
+@_query
+def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables, last = _catalog_stream(spark, sf_dir)
+    return tables.catalog.read(last)
+
+
+@_query
+def stream_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and headers of endpoints, kept beside the catalog."""
+    tables, last = _catalog_stream(spark, sf_dir)
+    return tables.parameters.read(last)
+
+
+@_query
+def stream_onboarding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was planned for each service, once, with the request that started it."""
+    tables, last = _catalog_stream(spark, sf_dir)
+    return tables.onboarding.read(last)
+
+
+@_query
+def first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services of a request stream, each once."""
+    root = staging_path(spark, "first-requests")
+    requests = view.attributed_requests(spark, sf_dir)
+    _in_order(requests, f"{root}/in", parts=3, files=4)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    (
+        stream_catalog_jobs.first_requests(stream, delay="60 days")
+        .select("service", "type")
+        .writeStream.format("parquet")
+        .option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
     )
+    return spark.read.parquet(f"{root}/out")
 
 
 # Entities

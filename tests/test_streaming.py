@@ -182,10 +182,11 @@ def test_catalog_stream_onboards_once(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     query = jobs.maintain_catalog(stream, root, f"{root}/checkpoint", lambda: apps, auto_onboard=True)
     query.awaitTermination()
-    last = jobs.last_version(spark, root)
-    rows_ = spark.read.parquet(jobs.catalog_version(root, last)).collect()
+    tables = jobs.CatalogTables(spark, root)
+    last = tables.last()
+    rows_ = tables.catalog.read(last).collect()
     assert [(r.appId, r.instanceId, r.method, r.path) for r in rows_] == [("A", "I", "get", "/u/{id}")]
-    mapped = spark.read.parquet(jobs.mappings_version(root, last)).collect()
+    mapped = tables.mappings.read(last).collect()
     assert [tuple(r) for r in mapped] == [("new", "A", "I")]
 
 
@@ -302,3 +303,49 @@ def test_long_body_in_keyed_state(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = [bytes(r.message) for r in spark.table("long").orderBy("ts", "n").collect()]
     assert got == [message[: -len(WHOLE)], WHOLE]
+
+
+def test_catalog_versions_under_retries(spark, tmp_path):
+    """A micro-batch that runs again, also after its files were written in part, gives the same; an application that has to
+    be created is asked for once; saved mappings are read anew."""
+    root = str(tmp_path / "root")
+    schema = schemas.HTTP_MESSAGES
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def batch(*rows):
+        full = [
+            {"id": i, "type": "request", "ts": START + timedelta(seconds=n), "service": service, "method": "GET",
+             "endpoint": endpoint, "request_body": "", "request_headers": {"A": i}}
+            for n, (i, service, endpoint) in enumerate(rows)
+        ]
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in full], schema)
+
+    apps = spark.createDataFrame(
+        [(0, 0, "A", "new", 0, "I", "x")],
+        "listing int, app_pos int, application_id string, application_name string, "
+        "instance_pos int, instance_id string, instance_name string",
+    )
+    saved = {0: [], 1: [("late", "L", "J"), ("half", "H", "")], 2: [("late", "L2", "J")]}
+
+    def mappings(number):
+        return spark.createDataFrame(saved[number], schemas.SERVICE_MAPPINGS)
+
+    tables = jobs.CatalogTables(spark, root, compact_every=2)
+    tables.start(spark.createDataFrame([], schemas.CATALOG), spark.createDataFrame([], schemas.SERVICE_MAPPINGS))
+    run = jobs.apply_batch(root, lambda: apps, True, mappings, compact_every=2)
+    batches = [
+        batch(("1", "new", "/u/1"), ("2", "make", "/m"), ("3", "late", "/l")),
+        batch(("4", "new", "/u/2?a=1"), ("5", "make", "/m"), ("6", "late", "/l/7"), ("7", "half", "/h")),
+        batch(("8", "late", "/l/8"), ("9", "new", "/u/3?a=2")),
+    ]
+    for number, rows_ in enumerate(batches):
+        run(rows_, number)
+        run(rows_, number)
+    assert tables.last() == 2
+    assert sorted((r.appId, r.path) for r in tables.catalog.read(2).collect()) == [
+        ("A", "/u/{id}"), ("L", "/l/{id}"), ("L2", "/l/{id}")]
+    assert sorted((r.service, r.action, r.first_id) for r in tables.onboarding.read(2).collect()) == [
+        ("half", "CREATE_APP", "7"), ("late", "CREATE_APP", "3"), ("make", "CREATE_APP", "2"), ("new", "REUSE", "1")]
+    assert sorted((r.kind, r.name, r.value, r.times_seen) for r in tables.parameters.read(2).collect()) == [
+        ("header", "A", "9", 2), ("path", "id", "3", 2), ("query", "a", "2", 2)]
+    assert [r.service for r in tables.mappings.read(2).collect()] == ["new"]
