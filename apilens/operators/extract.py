@@ -135,6 +135,11 @@ def unique_endpoints(records: DataFrame) -> DataFrame:
     return records.filter("type = 'request'").select("endpoint", "method").distinct()
 
 
+def unique_endpoint_count(records: DataFrame) -> DataFrame:
+    """One row: how many different endpoints were asked for; a request without endpoint counts as one."""
+    return unique_endpoints(records).agg(F.count("*").alias("unique_endpoints"))
+
+
 def sample_endpoints(records: DataFrame, size: int) -> DataFrame:
     """The first distinct endpoints by (endpoint, method), for the report's preview lines."""
     return (

@@ -78,6 +78,36 @@ def malformed(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("type").isNull())
 
 
+def refused_messages(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Messages that give no record, with ``reason``: ``start line`` or ``status code`` is none, ``short body`` of a
+    method that carries one, otherwise ``incomplete``. Same input and ``keep`` as :func:`parse_messages`."""
+    message = F.col("message")
+    opened = raw.withColumn("head_length", http.header_length(message)).withColumn(
+        "head", http.header_text(message, F.col("head_length"))
+    )
+    line = http.start_line(F.col("head"))
+    sized = opened.select(
+        "*",
+        http.content_length(F.col("head")).alias("length"),
+        http.is_http_request(F.col("head")).alias("asks"),
+        http.is_http_response(F.col("head")).alias("answers"),
+        http.request_line(line).alias("req"),
+        http.status_line(line).alias("res"),
+    )
+    body = F.substring(message, F.col("head_length") + 1, F.length(message))
+    missing = F.length(body) < F.col("length")
+    reason = (
+        F.when(F.col("head_length").isNull(), "incomplete")
+        .when(~F.col("asks") & ~F.col("answers"), "start line")
+        .when(F.col("asks") & F.col("req").isNull(), "start line")
+        .when(F.col("answers") & F.col("res").isNull(), "status code")
+        .when(F.col("asks") & ~http.body_length_ok(F.col("req.method"), body, F.col("length")), "short body")
+        .when(missing, "incomplete")
+    )
+    columns = [c for c in raw.columns if c not in keep]
+    return sized.withColumn("reason", reason).filter("reason IS NOT NULL").select(*columns, *keep, "reason")
+
+
 def record_id() -> Column:
     """Stable id: the same message gets the same id when a task runs again."""
     flow = flow_key(

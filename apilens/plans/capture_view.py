@@ -384,7 +384,7 @@ def broken_off_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request segments as IPv4/TCP packets, every seventh with TCP options, some UDP between."""
+    """All segments as IPv4/TCP packets, every seventh with TCP options, some UDP between."""
     def address(column: str):
         return F.concat(*[big_endian_bytes(F.split(column, r"\.")[i], 1) for i in range(4)])
 
@@ -407,9 +407,7 @@ def packets_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         options,
         F.col("payload"),
     )
-    return segments_view(spark, sf_dir).filter("type = 'request'").select(
-        "ts", "node", "iface", packet.alias("packet")
-    )
+    return segments_view(spark, sf_dir).select("ts", "node", "iface", packet.alias("packet"))
 
 
 def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

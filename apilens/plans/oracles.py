@@ -414,6 +414,16 @@ x AS (
 )
 
 
+# Rendered messages cut into segments by bytes, some seen twice.
+_PIECES = (
+    _TEXT
+    + """, t AS (
+  SELECT *, hex(encode(text)) AS h, event_id % 3 + 1 AS k FROM x),
+s AS (SELECT *, CAST(ceil(octet_length(encode(text)) / k) AS BIGINT) AS size, unnest(range(k)) AS piece FROM t),
+d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS late FROM s)"""
+)
+
+
 def _search(text: str) -> str:
     hits = f""", hits AS (
   SELECT 'user' AS kind, id, name FROM users
@@ -486,6 +496,17 @@ def oracle_sql() -> dict[str, str]:
             "(80, 8080, 8000, 3000, 5000, 8443, 9000) OR source_port IN "
             "(80, 8080, 8000, 3000, 5000, 8443, 9000)",
         ),
+        "packet_port_filter": _with(
+            _R,
+            "SELECT event_id, source_port, destination_port FROM r WHERE destination_port IN "
+            "(80, 443, 8080, 8000, 3000, 5000, 8443, 9000) OR source_port IN "
+            "(80, 443, 8080, 8000, 3000, 5000, 8443, 9000)",
+        ),
+        "raw_socket_port_filter": _with(
+            _R,
+            "SELECT event_id, source_port, destination_port FROM r WHERE destination_port IN "
+            "(80, 8080, 8000, 3000, 5000) OR source_port IN (80, 8080, 8000, 3000, 5000)",
+        ),
         "cluster_traffic": _with(
             _M,
             "SELECT position, (starts_with(source_ip, '10.244.') OR starts_with(source_ip, '10.96.') "
@@ -558,6 +579,9 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
         "unique_endpoints": _with(
             _M, "SELECT DISTINCT endpoint, method FROM m WHERE type = 'request'"
         ),
+        "unique_endpoint_count": _with(
+            _M, "SELECT count(*) AS unique_endpoints FROM (SELECT DISTINCT endpoint, method FROM m WHERE type = 'request')"
+        ),
         "sample_endpoints_before": _with(
             _M,
             "SELECT DISTINCT endpoint, method FROM m WHERE type = 'request' ORDER BY 1, 2 LIMIT 3",
@@ -575,6 +599,13 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
             f"arg_min(node, position) FILTER ({_KEPT}) AS node, true AS filtered_health_checks, "
             "false AS new_only FROM c",
         ),
+        "extract_metadata_new": _with(
+            _C,
+            f"SELECT count(*) FILTER ({_KEPT} AND position > half) AS total_endpoints, count(*) AS total_in_file, "
+            f"count(*) FILTER (NOT ({_KEPT})) AS dropped_health_checks, "
+            f"arg_min(node, position) FILTER ({_KEPT} AND position > half) AS node, true AS filtered_health_checks, "
+            "true AS new_only FROM c, (SELECT max(position) // 2 AS half FROM c)",
+        ),
         "incremental_extract": _with(
             _C,
             f"{_PROJECTED} WHERE {_KEPT} AND position > (SELECT max(position) // 2 FROM c)",
@@ -663,19 +694,17 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
         ),
         "parse_messages": _with(_M, _PARSED.replace(" + event_id % 3", "")),
         "decode_packets": _with(
-            _R
-            + """, t AS (
-  SELECT *, concat(method, ' ', endpoint, ' HTTP/1.1', chr(13), chr(10),
-      CASE WHEN host_header IS NOT NULL THEN concat('Host: ', host_header, chr(13), chr(10)) ELSE '' END,
-      'Content-Type: application/json', chr(13), chr(10), 'Content-Length: ', strlen(request_body),
-      chr(13), chr(10), chr(13), chr(10), request_body) AS text, event_id % 3 + 1 AS k
-  FROM r WHERE NOT lost AND event_id % 50 <> 3),
-s AS (SELECT *, CAST(ceil(length(text) / k) AS BIGINT) AS size, unnest(range(k)) AS piece FROM t),
-d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS late FROM s)""",
+            _PIECES,
             "SELECT epoch_us(ts) + piece + late AS ts_us, node, CASE WHEN late = 0 THEN 'eth0' ELSE 'veth1' "
             "END AS iface, source_ip AS src_ip, source_port AS src_port, destination_ip AS dst_ip, "
             "destination_port AS dst_port, (event_id * 100000 + piece * size) % 4294967296 AS seq, "
-            "substr(text, piece * size + 1, size) AS payload FROM d",
+            "substr(h, 2 * piece * size + 1, 2 * size) AS payload FROM d WHERE event_id % 50 <> 3",
+        ),
+        "non_empty_segments": _with(
+            _PIECES,
+            "SELECT epoch_us(ts) + piece + late AS ts_us, node, CASE WHEN late = 0 THEN 'eth0' ELSE 'veth1' "
+            "END AS iface, source_ip AS src_ip, event_id * 100000 + piece * size AS seq, "
+            "substr(h, 2 * piece * size + 1, 2 * size) AS payload FROM d WHERE event_id % 5 <> 0",
         ),
         "dedup_segments": _with(
             _M,
@@ -693,6 +722,18 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
             "SELECT type AS was, event_id FROM m WHERE event_id % 11 = 0 OR "
             "(event_id % 11 = 1 AND type = 'response')",
         ),
+        "refused_messages": _with(
+            _M,
+            "SELECT type AS was, event_id, CASE WHEN event_id % 11 = 0 AND type = 'request' THEN 'start line' "
+            "WHEN event_id % 11 = 0 THEN 'status code' WHEN event_id % 11 = 2 THEN 'incomplete' "
+            "WHEN type = 'request' THEN 'short body' ELSE 'incomplete' END AS reason FROM m "
+            "WHERE event_id % 11 IN (0, 2) OR (event_id % 11 = 1 AND ends_with(body, '}'))",
+        ),
+        "clean_bodies": (
+            "SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS characters FROM (SELECT doc_id, regexp_replace(text, "
+            "'^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t FROM documents)"
+        ),
+        "captures_of_nodes": _with(_C, _RECORDS),
         "rejected_bytes": _with(
             _R,
             "SELECT node, source_ip AS src_ip, destination_ip AS dst_ip, "
@@ -818,6 +859,12 @@ d AS (SELECT *, unnest(CASE WHEN event_id % 4 = 0 THEN [0, 3] ELSE [0] END) AS l
             "SELECT id, CASE WHEN id % 10 = 1 THEN concat(name, ' Jr') ELSE name END AS name, email, "
             "CASE WHEN id % 20 = 1 THEN 'member' ELSE role END AS role, status FROM users",
         ),
+        "patch_rows": _with(
+            _USERS,
+            "SELECT id, name, email, role, coalesce(s.status, users.status) AS status FROM users LEFT JOIN "
+            "(SELECT o_custkey, concat('after-', max(o_orderkey) FILTER (o_orderkey % 3 > 0)) AS status, "
+            "count(*) FILTER (o_orderkey % 3 > 0) AS n FROM orders GROUP BY 1) s ON s.o_custkey = id AND n > 0",
+        ),
         "delete_rows": _with(_USERS, "SELECT * FROM users WHERE id % 4 <> 0"),
         "deleted_rows": _with(_USERS, "SELECT * FROM users WHERE id % 4 = 0"),
     }

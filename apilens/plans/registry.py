@@ -18,7 +18,7 @@ from apilens.functions.paths import (
     path_template,
     query_params,
 )
-from apilens.functions.values import preview
+from apilens.functions.values import clean_body, preview
 from apilens.operators import (
     catalog,
     entities,
@@ -129,6 +129,20 @@ def http_port_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("event_id", "source_port", "destination_port")
 
 
+@_query
+def packet_port_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.http_port_filter(
+        view.requests_view(spark, sf_dir), segments.PACKET_PORTS, "source_port", "destination_port"
+    ).select("event_id", "source_port", "destination_port")
+
+
+@_query
+def raw_socket_port_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.http_port_filter(
+        view.requests_view(spark, sf_dir), segments.RAW_SOCKET_PORTS, "source_port", "destination_port"
+    ).select("event_id", "source_port", "destination_port")
+
+
 @_query
 def cluster_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.messages_view(spark, sf_dir).select(
@@ -267,6 +281,11 @@ def unique_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.unique_endpoints(view.messages_view(spark, sf_dir))
 
 
+@_query
+def unique_endpoint_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.unique_endpoint_count(view.messages_view(spark, sf_dir))
+
+
 @_query
 def sample_endpoints_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.sample_endpoints(view.messages_view(spark, sf_dir), 3)
@@ -301,6 +320,17 @@ def extract_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_metadata(_positioned(spark, sf_dir))
 
 
+@_query
+def extract_metadata_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of what comes after the half-way position."""
+    stored = (
+        view.messages_view(spark, sf_dir)
+        .agg((F.max("position") / 2).cast("bigint").alias("position"))
+        .scalar()
+    )
+    return extract.extract_metadata(_positioned(spark, sf_dir), last_position=stored)
+
+
 @_query
 def incremental_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What comes after the half-way position of the capture."""
@@ -492,10 +522,20 @@ def decode_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(view.packets_view(spark, sf_dir), "packets")
     return segments.decode_packets(stored).select(
         _us(), "node", "iface", "src_ip", "src_port", "dst_ip", "dst_port", "seq",
-        F.col("payload").cast("string").alias("payload"),
+        F.hex("payload").alias("payload"),
     )
 
 
+@_query
+def non_empty_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored segments, of which those of every fifth event carry nothing."""
+    event = F.floor(F.col("seq") / 100_000)
+    payload = F.when(event % 5 == 0, F.unhex(F.lit(""))).otherwise(F.col("payload"))
+    path = staging_path(spark, "segments")
+    view.segments_view(spark, sf_dir).withColumn("payload", payload).drop("type").write.parquet(path)
+    return segments.read_segments(spark, path).select(_us(), "node", "iface", "src_ip", "seq", F.hex("payload").alias("payload"))
+
+
 @_query
 def dedup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments left per message."""
@@ -590,6 +630,43 @@ def malformed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.malformed(parsed).select("was", F.col("seq").alias("event_id"))
 
 
+@_query
+def refused_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that are broken in four ways, and why they are refused."""
+    text = F.col("message").cast("string")
+    is_request = F.col("type") == "request"
+    broken = (
+        F.when((F.col("seq") % 11 == 0) & is_request, F.regexp_replace(text, "^([A-Z]+) [^\r]*", "$1"))
+        .when(F.col("seq") % 11 == 0, F.regexp_replace(text, "^(HTTP/1.1) [0-9]+", "$1 ok"))
+        .when((F.col("seq") % 11 == 1), F.rtrim(text, F.lit("}")))
+        .when((F.col("seq") % 11 == 2), F.substring(text, 1, 20))
+        .otherwise(text)
+    )
+    raw = view.rendered_view(spark, sf_dir).withColumn("message", F.encode(broken, "UTF-8"))
+    refused = messages.refused_messages(raw.withColumnRenamed("type", "was"), keep=["was"])
+    return refused.select("was", F.col("seq").alias("event_id"), "reason")
+
+
+@_query
+def clean_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long bodies with white space of all kinds around them."""
+    around = F.concat(F.lit(" \t\n\u000b"), F.col("text"), F.lit("\f\r\n "))
+    return view.table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(clean_body(around)).alias("digest"), F.length(clean_body(around)).alias("characters")
+    )
+
+
+@_query
+def captures_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One capture folder per node, read together."""
+    root = staging_path(spark, "nodes")
+    records = staged(view.http_messages_view(spark, sf_dir), "records")
+    paths = [f"{root}/node-{n}" for n in range(3)]
+    for n, path in enumerate(paths):
+        captures.write_captures(records.filter(F.col("node") == f"node-{n}"), path)
+    return _record_columns(captures.read_captures(spark, *paths))
+
+
 @_query
 def rejected_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign bytes ahead of every third request are set apart, the messages survive."""
@@ -927,6 +1004,18 @@ def update_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.update_rows(view.users_view(spark, sf_dir), changes, {"fullName": "name"})
 
 
+@_query
+def patch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order patches its customer: the last one's status counts, some leave it out, a field of no column is ignored."""
+    patches = view.table(spark, sf_dir, "orders").selectExpr(
+        "o_custkey as id",
+        "o_orderkey as arrival",
+        "case when o_orderkey % 3 > 0 then concat('after-', cast(o_orderkey as string)) end as status",
+        "'x' as nickname",
+    )
+    return entities.update_rows(view.users_view(spark, sf_dir), patches, order="arrival")
+
+
 def _deleted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     ids = view.table(spark, sf_dir, "customer").filter("c_custkey % 4 = 0").selectExpr(
         "c_custkey as id"
