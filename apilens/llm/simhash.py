@@ -11,8 +11,10 @@ Three bits of 64 are a strict rule: a text of 250 words with one other word is b
 ``similar_documents`` is therefore an exact join on the Jaccard similarity of the sets of word shingles. Shingles are
 put in one order, common ones last; two sets of similarity 0.8 share one of the first fifth of the larger set and the first
 ninth of the smaller. Texts that meet in such a shingle are first compared with one of them, which joins large groups
-in a number of comparisons that grows with their size; then every pair that meets and is not yet in one group is
-compared, so that the groups are those of a comparison of all pairs.
+in a number of comparisons that grows with their size. Of the pairs that meet and are not yet in one group a small share
+is compared first, then a larger one, then all that are left: what a round joins leaves the next ones, so large groups are
+whole before their many pairs are reached, and at the end the groups are those of a comparison of all pairs. Only one link
+per pair of groups is kept, so there are no more links than texts and pairs of groups.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SIMILARITY = 80
 #: ``_MOST_COMMON`` first. They only order the shingles; every order gives the same pairs.
 _SAMPLE, _COMMON, _MOST_COMMON = 8, 4, 1 << 18
 _CHUNK = 1 << 16
+#: One in so many of the untested pairs is compared in each round; the last round takes all that are left.
+_SHARES = (64, 8, 1)
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -336,9 +340,37 @@ def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
         & (F.col("own") != F.col("component"))
         & _may_be_similar(*columns, F.col("m"), F.col("other"), similarity),
     )
-    rest = met.select(F.greatest("a", "key").alias("a"), F.least("a", "key").alias("b")).distinct()
+    rest = met.select(
+        F.greatest("a", "key").alias("a"),
+        F.least("a", "key").alias("b"),
+        F.when(F.col("a") > F.col("key"), F.col("own")).otherwise(F.col("component")).alias("of_a"),
+        F.when(F.col("a") > F.col("key"), F.col("component")).otherwise(F.col("own")).alias("of_b"),
+    ).distinct()
     rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "untested")
-    return links.union(stored(_verified(rest, texts, shingle, similarity), "more-links"))
+    members = grouped.filter("key <> component").select(F.col("key").alias("a"), F.col("component").alias("b")).distinct()
+    return members.union(_joined_groups(rest, texts, shingle, similarity))
+
+
+def _joined_groups(rest: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Links (a, b) between groups, named by their least key, that similar pairs of ``rest`` (a, b, of_a, of_b) connect."""
+    found = rest.sparkSession.createDataFrame([], "a long, b long")
+    before = None
+    for share in _SHARES:
+        draw = F.xxhash64("a", "b")
+        now = F.pmod(draw, F.lit(share)) == 0
+        new = now if before is None else now & (F.pmod(draw, F.lit(before)) != 0)
+        before = share
+        good = _verified(rest.filter(new).select("a", "b"), texts, shingle, similarity)
+        merged = good.join(rest, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        merged = stored(merged, "merged-groups")
+        found = found.union(merged)
+        if share > 1:
+            renamed = connected_components(merged)
+            for side in ("of_a", "of_b"):
+                name = renamed.select(F.col("node").alias(side), F.col("component").alias("renamed"))
+                rest = rest.join(name, side, "left").withColumn(side, F.coalesce("renamed", side)).drop("renamed")
+            rest = stored(rest.filter("of_a <> of_b").select("a", "b", "of_a", "of_b"), "untested")
+    return found
 
 
 def similar_documents(

@@ -47,3 +47,22 @@ def test_groups_are_those_of_all_pairs(spark):
     assert len({g for i, g in want.items() if i >= 2000}) == 1 and len(set(want.values())) > 100
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+
+
+def test_links_do_not_grow_with_the_pairs(spark):
+    """Near copies of one text, some of which are too far from the first one: as many links as texts at most."""
+    draw = random.Random(3)
+    old = [f"w{i}" for i in range(200)]
+    for many in (100, 200, 400):
+        texts = []
+        for _ in range(many):
+            words = list(old)
+            for _ in range(draw.randrange(7)):
+                words[draw.randrange(200)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        keyed = simhash.stored(simhash._keyed(docs, "doc_id", "text", 5), "keyed")
+        assert simhash.similar_links(keyed, 5, 80).count() <= many
+        if many == 100:
+            want = brute_force(dict(enumerate(texts)))
+            assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
