@@ -734,6 +734,7 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
             "'^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS t FROM documents)"
         ),
         "captures_of_nodes": _with(_C, _RECORDS),
+        "committed_captures": _with(_C, f"{_PROJECTED} WHERE {_KEPT} AND epoch_us(ts) % 2 = 1"),
         "rejected_bytes": _with(
             _R,
             "SELECT node, source_ip AS src_ip, destination_ip AS dst_ip, "

@@ -31,7 +31,7 @@ from apilens.operators import (
     services,
 )
 from apilens.plans import capture_view as view
-from apilens.sources import captures, documents, segments
+from apilens.sources import captures, committed, documents, segments
 from apilens.staging import staged, staging_path
 from apilens.streaming import assembly as stream_assembly
 from apilens.streaming import capture as stream_capture
@@ -667,6 +667,29 @@ def captures_of_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _record_columns(captures.read_captures(spark, *paths))
 
 
+@_query
+def committed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of three writers in two batches each; a batch comes twice, an attempt is lost before its commit, and the
+    second extract takes what was committed since the first."""
+    root = staging_path(spark, "committed")
+    records = staged(view.http_messages_view(spark, sf_dir).withColumn("half", F.pmod(F.unix_micros("ts"), F.lit(2))), "records")
+
+    def commit(half: int) -> None:
+        for n in range(3):
+            part = records.filter((F.col("half") == half) & (F.col("node") == f"node-{n}")).drop("half")
+            for _ in range(2):
+                committed.commit_captures(part, root, half, f"node-{n}")
+
+    lost = records.filter("half = 1").drop("half")
+    captures.to_capture_records(lost).write.json(f"{root}/data/node-0/batch=0-lost")
+    commit(0)
+    _, reached = committed.read_new(spark, root, f"{root}/position")
+    committed.write_position(reached, f"{root}/position")
+    commit(1)
+    new, _ = committed.read_new(spark, root, f"{root}/position")
+    return _projected(extract.drop_health_checks(new))
+
+
 @_query
 def rejected_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign bytes ahead of every third request are set apart, the messages survive."""
