@@ -63,14 +63,21 @@ def catalog_templates(exploded: DataFrame) -> DataFrame:
 
 
 def match_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Best template for each distinct (instance, method, path).
+    """Best template for each distinct (instance, method, path); paths that none fits are left out.
 
     A template fits when it has as many segments and agrees on every literal one. Templates of an
     instance and method fall into few shapes (which positions are parameters); the path is blanked
     out once per shape and looked up by equality, so no path meets every template. The fewest
     parameters win, ties go to the smallest template text.
     """
+    return _with_best_template(paths.select(*INSTANCE, "method", "path"), catalog, "inner")
+
+
+def _with_best_template(paths: DataFrame, catalog: DataFrame, how: str) -> DataFrame:
+    """``paths``, distinct by (instance, method, path), with ``matched_path`` and ``endpoint_id``; other columns go
+    along, so nothing has to be joined back. ``how`` (``inner`` or ``left``) says what happens without a template."""
     keys = [*INSTANCE, "method"]
+    others = [c for c in paths.columns if c not in (*keys, "path")]
     shaped = catalog.withColumn("mask", parameter_mask(F.col("path"))).select(
         *keys,
         "mask",
@@ -80,20 +87,23 @@ def match_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
         "endpoint_id",
     )
     shapes = shaped.select(*keys, "segments", "mask").distinct()
-    wanted = paths.select(*keys, "path").withColumn("segments", F.size(F.split("path", "/")))
-    candidates = wanted.join(shapes, [*keys, "segments"]).withColumn(
+    wanted = paths.withColumn("segments", F.size(F.split("path", "/")))
+    candidates = wanted.join(shapes, [*keys, "segments"], how).withColumn(
         "masked", masked(F.col("path"), F.col("mask"))
     )
-    fits = candidates.join(shaped, [*keys, "segments", "mask", "masked"])
+    fits = candidates.join(shaped, [*keys, "segments", "mask", "masked"], how)
     parameters = F.length(F.replace(F.col("mask"), F.lit("="), F.lit("")))
+    fitting = F.struct(parameters.alias("parameters"), "template", "endpoint_id")
     best = fits.groupBy(*keys, "path").agg(
-        F.min(F.struct(parameters.alias("parameters"), "template", "endpoint_id")).alias("best")
+        F.min(F.when(F.col("template").isNotNull(), fitting)).alias("best"),
+        *(F.any_value(c).alias(c) for c in others),
     )
     return best.select(
         *keys,
         "path",
         F.col("best.template").alias("matched_path"),
         F.col("best.endpoint_id").alias("endpoint_id"),
+        *others,
     )
 
 
@@ -200,9 +210,13 @@ def apply_to_catalog(catalog: DataFrame, actions: DataFrame) -> DataFrame:
     ``catalog`` has the columns of :data:`apilens.schemas.CATALOG`. Requests are reduced to one
     row per endpoint first; the newest body of an endpoint is kept as its example.
     """
+    return _merged(catalog, _reduced(actions))
+
+
+def _merged(catalog: DataFrame, reduced: DataFrame) -> DataFrame:
     keys = [*INSTANCE, "method", "path"]
     known = F.coalesce("listed", F.lit(False))
-    joined = catalog.withColumn("listed", F.lit(True)).join(_reduced(actions), keys, "full")
+    joined = catalog.withColumn("listed", F.lit(True)).join(reduced, keys, "full")
     return (
         joined.withColumn(
             "status",
@@ -221,6 +235,36 @@ def apply_to_catalog(catalog: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
+def upsert_catalog(catalog: DataFrame, templates: DataFrame, requests: DataFrame) -> DataFrame:
+    """What :func:`apply_to_catalog` gives for the actions of these mapped requests, without a row per request.
+
+    Requests are reduced to the newest body of every path before anything else, on the side of the scan; only these rows
+    are matched, decided, and reduced once more to endpoints. No request and no second body of a path meets a join, so
+    a path that is asked for very often is one row per input partition.
+    """
+    body = F.nullif(clean_body(F.col("request_body")), F.lit(""))
+    newest = F.when(F.col("body").isNotNull(), F.struct("ts", "id"))
+    paths = (
+        requests.select(
+            *INSTANCE,
+            norm_method(F.col("method")).alias("method"),
+            norm_path(strip_query(_endpoint())).alias("path"),
+            body.alias("body"),
+            "ts",
+            "id",
+        )
+        .groupBy(*INSTANCE, "method", "path")
+        .agg(F.max_by(F.struct("body", "ts", "id"), newest).alias("newest"))
+    )
+    matched = _with_best_template(paths, templates, "left")
+    decided = plan_catalog_actions(matched.withColumn("endpoint", F.col("path"))).filter(F.col("action") != FAIL)
+    reduced = decided.groupBy(*INSTANCE, "method", F.col("template").alias("path")).agg(
+        F.max_by("newest.body", F.when(F.col("newest").isNotNull(), F.struct("newest.ts", "newest.id"))).alias("new_body"),
+        F.lit(True).alias("wanted"),
+    )
+    return _merged(catalog, reduced)
+
+
 def endpoint_parameters(actions: DataFrame) -> DataFrame:
     """Parameters and headers seen on committed endpoints: one row per name, newest value.
 

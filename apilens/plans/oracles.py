@@ -643,6 +643,7 @@ has AS (SELECT node, bool_or(regexp_full_match(iface, '(veth|docker|br|cni|flann
             _ACTIONS, "SELECT action, count(*) AS requests FROM ac GROUP BY 1"
         ),
         "catalog_upsert": _with(_ACTIONS + _CATALOG_AFTER, "SELECT * FROM after"),
+        "catalog_applied": _with(_ACTIONS + _CATALOG_AFTER, "SELECT * FROM after"),
         "endpoint_parameters": _with(_ACTIONS, params),
         "parameters_upsert": _with(_ACTIONS, params),
         "path_params_of_requests": _with(

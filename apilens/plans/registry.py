@@ -417,6 +417,16 @@ def action_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = catalog.flatten_catalog(view.catalog_view(spark, sf_dir)).withColumn(
+        "body_example", F.lit(None).cast("string")
+    )
+    templates = catalog.catalog_templates(view.catalog_view(spark, sf_dir))
+    return catalog.upsert_catalog(listed, templates, _mapped(spark, sf_dir))
+
+
+@_query
+def catalog_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from one action per request."""
     listed = catalog.flatten_catalog(view.catalog_view(spark, sf_dir)).withColumn(
         "body_example", F.lit(None).cast("string")
     )

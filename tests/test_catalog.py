@@ -129,6 +129,36 @@ def test_decisions_and_upsert(spark):
     }
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_upsert_by_path_equals_upsert_by_request(spark):
+    """Random requests, with bodies of blanks, repeated paths, no path, templates without id and raw ones."""
+    draw = random.Random(9)
+    paths = ["/u/1", "/u/2?x=1", "u/3", "", "/", None, "/u/a", "/u/1/o/2", "/p/7", "/p/8", "/none?a", "/u/{id}"]
+    rows = [
+        (draw.choice(("GET", "get", "POST")), draw.choice(paths), draw.choice((None, "", "  ", " b%d " % i, "b")), None)
+        for i in range(300)
+    ]
+    asked = requests(spark, rows).repartition(3)
+    known = templates(
+        spark,
+        [("get", "/u/{id}", "e1"), ("post", "/u/{id}", None), ("get", "/u/{a}/o/:b", "e2"), ("get", "/p/7", "e3"), ("get", "/q", "e4")],
+    )
+    listed = known.withColumn("body_example", F.lit("was"))
+    actions = catalog.plan_catalog_actions(catalog.match_catalog(asked, known))
+    want = catalog.apply_to_catalog(listed, actions)
+    got = catalog.upsert_catalog(listed, known, asked)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    changed = catalog.catalog_changes(listed, actions)
+    assert sorted(map(str, changed.collect())) == sorted(map(str, want.filter("status <> 'kept'").collect()))
+    # no request meets a join
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "request_body" not in plan[: plan.index("Join")] and plan.count("request_body") > 0
+    assert exchanges(got) < exchanges(want)
+
+
 def test_catalog_listing(spark):
     listing = {"endpointGroups": [
         {"endpoints": [{"method": "GET", "path": "a", "id": "1"}, {"method": "get", "path": "/b"}]},
