@@ -71,12 +71,17 @@ def fold_number(value: object, modulus: int) -> int:
     return zlib.crc32(str("" if value is None else value).encode()) % modulus
 
 
+#: Keys that :func:`shard_bounds` looks at per shard, and at most, however many shards there are.
+_KEYS_A_SHARD, _MOST_KEYS = 128, 1 << 16
+
+
 def shard_bounds(df: DataFrame, key: str, shards: int) -> list[int]:
     """Ascending upper bounds (exclusive) that cut an integer key into about even ranges.
 
-    The bounds come from the ``128 * shards`` distinct keys with the smallest hashes, so they depend
-    on the keys alone: reruns, other partitionings and retried tasks give the same shards. They only
-    balance the work; every row belongs to one shard. Null keys come first.
+    The bounds come from the keys with the smallest hashes, 128 a shard and 65,536 (half a megabyte) at most, so they
+    depend on the keys alone: reruns, other partitionings and retried tasks give the same shards, and what reaches
+    the driver does not grow with the table. They only balance the work; every row belongs to one shard. There are
+    never more shards than keys looked at. Null keys come first.
     """
     if shards < 2:
         return []
@@ -85,12 +90,13 @@ def shard_bounds(df: DataFrame, key: str, shards: int) -> list[int]:
         .filter("k IS NOT NULL")
         .select("k", F.xxhash64("k").alias("h"))
         .orderBy("h", "k")
-        .limit(128 * shards)
+        .limit(min(_KEYS_A_SHARD * shards, _MOST_KEYS))
         .select("k")
     )
     found = np.unique(np.array([r[0] for r in keys.collect()], dtype=np.int64))
     if not len(found):
         return []
+    shards = min(shards, len(found))
     cuts = found[(np.arange(1, shards) * len(found)) // shards]
     return np.unique(cuts).tolist()
 
