@@ -37,12 +37,13 @@ def document_pieces(
     end_id: int = 0,
     id_column: str = "doc_id",
     text_column: str = "text",
+    remembered: int = tokens.REMEMBERED,
 ) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids: (id, piece, start, length, ids_crc32).
 
     Each text (null: empty) is tokenised whole and ended by ``end_id``, so every row has at least
     one piece; repeated rows and rows without an id give pieces of their own. Other columns are left
-    out, whatever their names.
+    out, whatever their names. Workers hold up to twice ``remembered`` words.
     """
     narrow = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     schema = T.StructType(
@@ -56,7 +57,7 @@ def document_pieces(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary).encode
+        encode = tokens.encoder(vocabulary, remembered).encode
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * max_tokens
         for batch in slices(batches, "text"):
@@ -188,5 +189,5 @@ def pack(
     return held.repartition(groups).mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, **columns: str) -> DataFrame:
-    return pack(document_pieces(docs, vocabulary, max_tokens, **columns), max_tokens)
+def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, **how: str | int) -> DataFrame:
+    return pack(document_pieces(docs, vocabulary, max_tokens, **how), max_tokens)

@@ -129,11 +129,11 @@ def _byte_names() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
     """One encoder per Python worker and vocabulary; its memory outlives single tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = WordEncoder(path, remembered)
+    return _ENCODERS[path, remembered]
