@@ -11,10 +11,13 @@ Three bits of 64 are a strict rule: a text of 250 words with one other word is b
 ``similar_documents`` is therefore an exact join on the Jaccard similarity of the sets of word shingles. Shingles are
 put in one order, common ones last; two sets of similarity 0.8 share one of the first fifth of the larger set and the first
 ninth of the smaller. Texts that meet in such a shingle are first compared with one of them, which joins large groups
-in a number of comparisons that grows with their size. Of the pairs that meet and are not yet in one group a small share
-is compared first, then a larger one, then all that are left: what a round joins leaves the next ones, so large groups are
-whole before their many pairs are reached, and at the end the groups are those of a comparison of all pairs. Only one link
-per pair of groups is kept, so there are no more links than texts and pairs of groups.
+in a number of comparisons that grows with their size. The texts that meet and are not yet in one group are then compared with
+drawn ones, few in the first round, eight times as many in each further one, at last all: what a round joins leaves the next
+ones, so the similar pairs of a large group are never listed, and at the end the groups are those of a comparison of all pairs.
+The links are one per text and round at most and never more than the texts.
+
+Every set carries a sketch of 512 bits, the parity of its shingles in each place. Two sketches differ in no more places than
+the sets have shingles apart, so pairs that differ in too many are left out without their texts.
 """
 
 from __future__ import annotations
@@ -40,8 +43,12 @@ SIMILARITY = 80
 #: ``_MOST_COMMON`` first. They only order the shingles; every order gives the same pairs.
 _SAMPLE, _COMMON, _MOST_COMMON = 8, 4, 1 << 18
 _CHUNK = 1 << 16
-#: One in so many of the untested pairs is compared in each round; the last round takes all that are left.
-_SHARES = (64, 8, 1)
+#: Each round draws so many times as many texts to compare with as the one before.
+_GROWTH = 8
+#: Words of 64 bits in a sketch.
+_SKETCH = 8
+#: Bits of the filter that saves moving texts no pair asks for: 4 MB, whatever the corpus.
+_FILTER = 1 << 25
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -185,26 +192,38 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parity of the number of shingles in each of the places, as 64-bit words."""
+    places = (shingles >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(places, minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _keyed(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """(doc_id, fingerprint, key, text) of every row; texts with the same set of shingles have the same key."""
+    """(doc_id, fingerprint, key, sketch, text) of every row; texts with the same set of shingles have the same key."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = T.StructType(
         [
             narrow.schema["doc_id"],
             T.StructField("fingerprint", T.LongType()),
             T.StructField("key", T.LongType()),
+            T.StructField("sketch", T.ArrayType(T.LongType())),
             narrow.schema["text"],
         ]
     )
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints, keys = [], []
+            prints, keys, sketches = [], [], []
             for text in text_bytes(batch.column("text")):
                 hashes = shingle_hashes(text, shingle)
+                distinct = np.unique(np.array(hashes, dtype="<u8"))
                 prints += fingerprint(hashes)
-                keys.append(xxhash.xxh64_intdigest(np.unique(np.array(hashes, dtype="<u8")).tobytes(), SEED))
+                keys.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+                sketches.append(sketch(distinct))
             columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
+            ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * _SKETCH)
+            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *columns, batch.column("text")], names=schema.names
             )
@@ -276,8 +295,37 @@ def _may_be_similar(n: Column, place: Column, m: Column, other: Column, similari
     return near & ((100 + similarity) * rest >= similarity * (n.cast("long") + m))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of keys whose texts have the Jaccard similarity."""
+def _within_sketches(n: Column, m: Column, one: Column, other: Column, similarity: int) -> Column:
+    """Whether sets of n and m shingles with these sketches can be as similar as asked."""
+    apart = functools.reduce(Column.__add__, (F.bit_count(one[i].bitwiseXOR(other[i])) for i in range(_SKETCH)))
+    return (100 + similarity) * apart.cast("long") <= (100 - similarity) * (n.cast("long") + m)
+
+
+def _texts_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, text) of the keys of ``pairs``, once each. A filter of fixed size keeps most other texts out of the shuffle."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    bit = F.pmod("key", F.lit(_FILTER))
+    words = (
+        needed.groupBy(F.shiftright(bit, 6).alias("word"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {_FILTER}) & 63 as int))")).alias("bits"))
+        .toArrow()  # bounded by _FILTER
+    )
+    filled = np.zeros(_FILTER // 64, dtype=np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = keyed.sparkSession.sparkContext.broadcast(filled)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("key").to_numpy() % _FILTER
+            asked = shared.value[at >> 6] >> (at & 63) & 1
+            yield batch.filter(pa.array(asked.astype(bool)))
+
+    texts = keyed.select("key", "text")
+    return texts.mapInArrow(likely, texts.schema).join(needed, "key", "left_semi").dropDuplicates(["key"])
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """The stored pairs (a, b) of keys whose texts have the Jaccard similarity."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))
@@ -292,13 +340,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: int)
                     good.append(100 * both >= similarity * (len(one) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    texts = stored(_texts_of(pairs, keyed), "asked-texts")
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compute, "a long, b long")
 
 
 def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Links (a, b) between keys: all are similar, and what similar pairs connect is connected by them."""
+    """Links (a, b) between keys: what similar pairs connect is connected by them, and nothing else."""
     meeting = W.partitionBy("token")
     meetings = stored(
         _prefixes(keyed, shingle, similarity)
@@ -309,20 +358,28 @@ def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
         .distinct(),
         "meetings",
     )
-    needed = meetings.select("key").distinct()
-    texts = stored(keyed.select("key", "text").join(needed, "key", "left_semi").dropDuplicates(["key"]), "meeting-texts")
-    columns = (F.col("n"), F.col("place"))
-    stars = stored(
+    sketches = stored(keyed.select("key", "sketch").dropDuplicates(["key"]), "sketches")
+    stars = (
         meetings.filter("lead.key < key")
-        .filter(_may_be_similar(*columns, F.col("lead.n"), F.col("lead.place"), similarity))
-        .select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
-        .distinct(),
-        "stars",
+        .filter(_may_be_similar(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place"), similarity))
+        .select(F.col("key").alias("a"), F.col("lead.key").alias("b"), "n", F.col("lead.n").alias("m"))
+        .distinct()
+        .join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("one")), "a")
+        .join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("other")), "b")
+        .filter(_within_sketches(F.col("n"), F.col("m"), F.col("one"), F.col("other"), similarity))
+        .select("a", "b")
     )
-    links = stored(_verified(stars, texts, shingle, similarity), "star-links")
-    grouped = meetings.drop("lead").join(connected_components(links).withColumnRenamed("node", "key"), "key", "left")
-    grouped = stored(grouped.withColumn("component", F.coalesce("component", "key")), "meeting-groups")
-    # Of two groups at least one is not the largest that meets in the shingle.
+    stars = stored(stars, "stars")
+    links = connected_components(stored(_verified(stars, keyed, shingle, similarity), "star-links"))
+    links = stored(links.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "star-groups")
+    grouped = meetings.drop("lead").join(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "key", "left")
+    mixed = _mixed_meetings(grouped.withColumn("component", F.coalesce("component", "key")))
+    mixed = stored(mixed.join(sketches, "key"), "mixed-meetings")
+    return links.union(_joined_groups(mixed, stars, keyed, shingle, similarity))
+
+
+def _mixed_meetings(grouped: DataFrame) -> DataFrame:
+    """The meetings of several groups; ``few`` are those outside the largest group that meets in their shingle."""
     sizes = grouped.groupBy("token", "component").count()
     largest = (
         sizes.groupBy("token")
@@ -330,46 +387,64 @@ def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
         .filter("groups > 1")
         .select("token", F.col("top.component").alias("main"))
     )
-    mixed = stored(grouped.join(largest, "token"), "mixed-meetings")
-    few = mixed.filter("component <> main").select(
-        "token", F.col("key").alias("a"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("component").alias("own")
+    return grouped.join(largest, "token").withColumn("few", F.col("component") != F.col("main")).drop("main")
+
+
+def _shares(mixed: DataFrame) -> list[int]:
+    """One in so many texts is drawn in each round: a few of the largest meeting first, all of them at last."""
+    largest = mixed.groupBy("token").count().agg(F.max("count")).first()[0]
+    shares = [1] if largest else []
+    while shares and shares[0] * _GROWTH < largest:
+        shares.insert(0, shares[0] * _GROWTH)
+    return shares
+
+
+def _untested(mixed: DataFrame, share: int, before: int | None, similarity: int) -> DataFrame:
+    """Pairs (a, b, of_a, of_b) that meet, may be similar, are in different groups, and of which at least one text is
+    drawn now and none was drawn before."""
+    draw = F.xxhash64("key")
+    left = mixed if before is None else mixed.filter(F.pmod(draw, F.lit(before)) != 0)
+    drawn = left.filter(F.pmod(draw, F.lit(share)) == 0)
+    names = {"key": "centre", "n": "m", "place": "other", "component": "own", "sketch": "with", "few": "one_of_few"}
+    drawn = drawn.withColumnsRenamed(names)
+    fits = (
+        (F.col("component") != F.col("own"))
+        & _may_be_similar(F.col("n"), F.col("place"), F.col("m"), F.col("other"), similarity)
+        & _within_sketches(F.col("n"), F.col("m"), F.col("sketch"), F.col("with"), similarity)
     )
-    met = few.join(
-        mixed.drop("main"),
-        (few["token"] == mixed["token"])
-        & (F.col("own") != F.col("component"))
-        & _may_be_similar(*columns, F.col("m"), F.col("other"), similarity),
-    )
-    rest = met.select(
-        F.greatest("a", "key").alias("a"),
-        F.least("a", "key").alias("b"),
-        F.when(F.col("a") > F.col("key"), F.col("own")).otherwise(F.col("component")).alias("of_a"),
-        F.when(F.col("a") > F.col("key"), F.col("component")).otherwise(F.col("own")).alias("of_b"),
-    ).distinct()
-    rest = stored(rest.join(stars, ["a", "b"], "left_anti"), "untested")
-    members = grouped.filter("key <> component").select(F.col("key").alias("a"), F.col("component").alias("b")).distinct()
-    return members.union(_joined_groups(rest, texts, shingle, similarity))
-
-
-def _joined_groups(rest: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Links (a, b) between groups, named by their least key, that similar pairs of ``rest`` (a, b, of_a, of_b) connect."""
-    found = rest.sparkSession.createDataFrame([], "a long, b long")
+
+    def met(some: DataFrame, centres: DataFrame) -> DataFrame:
+        drawn_first = F.col("centre") > F.col("key")
+        return some.join(centres.withColumnRenamed("token", "at"), (F.col("token") == F.col("at")) & fits).select(
+            F.greatest("centre", "key").alias("a"),
+            F.least("centre", "key").alias("b"),
+            F.when(drawn_first, F.col("own")).otherwise(F.col("component")).alias("of_a"),
+            F.when(drawn_first, F.col("component")).otherwise(F.col("own")).alias("of_b"),
+        )
+
+    # two texts of the largest group never differ, so its texts meet only those of the few
+    return met(left.filter("few"), drawn).union(met(left.filter("NOT few"), drawn.filter("one_of_few"))).distinct()
+
+
+def _joined_groups(mixed: DataFrame, tested: DataFrame, keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Links (a, b) between groups, named by their least key, that similar pairs which meet in ``mixed`` connect."""
+    found = keyed.sparkSession.createDataFrame([], "a long, b long")
     before = None
-    for share in _SHARES:
-        draw = F.xxhash64("a", "b")
-        now = F.pmod(draw, F.lit(share)) == 0
-        new = now if before is None else now & (F.pmod(draw, F.lit(before)) != 0)
+    for share in _shares(mixed):
+        pairs = stored(_untested(mixed, share, before, similarity).join(tested, ["a", "b"], "left_anti"), "untested")
         before = share
-        good = _verified(rest.filter(new).select("a", "b"), texts, shingle, similarity)
-        merged = good.join(rest, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-        merged = stored(merged, "merged-groups")
-        found = found.union(merged)
-        if share > 1:
-            renamed = connected_components(merged)
-            for side in ("of_a", "of_b"):
-                name = renamed.select(F.col("node").alias(side), F.col("component").alias("renamed"))
-                rest = rest.join(name, side, "left").withColumn(side, F.coalesce("renamed", side)).drop("renamed")
-            rest = stored(rest.filter("of_a <> of_b").select("a", "b", "of_a", "of_b"), "untested")
+        if pairs.isEmpty():
+            continue
+        good = _verified(pairs.select("a", "b"), keyed, shingle, similarity)
+        merged = good.join(pairs, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        renamed = connected_components(stored(merged, "merged-groups")).filter("node <> component")
+        renamed = stored(renamed.select(F.col("node").alias("a"), F.col("component").alias("b")), "renamed-groups")
+        found = found.union(renamed)
+        if share > 1 and not renamed.isEmpty():
+            name = renamed.select(F.col("a").alias("component"), F.col("b").alias("renamed"))
+            grouped = mixed.drop("few").join(name, "component", "left")
+            grouped = grouped.withColumn("component", F.coalesce("renamed", "component")).drop("renamed")
+            mixed = stored(_mixed_meetings(grouped), "mixed-meetings")
     return found
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from apilens.llm import simhash
 
 
@@ -66,3 +68,49 @@ def test_links_do_not_grow_with_the_pairs(spark):
         if many == 100:
             want = brute_force(dict(enumerate(texts)))
             assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+
+
+def test_sketches_never_exceed_the_difference():
+    draw = np.random.default_rng(2)
+    for n in (0, 1, 3, 80, 5000):
+        one = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        for changed in (0, 1, n // 5, n):
+            other = np.unique(np.concatenate((one[changed:], draw.integers(0, 2**64, changed // 2, dtype=np.uint64))))
+            apart = sum(int(x).bit_count() for x in (simhash.sketch(one) ^ simhash.sketch(other)).view(np.uint64))
+            assert apart <= len(np.setxor1d(one, other))
+            assert apart == 0 or changed
+
+
+def test_strangers_around_a_shared_passage_are_not_listed(spark):
+    """Near copies, a third of which are beyond the similarity to all others: pairs looked at stay near the number of texts."""
+    draw = random.Random(4)
+    old = [f"w{i}" for i in range(200)]
+    pairs = []
+    for many in (100, 400):
+        texts = []
+        for i in range(many):
+            words = list(old)
+            for _ in range(20 if i % 3 == 0 else 2):
+                words[draw.randrange(200)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        keyed = simhash.stored(simhash._keyed(docs, "doc_id", "text", 5), "keyed")
+        listed = []
+        stored = simhash.stored
+
+        def counting(df, name):
+            out = stored(df, name)
+            if name in ("untested", "stars"):
+                listed.append(out.count())
+            return out
+
+        simhash.stored = counting
+        try:
+            simhash.similar_links(keyed, 5, 80)
+        finally:
+            simhash.stored = stored
+        pairs.append(sum(listed))
+        if many == 100:
+            want = brute_force(dict(enumerate(texts)))
+            assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
+    assert pairs[1] <= 8 * pairs[0] and pairs[1] <= 3 * 400
