@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from apilens.staging import staged
 
 
+#: Pieces a core into which rows are dealt before each becomes many.
+_PIECES = 8
+
+
 def list_with_count(table: DataFrame) -> DataFrame:
     """All rows, each with the number of rows; the list itself is never collected."""
     return table.withColumn("count", table.select(F.count("*")).scalar())
@@ -105,8 +109,10 @@ def order_user_details(orders: DataFrame, users: DataFrame) -> DataFrame:
         _parts_of_length(F.lower("name"), F.col("lengths")),
         _parts_of_length(F.lower("email"), F.col("lengths")),
     )
+    # A user becomes a hundred parts and more: dealt to all tasks first, as a small table is read by few.
+    dealt = users.select("id", "name", "email").repartition(_PIECES * users.sparkSession.sparkContext.defaultParallelism)
     first = (
-        users.withColumn("lengths", lengths.scalar())
+        dealt.withColumn("lengths", lengths.scalar())
         .select("id", F.explode(texts).alias("word"))
         .join(words, "word", "left_semi")
         .groupBy("word")

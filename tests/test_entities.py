@@ -148,3 +148,14 @@ def test_update_and_delete(spark, users):
 def test_product_info(products):
     rows = entities.order_product_info(7, products).collect()
     assert {r.order_id for r in rows} == {7} and len(rows) == 3
+
+
+def test_users_are_dealt_before_they_become_parts(spark):
+    """A table in one file is read by one task; its users are spread before each becomes a hundred rows."""
+    users = spark.createDataFrame([(i, f"Name{i}", f"n{i}@example.com") for i in range(50)], "id long, name string, email string").coalesce(1)
+    orders = spark.createDataFrame([(1, "Name7 x"), (2, None)], "id long, customer string")
+    details = entities.order_user_details(orders, users)
+    plan = details._jdf.queryExecution().optimizedPlan().toString()
+    parts = [line for line in plan.splitlines() if "Generate explode" in line or "Repartition" in line]
+    assert "Generate" in parts[0] and "Repartition" in parts[1]
+    assert {r.order_id: r.user_id for r in details.collect()} == {1: 7, 2: None}
