@@ -7,7 +7,8 @@ what was left open at the end of a chunk is handed to the next one:
 1. Shuffle by (flow, chunk), sort inside partitions, and frame all chunks in one streaming pass
    (``mapInArrow``; a task holds one unfinished message, never a group). The same pass drops copies of
    segments. Each chunk is assumed to start at a message boundary. The output is written once.
-2. One row per chunk - how many bytes it has, what it was given, what it left - is read in the order of each flow.
+2. One row per chunk - how many bytes it has, what it was given, what it left - is read in the order of each flow,
+   for the flows that leave something open in some chunk.
    A body that goes on behind its chunk leaves a number of bytes still to come, not bytes: summed up
    over the chunks behind, that number says in which chunk the body ends, and the chunks before that one
    belong to it whole. Where a head is open its bytes are handed on.
@@ -233,7 +234,7 @@ _ENTRY, _CONTEXT, _SEGMENT = 0, 1, 2
 
 _FRAMED = (
     "flow string, chunk bigint, ts_us bigint, seq bigint, n int, kind string, data binary, "
-    "entry binary, first_us bigint, bytes bigint, silence boolean, origin bigint"
+    "entry binary, first_us bigint, bytes bigint, silence boolean, origin bigint, left binary"
 )
 _FRAMED_ARROW = pa.schema(
     [
@@ -249,6 +250,7 @@ _FRAMED_ARROW = pa.schema(
         ("bytes", pa.int64()),
         ("silence", pa.bool_()),
         ("origin", pa.int64()),
+        ("left", pa.binary()),
     ]
 )
 _BATCH_BYTES = 16 << 20
@@ -261,23 +263,91 @@ def _arrow(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+_Place = tuple[str, int]
+_Segment = tuple[int, int, int | None, bytes]
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Place, list[_Segment], bool]]:
+    """((flow, chunk), rows (role, ts_us, seq, payload), whether these are all rows of the chunk), in order."""
+    held: tuple[_Place, list[_Segment], bool] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flows, chunks, *values = (
+            batch.column(name).to_pylist() for name in ("flow", "chunk", "role", "ts_us", "seq", "payload")
+        )
+        rows = list(zip(*values, strict=True))
+        starts = [0, *(i for i in range(1, len(rows)) if chunks[i] != chunks[i - 1] or flows[i] != flows[i - 1])]
+        for at, end in zip(starts, [*starts[1:], len(rows)], strict=True):
+            place = (flows[at], chunks[at])
+            cut = held is not None and held[0] == place
+            if held is not None:
+                yield held[0], held[1], held[2] and not cut
+            held = place, rows[at:end], not cut
+    if held is not None:
+        yield held
+
+
+def _without_copies(rows: list[_Segment], copies: _Copies, gap_us: int | None) -> Iterator[_Segment]:
+    """Entries, and segments that are no copies."""
+    for role, ts_us, seq, payload in rows:
+        if role != _ENTRY and gap_us is not None and seq is not None:
+            digest = payload if role == _CONTEXT else hashlib.md5(payload).digest()
+            if copies.is_copy(seq, digest, ts_us):
+                continue
+        if role != _CONTEXT:
+            yield role, ts_us, seq or 0, payload
+
+
 def _segments_in_order(
     batches: Iterator[pa.RecordBatch], gap_us: int | None
-) -> Iterator[tuple[tuple[str, int], int, int, int, bytes]]:
+) -> Iterator[tuple[_Place, int, int, int, bytes]]:
     """((flow, chunk), role, ts_us, seq, payload) of entries and of segments that are no copies."""
     key, copies = None, _Copies(gap_us or 0)
-    for batch in batches:
-        columns = [batch.column(name).to_pylist() for name in
-                   ("flow", "chunk", "role", "ts_us", "seq", "payload")]
-        for flow, chunk, role, ts_us, seq, payload in zip(*columns, strict=True):
-            if (flow, chunk) != key:
-                key, copies = (flow, chunk), _Copies(gap_us or 0)
-            if role != _ENTRY and gap_us is not None and seq is not None:
-                digest = payload if role == _CONTEXT else hashlib.md5(payload).digest()
-                if copies.is_copy(seq, digest, ts_us):
+    for place, rows, _ in _runs(batches):
+        if place != key:
+            key, copies = place, _Copies(gap_us or 0)
+        for segment in _without_copies(rows, copies, gap_us):
+            yield place, *segment
+
+
+def _one_message(rows: list[_Segment], idle_us: int, gap_us: int | None) -> tuple | None:
+    """(ts_us, seq, kind, message, first_us) if a whole chunk is exactly one message of announced length, as most are.
+
+    A framer would give the same: the message is complete with its last byte, so with the last segment.
+    """
+    first, last = rows[0], rows[-1]
+    if first[0] != _SEGMENT or last[1] - first[1] > idle_us:
+        return None
+    if len(rows) == 1:
+        kept = rows
+    elif gap_us is None:
+        kept = rows
+    else:
+        seen: dict[tuple[int, bytes], int] = {}
+        kept = []
+        for row in rows:
+            _, ts_us, seq, payload = row
+            if seq is not None:
+                before = seen.get((seq, payload))
+                seen[seq, payload] = ts_us
+                if before is not None and ts_us - before <= gap_us:
                     continue
-            if role != _CONTEXT:
-                yield key, role, ts_us, seq or 0, payload
+            kept.append(row)
+        last = kept[-1]
+    data = kept[0][3] if len(kept) == 1 else b"".join([row[3] for row in kept])
+    end = data.find(b"\r\n\r\n")
+    if end < 0 or not data.startswith(_HEADS):
+        return None
+    head = data[:end]
+    length = _LENGTH.search(head)
+    if length is None or len(length.group(1)) > 18 or end + 4 + int(length.group(1)) != len(data):
+        return None
+    if b"transfer-encoding" in head.lower():
+        return None
+    start = head.split(b"\r\n", 1)[0]
+    whole = _CODE.match(start) if start.startswith(b"HTTP/") else len(start.split()) >= 2
+    return last[1], last[2] or 0, "message" if whole else "reject", data, first[1]
 
 
 def _frame_sorted(
@@ -289,48 +359,63 @@ def _frame_sorted(
     """
     rows: list[tuple] = []
     size = 0
-    key, framer, entry, first, last, total, silence = None, ChunkFramer(), FRESH, None, (0, 0), 0, False
-    none = (None,) * 5
+    key, copies, framer, entry, first, last, total, silence = None, None, None, FRESH, None, (0, 0), 0, False
+    none = (None,) * 6
 
     def edge() -> None:
         left, part = framer.leave(key[1])
         if part is not None:
             rows.append((*key, *last, 0, "part", part, *none))
-        rows.append((*key, *last, 0, "edge", left, entry, first, total, silence, None))
+        rows.append((*key, *last, 0, "edge", None, entry, first, total, silence, None, left))
 
-    for place, role, ts_us, seq, payload in _segments_in_order(batches, gap_us):
+    for place, run, complete in _runs(batches):
         if place != key:
-            if key is not None:
+            if framer is not None:
                 edge()
-            key, framer, entry, first, last, total, silence = place, ChunkFramer(), FRESH, None, (0, 0), 0, False
-        if first is not None and role == _SEGMENT and place[1] != _BEFORE_ALL and ts_us - last[0] > idle_us:
-            unfinished, origin = framer.unfinished()
-            if unfinished or origin is not None:
-                rows.append((*key, last[0], 0, 0, "open", unfinished, None, None, None, None, origin))
-            framer, silence = ChunkFramer(), True
-        last = max(last, (ts_us, seq))
-        if role == _ENTRY:
-            framer, entry = ChunkFramer(payload), payload
-            first = ts_us if place[1] == _BEFORE_ALL else first
-            continue
-        first = ts_us if first is None else first
-        total += len(payload)
-        for n, (kind, data, origin) in enumerate(framer.feed(payload)):
-            rows.append((*place, ts_us, seq, n, kind, data, None, None, None, None, origin))
-            size += len(data)
+            key, framer = place, None
+            found = _one_message(run, idle_us, gap_us) if complete else None
+            if found is None:
+                copies = _Copies(gap_us or 0)
+            else:
+                ts_us, seq, kind, data, first_us = found
+                rows.append((*place, ts_us, seq, 0, kind, data, *none))
+                rows.append((*place, ts_us, seq, 0, "edge", None, FRESH, first_us, len(data), False, None, FRESH))
+                size += len(data)
+                run = []
+        for role, ts_us, seq, payload in _without_copies(run, copies, gap_us):
+            if framer is None:
+                framer, entry, first, last, total, silence = ChunkFramer(), FRESH, None, (0, 0), 0, False
+            if first is not None and role == _SEGMENT and place[1] != _BEFORE_ALL and ts_us - last[0] > idle_us:
+                unfinished, origin = framer.unfinished()
+                if unfinished or origin is not None:
+                    rows.append((*key, last[0], 0, 0, "open", unfinished, None, None, None, None, origin, None))
+                framer, silence = ChunkFramer(), True
+            last = max(last, (ts_us, seq))
+            if role == _ENTRY:
+                framer, entry = ChunkFramer(payload), payload
+                first = ts_us if place[1] == _BEFORE_ALL else first
+                continue
+            first = ts_us if first is None else first
+            total += len(payload)
+            for n, (kind, data, origin) in enumerate(framer.feed(payload)):
+                rows.append((*place, ts_us, seq, n, kind, data, None, None, None, None, origin, None))
+                size += len(data)
+            if size > _BATCH_BYTES:
+                yield _arrow(rows, _FRAMED_ARROW)
+                rows, size = [], 0
         if size > _BATCH_BYTES or len(rows) >= 10_000:
             yield _arrow(rows, _FRAMED_ARROW)
             rows, size = [], 0
-    if key is not None:
+    if framer is not None:
         edge()
     if rows:
         yield _arrow(rows, _FRAMED_ARROW)
 
 
 def _dealt(keyed: DataFrame) -> DataFrame:
-    """The one shuffle of payloads."""
+    """The one shuffle of payloads. Sorted by a hash first: it tells most flows apart, whose names begin alike."""
     return keyed.repartition("flow", "chunk").sortWithinPartitions(
-        "flow", "chunk", "role", "ts_us", "seq", "payload"
+        F.xxhash64("flow", "chunk"), "flow", "chunk", "role", "ts_us", "seq", "payload"
     )
 
 
@@ -408,6 +493,13 @@ def _resolve_sorted(batches: Iterator[pa.RecordBatch], idle_us: int) -> Iterator
         yield _arrow(rows, _MARKS_ARROW)
 
 
+def _open_edges(edges: DataFrame) -> DataFrame:
+    """The edges of flows that leave something open somewhere, or go on with it; all others have no marks."""
+    is_open = (F.col("left") != F.lit(FRESH)) | (F.col("entry") != F.lit(FRESH))
+    flows = staged(edges.filter(is_open).select("flow").distinct(), "open-flows")
+    return edges.join(flows, "flow", "left_semi")
+
+
 def _resolve(edges: DataFrame, idle_us: int) -> DataFrame:
     """Marks of all chunks. Open bytes are compared by digest and never leave their row."""
 
@@ -416,7 +508,7 @@ def _resolve(edges: DataFrame, idle_us: int) -> DataFrame:
         return F.when(inside, F.col(state)).otherwise(F.unhex(F.sha2(F.col(state), 256)))
 
     narrow = edges.select(
-        "flow", "chunk", "first_us", "ts_us", mark("data").alias("left"), mark("entry").alias("used"), "bytes", "silence"
+        "flow", "chunk", "first_us", "ts_us", mark("left").alias("left"), mark("entry").alias("used"), "bytes", "silence"
     )
     return (
         narrow.repartition("flow")
@@ -637,11 +729,11 @@ def reassemble_onto(
         own = F.floor(F.col("last_us") / F.lit(width_us)).cast("bigint")
         known = recent.select(_flow().alias("flow"), F.col("last_us").alias("ts_us"), "seq", F.unhex("digest").alias("payload"), F.explode(F.array(own, own + 1)).alias("chunk"))
         keyed = keyed.unionByName(known.withColumn("role", F.lit(_CONTEXT)))
-    rounds = [staged(_frame(keyed, idle_us, gap_us).withColumn("round", F.lit(0)), "framed", ("kind",))]
+    rounds = [staged(_frame(keyed, idle_us, gap_us).withColumn("round", F.lit(0)), "framed")]
     edges = rounds[0].filter("kind = 'edge'")
     replaced = None
     while True:
-        marks = staged(_resolve(edges, idle_us), "marks")
+        marks = staged(_resolve(_open_edges(edges), idle_us), "marks")
         stale = marks.filter("status = 'stale'")
         seen = marks.agg(
             F.bool_or(F.col("status") == "stale").alias("stale"),
@@ -651,7 +743,7 @@ def reassemble_onto(
         if not seen.stale:
             break
         names = stale.select("flow", "chunk")
-        exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("exit"))
+        exits = edges.select("flow", F.col("chunk").alias("before"), F.col("left").alias("exit"))
         carried = stale.join(exits, ["flow", "before"], "left").select(
             "flow",
             "chunk",
@@ -663,7 +755,7 @@ def reassemble_onto(
         again = keyed.join(names, ["flow", "chunk"], "left_semi").unionByName(carried)
         number = len(rounds)
         redone = staged(
-            _frame(again, idle_us, gap_us).withColumn("round", F.lit(number)), "framed", ("kind",)
+            _frame(again, idle_us, gap_us).withColumn("round", F.lit(number)), "framed"
         )
         outdated = (
             edges.join(names, ["flow", "chunk"], "left_semi").select("flow", "chunk", "round")
@@ -682,7 +774,7 @@ def reassemble_onto(
         joined = staged(_joined(result, marks, keyed, gap_us, seen.swallowed), "joined", ("kind",)).select(*columns)
     else:
         joined = result.sparkSession.createDataFrame([], _WHOLE)
-    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("data").alias("state"))
+    exits = edges.select("flow", F.col("chunk").alias("before"), F.col("left").alias("state"))
     ended = marks.filter("status IN ('closed', 'left') AND before IS NOT NULL").join(exits, ["flow", "before"])
     messages = result.filter("kind <> 'part' AND origin IS NULL").select(*columns)
     messages = messages.union(joined.filter("kind <> 'left'"))

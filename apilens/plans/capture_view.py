@@ -31,11 +31,14 @@ def _text(expression: str) -> str:
     return f"cast({expression} as string)"
 
 
-def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One captured request per event."""
+def requests_view(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """One captured request per event. ``spread`` deals the narrow events to all tasks, for views that make much of them;
+    a table stored in few row groups would be few tasks' work."""
     event = table(spark, sf_dir, "events").select(
         "event_id", utc_instant(F.col("ts")).alias("ts"), "user_id", "event_type", "props"
     )
+    if spread:
+        event = event.repartition("event_id")
     uuid = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))"
     return event.selectExpr(
         "*",
@@ -72,9 +75,9 @@ def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def messages_view(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Parsed requests and responses as they leave the parser: not attributed, not paired."""
-    view = requests_view(spark, sf_dir).withColumn(
+    view = requests_view(spark, sf_dir, spread).withColumn(
         "response_body", F.expr("concat('{\"event\": ', cast(event_id as string), ', \"note\": \"é\"}')")
     )
     host = F.coalesce("host_header", "destination_ip")
@@ -267,7 +270,7 @@ def rendered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(
         head, F.lit("\r\n"), F.array_join(lines, "\r\n"), F.lit("\r\n\r\n"), F.col("body")
     )
-    return messages_view(spark, sf_dir).select(
+    return messages_view(spark, sf_dir, spread=True).select(
         "node",
         F.col("source_ip").alias("src_ip"),
         F.col("source_port").alias("src_port"),

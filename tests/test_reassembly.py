@@ -13,9 +13,13 @@ from apilens import schemas
 from apilens.operators import reassembly
 from apilens.operators.messages import http_records, malformed, parse_messages
 from apilens.operators.reassembly import (
+    _ENTRY,
+    _SEGMENT,
     FRESH,
     OPEN_FLOWS,
     Framer,
+    _one_message,
+    _open_edges,
     messages_only,
     reassemble,
     reassemble_onto,
@@ -394,3 +398,49 @@ def test_parse_and_malformed(spark):
     assert malformed(parsed).count() == 2
     relaxed = http_records(parse_messages(df, host_case_sensitive=False))
     assert relaxed.orderBy("seq").first().host == "h"
+
+
+def test_chunk_of_one_message_is_framed_as_by_the_framer():
+    """The short way for a chunk that is one message gives what the framer gives, or leaves the chunk to it."""
+    rng = random.Random(11)
+    bodies = [b"", b"x" * 7, b"\r\n\r\nGET /in HTTP/1.1\r\n\r\n"]
+    starts = [b"GET /a HTTP/1.1", b"POST / HTTP/1.1", b"GET", b"HTTP/1.1 200 OK", b"HTTP/1.1 ok", b"~GET /a"]
+    headers = [b"Content-Length: %d", b"content-length:000%d", b"Content-Length: 3%d", b"X: %d",
+               b"Content-Length: %d\r\nTransfer-Encoding: chunked"]
+    short = 0
+    for _ in range(3000):
+        body = rng.choice(bodies)
+        data = rng.choice(starts) + b"\r\n" + rng.choice(headers) % len(body) + b"\r\n\r\n" + body
+        cuts = sorted(rng.sample(range(1, len(data)), rng.randrange(4)))
+        pieces = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        rows = []
+        for at, piece in enumerate(pieces):
+            rows.append((_SEGMENT, 10 * at, at, piece))
+            if rng.random() < 0.3:
+                rows.append((_SEGMENT, 10 * at + 1, at, piece))
+        found = _one_message(rows, 10**6, 10)
+        if found is None:
+            continue
+        short += 1
+        framer = Framer()
+        framed = [(10 * at, at, *m) for at, piece in enumerate(pieces) for m in framer.feed(piece)]
+        assert framed == [found[:4]] and framer.state == FRESH and found[4] == 0
+    assert short > 500
+
+
+def test_long_gaps_and_foreign_rows_are_left_to_the_framer():
+    whole = b"GET / HTTP/1.1\r\nContent-Length: 0\r\n\r\n"
+    assert _one_message([(_SEGMENT, 0, 1, whole)], 100, 10)[2] == "message"
+    assert _one_message([(_SEGMENT, 0, 1, whole[:9]), (_SEGMENT, 101, 2, whole[9:])], 100, 10) is None
+    assert _one_message([(_ENTRY, 0, 0, FRESH), (_SEGMENT, 0, 1, whole)], 100, 10) is None
+    # the same bytes again, but too late for a copy: a second message
+    assert _one_message([(_SEGMENT, 0, 1, whole), (_SEGMENT, 50, 1, whole)], 100, 10) is None
+
+
+def test_only_flows_with_open_bytes_are_resolved(spark):
+    edges = spark.createDataFrame(
+        [("a", 1, FRESH, FRESH), ("a", 2, FRESH, FRESH), ("b", 1, FRESH, b"\x00GET"), ("b", 2, FRESH, FRESH),
+         ("c", 1, b"\x00GET", FRESH)],
+        "flow string, chunk long, entry binary, left binary",
+    )
+    assert {(r.flow, r.chunk) for r in _open_edges(edges).collect()} == {("b", 1), ("b", 2), ("c", 1)}
