@@ -691,7 +691,7 @@ def committed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
                 committed.commit_captures(part, root, half, f"node-{n}")
 
     lost = records.filter("half = 1").drop("half")
-    captures.to_capture_records(lost).write.json(f"{root}/data/node-0/batch=0-lost")
+    captures.to_capture_records(lost).write.json(f"{root}/data/node-0/batch=0-lost", compression=captures.COMPRESSION)
     commit(0)
     _, reached = committed.read_new(spark, root, f"{root}/position")
     committed.write_position(reached, f"{root}/position")
@@ -785,13 +785,18 @@ def extract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams
 
 
-def _in_order(df: DataFrame, path: str, parts: int, files: int) -> None:
-    """Store a table as ``parts`` consecutive time ranges of ``files`` files each."""
-    bounds = df.select(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+def _in_order(df: DataFrame, path: str, parts: int) -> int:
+    """Store a table as ``parts`` consecutive time ranges of equally many files, a file a core; gives that number.
+
+    The table is computed once, whatever it takes, and its ranges are cut from what was stored."""
+    files = max(4, df.sparkSession.sparkContext.defaultParallelism)
+    rows = staged(df, "unordered")
+    bounds = rows.select(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
     width = (bounds[1] - bounds[0]) // parts + 1
     for part in range(parts):
         inside = F.floor((F.unix_micros("ts") - bounds[0]) / width) == part
-        df.filter(inside).repartition(files).write.mode("append").parquet(path)
+        rows.filter(inside).repartition(files).write.mode("append").option("compression", "zstd").parquet(path)
+    return files
 
 
 @_query
@@ -799,8 +804,8 @@ def stream_reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream over the stored segments, in three micro-batches."""
     root = staging_path(spark, "segments")
     stored = segments.http_port_filter(view.segments_view(spark, sf_dir)).drop("type")
-    _in_order(stored, f"{root}/in", parts=3, files=4)
-    stream = segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=4)
+    files = _in_order(stored, f"{root}/in", parts=3)
+    stream = segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=files)
     paired = stream_capture.paired_records(
         stream_capture.assemble_stream(stream),
         view.directory_view(spark, sf_dir),
@@ -816,10 +821,10 @@ def stream_assemble_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream on the batch plans, state kept in stored tables."""
     root = staging_path(spark, "assembly")
     stored = segments.http_port_filter(view.segments_view(spark, sf_dir)).drop("type")
-    _in_order(stored, f"{root}/in", parts=3, files=4)
+    files = _in_order(stored, f"{root}/in", parts=3)
     stream_assembly.start_state(spark, root)
     stream_assembly.assemble_batches(
-        segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=4),
+        segments.read_segments(spark, f"{root}/in", streaming=True, max_files_per_trigger=files),
         root,
         f"{root}/out",
         f"{root}/checkpoint",
@@ -879,7 +884,7 @@ def _catalog_stream(spark: SparkSession, sf_dir: str) -> tuple[stream_catalog_jo
     gives the tables and their last version."""
     root = staging_path(spark, "catalog")
     requests = view.attributed_requests(spark, sf_dir)
-    _in_order(requests, f"{root}/in", parts=3, files=4)
+    files = _in_order(requests, f"{root}/in", parts=3)
     listed = catalog.catalog_templates(view.catalog_view(spark, sf_dir)).withColumn(
         "body_example", F.lit(None).cast("string")
     )
@@ -887,7 +892,7 @@ def _catalog_stream(spark: SparkSession, sf_dir: str) -> tuple[stream_catalog_jo
     tables.start(listed, view.base_mappings(spark, sf_dir))
     stream = (
         spark.readStream.schema(requests.schema)
-        .option("maxFilesPerTrigger", 4)
+        .option("maxFilesPerTrigger", files)
         .parquet(f"{root}/in")
     )
     saved = view.saved_mappings(spark, sf_dir)
@@ -928,8 +933,8 @@ def first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Services of a request stream, each once."""
     root = staging_path(spark, "first-requests")
     requests = view.attributed_requests(spark, sf_dir)
-    _in_order(requests, f"{root}/in", parts=3, files=4)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
+    files = _in_order(requests, f"{root}/in", parts=3)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     (
         stream_catalog_jobs.first_requests(stream, delay="60 days")
         .select("service", "type")

@@ -13,6 +13,8 @@ from apilens.staging import staged
 
 # Fixed value: prefix of capture records in a log.
 LOG_PREFIX = "ENDPOINT_CAPTURE: "
+#: How capture files and extracts are compressed. Readers tell by the name of a file, so plain ones are read as well.
+COMPRESSION = "gzip"
 _BROKEN = "_broken_line"
 
 
@@ -55,7 +57,8 @@ def read_positioned_captures(spark: SparkSession, *paths: str) -> DataFrame:
     """Capture files with the ``position`` (from 1) of every record among all lines.
 
     Files count by age, then name, so records keep their positions when files are added. Lines are numbered
-    inside the pieces in which Spark reads files; only one row per piece meets in one place.
+    inside the pieces in which Spark reads files; only one row per piece meets in one place, and goes from there to
+    the lines, which stay where they are.
     """
     lines = staged(
         spark.read.text(list(paths)).select(
@@ -73,7 +76,7 @@ def read_positioned_captures(spark: SparkSession, *paths: str) -> DataFrame:
     offsets = sizes.select(
         *piece, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    placed = lines.join(offsets, piece).select(
+    placed = lines.join(F.broadcast(offsets), piece).select(
         "value", (F.col("_line") + F.col("_shift") + 1).alias("position")
     )
     return parse_capture_lines(placed)
@@ -99,7 +102,7 @@ def to_capture_records(messages: DataFrame) -> DataFrame:
 
 def write_captures(messages: DataFrame, path: str, mode: str = "append") -> None:
     """JSON Lines; ``overwrite`` clears the file first, as at the start of a capture."""
-    to_capture_records(messages).write.mode(mode).json(path)
+    to_capture_records(messages).write.mode(mode).json(path, compression=COMPRESSION)
 
 
 def to_log_lines(messages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilens.sources.captures import parse_capture_lines, to_capture_records
+from apilens.sources.captures import COMPRESSION, parse_capture_lines, to_capture_records
 
 _MANIFEST = "writer string, batch bigint, folder string, records bigint"
 _POSITION = "writer string, batch bigint"
@@ -45,7 +45,7 @@ def commit_captures(messages: DataFrame, path: str, batch: int, writer: str = "c
     if not _rows(spark, own, _MANIFEST).isEmpty():
         return False
     folder = f"data/{writer}/batch={batch}-{uuid.uuid4().hex}"
-    to_capture_records(messages).write.json(f"{path}/{folder}")
+    to_capture_records(messages).write.json(f"{path}/{folder}", compression=COMPRESSION)
     count = spark.read.text(f"{path}/{folder}").count()
     row = spark.range(1).select(
         F.lit(writer).alias("writer"),

@@ -37,5 +37,5 @@ def staged(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """Write ``df`` once and return the stored table."""
     spark = df.sparkSession
     path = staging_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,7 @@ from apilens.functions import http
 from apilens.functions.hosts import UNKNOWN, host_label, names_no_service
 from apilens.operators.messages import http_records, parse_messages
 from apilens.operators.reassembly import FRESH, IDLE_SECONDS, ChunkFramer
-from apilens.sources.captures import to_capture_records
+from apilens.sources.captures import COMPRESSION, to_capture_records
 from apilens.sources.segments import COPY_GAP_SECONDS, FLOW
 
 _OUTPUT = (
@@ -247,6 +247,7 @@ def store_captures(messages: DataFrame, path: str, checkpoint: str) -> Streaming
         to_capture_records(messages)
         .writeStream.format("json")
         .option("path", path)
+        .option("compression", COMPRESSION)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)

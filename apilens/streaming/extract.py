@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from apilens.operators.extract import drop_health_checks, project_extract
-from apilens.sources.captures import parse_capture_lines
+from apilens.sources.captures import COMPRESSION, parse_capture_lines
 
 
 def extract_new(
@@ -25,6 +25,7 @@ def extract_new(
         project_extract(kept)
         .writeStream.format("json")
         .option("path", output)
+        .option("compression", COMPRESSION)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from apilens import schemas
 from apilens.operators import extract
 from apilens.plans import capture_view as view
+from apilens.plans import registry
 from apilens.sources import captures, documents, segments
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +154,36 @@ def test_pushdown(spark, tmp_path):
     plan = wanted._jdf.queryExecution().executedPlan().toString()
     assert "In(src_port" in plan.split("PushedFilters")[1]
     assert "iface" not in plan.split("ReadSchema")[1]
+
+
+def test_captures_are_stored_compressed_and_read_beside_plain_ones(spark, tmp_path):
+    path = tmp_path / "captures"
+    captures.write_captures(view.http_messages_view(spark, SF).limit(50), str(path))
+    stored = [name for name in os.listdir(path) if name.startswith("part-")]
+    assert stored and all(name.endswith(".json.gz") for name in stored)
+    (path / "plain.json").write_text(record("plain"))
+    assert captures.read_captures(spark, str(path)).count() == 51
+    positions = sorted(r.position for r in captures.read_positioned_captures(spark, str(path)).collect())
+    assert positions == list(range(1, 52))
+
+
+def test_lines_are_not_shuffled_to_get_their_positions(spark, tmp_path):
+    (tmp_path / "one.json").write_text(record(1))
+    plan = captures.read_positioned_captures(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_time_ranges_are_cut_from_a_table_computed_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(90).selectExpr("timestamp_micros(id * 1000) as ts", "id")
+    path = str(tmp_path / "in")
+    files = registry._in_order(rows.mapInArrow(count, rows.schema), path, parts=3)
+    assert calls.value == 90
+    assert len([name for name in os.listdir(path) if name.startswith("part-")]) == 3 * files
+    assert spark.read.parquet(path).count() == 90
