@@ -23,13 +23,16 @@ _OUTPUT = (
     "seq bigint, n int, kind string, message binary, request_head binary"
 )
 _Out = Row(*(part.split()[0] for part in _OUTPUT.split(", ")))
-# Of each direction: its flow, when it was seen last, the framer's state or how much of a body is still to come.
-_SIDE = (
-    "forward boolean, node string, src_ip string, src_port int, dst_ip string, dst_port int, "
-    "last_us bigint, state binary, parts int"
+# Of each connection: its last request head, recent digests, and of both directions when it was seen last, the framer's state
+# or how much of a body is still to come, and the number of stored parts of that body.
+_SIDE = "last_us bigint, state binary, parts int, node string, src_ip string, src_port int, dst_ip string, dst_port int"
+_CONNECTION = (
+    "connection string, head binary, head_us bigint, recent binary, "
+    f"low struct<{_SIDE.replace(' ', ':').replace(',:', ', ')}>, high struct<{_SIDE.replace(' ', ':').replace(',:', ', ')}>"
 )
-_CONNECTION = "head binary, head_us bigint, recent binary, timer_ms bigint"
 _COPY_GAP_US = COPY_GAP_SECONDS * 1_000_000
+#: Keys of the keyed state.
+BUCKETS = 2048
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -57,19 +60,44 @@ class _Side:
     """One direction of a connection: a framer, and the stored parts of a body that began in an earlier micro-batch."""
 
     def __init__(self, flow: tuple, last_us: int | None = None, state: bytes = FRESH, parts: int = 0) -> None:
-        self.flow, self.last_us, self.parts = flow, last_us, parts
+        self.flow, self.last_us, self.parts, self.state = flow, last_us, parts, state
         self.framer = ChunkFramer(state)
 
-    def row(self, forward: bool, state: bytes) -> tuple:
-        return (forward, *self.flow, self.last_us, state, self.parts)
+    def row(self) -> tuple:
+        return (self.last_us, self.state, self.parts, *self.flow)
+
+
+class _Connection:
+    """What is kept of a connection between micro-batches."""
+
+    def __init__(self, head: bytes | None = None, head_us: int | None = None, recent: bytes = b"", sides: Any = (None, None)):
+        self.head, self.head_us, self.packed = head, head_us, recent
+        self.sides = {
+            forward: _Side(tuple(side[3:]), side[0], bytes(side[1]), side[2])
+            for forward, side in zip((True, False), sides, strict=True)
+            if side is not None
+        }
+
+    @classmethod
+    def of(cls, row: Row) -> _Connection:
+        return cls(None if row[1] is None else bytes(row[1]), row[2], bytes(row[3]), row[4:6])
+
+    def row(self, name: str) -> tuple:
+        low, high = (side and side.row() for side in (self.sides.get(True), self.sides.get(False)))
+        return (name, self.head, self.head_us, self.packed, low, high)
+
+    @property
+    def last_us(self) -> int:
+        return max((side.last_us for side in self.sides.values()), default=0)
 
 
 class _Assembler(StatefulProcessor):
-    """Messages of one connection.
+    """Messages of the connections of one bucket.
 
-    State: the last request head and recent digests (a value), both directions (a list of two), and the bytes of
-    unfinished bodies (lists that only grow, so a long body is not written again with every micro-batch). A
-    timer drops it all when the connection has been silent.
+    State: a list with one row per connection (last request head, recent digests, both directions), read and written in one
+    call each, as a call for every connection costs more than framing it, and a map with the parts of unfinished bodies, which
+    are only added to, so a long body is not written again with every micro-batch. A timer drops connections that have
+    been silent.
     """
 
     def __init__(self, idle_us: int) -> None:
@@ -77,31 +105,27 @@ class _Assembler(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.connection = handle.getValueState("connection", _CONNECTION)
-        self.sides = handle.getListState("sides", _SIDE)
-        self.bodies = {f: handle.getListState(f"body_{'low' if f else 'high'}", "part binary") for f in (True, False)}
+        self.connections = handle.getListState("connections", _CONNECTION)
+        self.bodies = handle.getMapState("bodies", "connection string, forward boolean, part int", "data binary")
+        self.timer = handle.getValueState("timer", "timer_ms bigint")
 
-    def _body(self, forward: bool, side: _Side) -> bytes:
+    def _body(self, name: str, forward: bool, side: _Side) -> bytes:
         """Stored parts of the body that has ended now."""
-        if not side.parts:
-            return b""
-        whole = b"".join(bytes(r[0]) for r in self.bodies[forward].get())
-        self.bodies[forward].clear()
+        keys = [(name, forward, part) for part in range(side.parts)]
+        whole = b"".join(bytes(self.bodies.getValue(key)[0]) for key in keys)
+        for key in keys:
+            self.bodies.removeKey(key)
         side.parts = 0
         return whole
 
-    def _open_row(self, forward: bool, side: _Side) -> Row | None:
+    def _open_row(self, name: str, forward: bool, side: _Side) -> Row | None:
         left, origin = side.framer.unfinished()
-        left = self._body(forward, side) + left
+        left = self._body(name, forward, side) + left
         return _Out(*side.flow, side.last_us, 0, 0, "open", left, None) if left else None
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        head, head_us, packed, timer_ms = self.connection.get() or (None, None, b"", None)
-        sides = {r[0]: _Side(tuple(r[1:6]), r[6], bytes(r[7]), r[8]) for r in self.sides.get()}
-        recent = _recent(bytes(packed))
-        head = None if head is None else bytes(head)
-        newest = 0
-        # One micro-batch of one connection; its size is set by the source's admission limit.
+    def _framed(self, name: str, connection: _Connection, rows: list[Row]) -> Iterator[Row]:
+        """Frame what a micro-batch has of a connection; its size is set by the source's admission limit."""
+        recent, newest, touched = _recent(connection.packed), 0, set()
         for row in sorted(rows, key=attrgetter("ts_us", "order")):
             ts_us, payload, newest = row.ts_us, bytes(row.payload), row.ts_us
             if row.seq is not None:
@@ -110,60 +134,77 @@ class _Assembler(StatefulProcessor):
                 if before is not None and ts_us - before <= _COPY_GAP_US:
                     continue
             flow = tuple(row[c] for c in FLOW)
-            side = sides.setdefault(row.forward, _Side(flow))
+            touched.add(row.forward)
+            side = connection.sides.setdefault(row.forward, _Side(flow))
             if side.last_us is not None and ts_us - side.last_us > self.idle_us:
                 # the port serves another connection now
-                opened = self._open_row(row.forward, side)
+                opened = self._open_row(name, row.forward, side)
                 if opened:
                     yield opened
-                side = sides[row.forward] = _Side(flow)
+                side = connection.sides[row.forward] = _Side(flow)
             side.last_us = ts_us
             for n, (kind, data, origin) in enumerate(side.framer.feed(payload)):
                 if origin is not None:
-                    data = self._body(row.forward, side) + data
+                    data = self._body(name, row.forward, side) + data
                 is_response = data.startswith(b"HTTP/")
                 if kind == "message" and not is_response:
-                    head, head_us = data[: data.find(b"\r\n\r\n") + 4], ts_us
-                elif head_us is not None and ts_us - head_us > self.idle_us:
-                    head = head_us = None
-                yield _Out(*flow, ts_us, row.seq or 0, n, kind, data, head if is_response else None)
-        left = []
-        for forward, side in sides.items():
-            state, part = side.framer.leave(0)
+                    connection.head, connection.head_us = data[: data.find(b"\r\n\r\n") + 4], ts_us
+                elif connection.head_us is not None and ts_us - connection.head_us > self.idle_us:
+                    connection.head = connection.head_us = None
+                yield _Out(*flow, ts_us, row.seq or 0, n, kind, data, connection.head if is_response else None)
+        for forward in touched:
+            side = connection.sides[forward]
+            side.state, part = side.framer.leave(0)
             part = part if part is not None else b"".join(side.framer.head) if side.framer.skip else None
             if part:
-                self.bodies[forward].appendValue((part,))
+                self.bodies.updateValue((name, forward, side.parts), (part,))
                 side.parts += 1
-            left.append(side.row(forward, state))
-        self.sides.put(left)
-        kept = b"".join(d + us.to_bytes(8, "little") for d, us in recent.items() if newest - us <= _COPY_GAP_US)
-        if timer_ms is None:
-            timer_ms = max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.idle_us // 1000
-            self.handle.registerTimer(timer_ms)
-        self.connection.update((head, head_us, kept, timer_ms))
+        connection.packed = b"".join(
+            d + us.to_bytes(8, "little") for d, us in recent.items() if newest - us <= _COPY_GAP_US
+        )
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        given: dict[str, list[Row]] = {}
+        for row in rows:
+            given.setdefault(row.connection, []).append(row)
+        kept = {r[0]: _Connection.of(r) for r in self.connections.get()}
+        for name, some in given.items():
+            yield from self._framed(name, kept.setdefault(name, _Connection()), some)
+        self.connections.put([connection.row(name) for name, connection in kept.items()])
+        if self.timer.get() is None:
+            earliest = min(connection.last_us for connection in kept.values()) // 1000
+            self._set_timer(max(earliest, timerValues.getCurrentWatermarkInMs()) + self.idle_us // 1000)
+
+    def _set_timer(self, timer_ms: int) -> None:
+        self.timer.update((timer_ms,))
+        self.handle.registerTimer(timer_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        sides = {r[0]: _Side(tuple(r[1:6]), r[6], bytes(r[7]), r[8]) for r in self.sides.get()}
-        due = max((s.last_us for s in sides.values()), default=0) // 1000 + self.idle_us // 1000
-        if due > timerValues.getCurrentWatermarkInMs():
-            # there was traffic since the timer was set
-            head, head_us, recent, _ = self.connection.get()
-            self.connection.update((head, head_us, recent, due))
-            self.handle.registerTimer(due)
-            return
-        for forward, side in sides.items():
-            opened = self._open_row(forward, side)
-            if opened:
-                yield opened
-        self.connection.clear()
-        self.sides.clear()
+        watermark, idle_ms = timerValues.getCurrentWatermarkInMs(), self.idle_us // 1000
+        kept, due = [], None
+        for row in list(self.connections.get()):
+            connection = _Connection.of(row)
+            ends = connection.last_us // 1000 + idle_ms
+            if ends > watermark:
+                kept.append(connection.row(row[0]))
+                due = ends if due is None else min(due, ends)
+                continue
+            for forward, side in connection.sides.items():
+                opened = self._open_row(row[0], forward, side)
+                if opened:
+                    yield opened
+        self.connections.clear()
+        self.timer.clear()
+        if kept:
+            self.connections.put(kept)
+            self._set_timer(due)
 
     def close(self) -> None:
         pass
 
 
 def assemble_stream(
-    segments: DataFrame, delay: str = "10 minutes", idle_seconds: int = IDLE_SECONDS
+    segments: DataFrame, delay: str = "10 minutes", idle_seconds: int = IDLE_SECONDS, buckets: int = BUCKETS
 ) -> DataFrame:
     """Whole messages of a segment stream; responses come with the head of their request.
 
@@ -171,7 +212,8 @@ def assemble_stream(
     direction that goes on after a silence of more than ``idle_seconds`` starts anew, and what it had begun
     comes out with kind ``open``.
 
-    State per connection: the open bytes of both directions and the last request head. It is
+    Connections are dealt into ``buckets``, the keys of the state, and a bucket's part of a micro-batch is one call: the number
+    belongs to the checkpoint and must not change, and bounds the tasks that can work at once. State per connection: the open bytes of both directions and the last request head. It is
     dropped, and its open bytes come out with kind ``open``, once the watermark has passed the connection's last
     segment by ``idle_seconds``, so connections that fall silent do not pile up. Segments have to arrive in
     capture order, apart from the order inside a micro-batch. Flows whose columns are partly null are flows like others.
@@ -193,7 +235,8 @@ def assemble_stream(
             "connection", F.concat_ws("|", F.coalesce("node", F.lit("-")), F.least(low, high), F.greatest(low, high))
         )
     )
-    assembled = keyed.groupBy("connection").transformWithState(
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("connection"), F.lit(buckets)))
+    assembled = dealt.groupBy("bucket").transformWithState(
         _Assembler(idle_seconds * 1_000_000), _OUTPUT, "append", "eventTime"
     )
     return assembled.withColumn("ts", F.timestamp_micros("ts_us")).drop("ts_us")

@@ -349,3 +349,20 @@ def test_catalog_versions_under_retries(spark, tmp_path):
     assert sorted((r.kind, r.name, r.value, r.times_seen) for r in tables.parameters.read(2).collect()) == [
         ("header", "A", "9", 2), ("path", "id", "3", 2), ("query", "a", "2", 2)]
     assert [r.service for r in tables.mappings.read(2).collect()] == ["new"]
+
+
+def test_connections_share_a_bucket(spark, tmp_path, directory):
+    """Many connections in one call, bodies cut across micro-batches, give what the batch plan gives."""
+    path, data = str(tmp_path / "in"), rows()
+    ports = {4000: 4001, 80: 80}
+    data = [r[:4] + (port(r[4]),) + (r[5],) + (port(r[6]),) + r[7:] for port in (int, ports.get) for r in data]
+    data.sort(key=lambda r: r[0])
+    third = len(data) // 6 * 2
+    for part in (data[:third], data[third : 2 * third], data[2 * third :]):
+        spark.createDataFrame(part, schemas.SEGMENTS).coalesce(1).write.mode("append").parquet(path)
+    stream = read_segments(spark, path, streaming=True, max_files_per_trigger=1)
+    records = to_http_messages(keyed.paired_records(keyed.assemble_stream(stream, buckets=1), directory))
+    out = str(tmp_path / "out")
+    keyed.store_captures(records, out, str(tmp_path / "checkpoint")).awaitTermination()
+    got = captures.read_captures(spark, out)
+    assert plain(got) == plain(batch_result(spark, path, directory)) and got.count() == 34
