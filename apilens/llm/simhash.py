@@ -14,7 +14,9 @@ ninth of the smaller. Texts that meet in such a shingle are first compared with
 in a number of comparisons that grows with their size. The texts that meet and are not yet in one group are then compared with
 drawn ones, few in the first round, eight times as many in each further one, at last all: what a round joins leaves the next
 ones, so the similar pairs of a large group are never listed, and at the end the groups are those of a comparison of all pairs.
-The links are one per text and round at most and never more than the texts.
+Shingles in which only a few texts meet need no rounds: their pairs are a small multiple of the texts and come last.
+The links are one per text and round at most and never more than the texts. Texts are read again for the keys that pairs ask
+for, not stored a second time.
 
 Every set carries a sketch of 512 bits, the parity of its shingles in each place. Two sketches differ in no more places than
 the sets have shingles apart, so pairs that differ in too many are left out without their texts.
@@ -199,6 +201,15 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def _key(distinct: np.ndarray) -> int:
+    """The key of a set of shingles, given in ascending order."""
+    return xxhash.xxh64_intdigest(distinct.astype("<u8", copy=False).tobytes(), SEED)
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
 def _keyed(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> DataFrame:
     """(doc_id, fingerprint, key, sketch, text) of every row; texts with the same set of shingles have the same key."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
@@ -219,11 +230,10 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> D
                 hashes = shingle_hashes(text, shingle)
                 distinct = np.unique(np.array(hashes, dtype="<u8"))
                 prints += fingerprint(hashes)
-                keys.append(xxhash.xxh64_intdigest(distinct.tobytes(), SEED))
+                keys.append(_key(distinct))
                 sketches.append(sketch(distinct))
-            columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (prints, keys)]
             ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * _SKETCH)
-            columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches))))
+            columns = [_signed(prints), _signed(keys), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches)))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *columns, batch.column("text")], names=schema.names
             )
@@ -231,6 +241,10 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, shingle: int) -> D
     return narrow.mapInArrow(compute, schema)
 
 
+def _sampled() -> Column:
+    return F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SAMPLE)) == 0
+
+
 def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """The common shingles, ascending, and in how many texts of the sample they are."""
 
@@ -239,7 +253,7 @@ def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
             found = np.concatenate([shingle_set(t, shingle) for t in text_bytes(batch.column("text"))])
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["token"])
 
-    sample = keyed.filter(F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SAMPLE)) == 0).select("text")
+    sample = keyed.filter(_sampled()).select("text")
     found = (
         sample.mapInArrow(compute, "token long")
         .groupBy("token")
@@ -254,15 +268,16 @@ def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
     return tokens[order], np.array([r[1] for r in found], dtype=np.int64)[order]
 
 
-def _prefixes(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """(token, key, n, place) of the first shingles of every text, whose set has ``n``; ``place`` counts from 0."""
+def _prefixes(keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """(token, key, n_place) of the first shingles of every text, whose set has n; ``n_place`` holds n in its upper half and
+    the place, from 0, in its lower one, which makes rows to shuffle a fifth shorter."""
     shared = keyed.sparkSession.sparkContext.broadcast(_common_shingles(keyed, shingle))
-    schema = "token long, key long, n int, place int"
+    schema = "token long, key long, n_place long"
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in slices(batches, "text"):
-            firsts, sizes = [], []
+            firsts, sizes, keys = [], [], []
             for text in text_bytes(batch.column("text")):
                 tokens = shingle_set(text, shingle)
                 many = np.zeros(len(tokens), dtype=np.int64)
@@ -273,16 +288,36 @@ def _prefixes(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
                 first = min(len(tokens), len(tokens) + -similarity * len(tokens) // 100 + 1)
                 firsts.append(tokens[np.lexsort((tokens, many))[:first]])
                 sizes.append(len(tokens))
+                keys.append(_key(tokens))
             taken = np.array([len(f) for f in firsts])
+            places = np.concatenate([np.arange(k, dtype=np.int64) for k in taken])
             columns = [
                 np.concatenate(firsts).view(np.int64),
-                np.repeat(batch.column("key").to_numpy(), taken),
-                np.repeat(np.array(sizes, dtype=np.int32), taken),
-                np.concatenate([np.arange(k, dtype=np.int32) for k in taken]),
+                np.repeat(np.array(keys, dtype=np.uint64).view(np.int64), taken),
+                (np.repeat(np.array(sizes, dtype=np.int64), taken) << 32) + places,
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n_place"])
+
+    return texts.select("text").mapInArrow(compute, schema)
+
+
+def _meetings(keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """(token, key, n, place, lead) where several keys meet in a first shingle; ``lead`` is the least of them."""
+    meeting = W.partitionBy("token")
+    met = (
+        _prefixes(keyed, texts, shingle, similarity)
+        .withColumn("lead", F.min(F.struct("key", "n_place")).over(meeting))
+        .withColumn("_last", F.max("key").over(meeting))
+        .filter("lead.key < _last")
+        .select("token", "key", "n_place", "lead")
+        .distinct()
+    )
+    lead = F.struct("lead.key", *_n_and_place(F.col("lead.n_place")))
+    return met.select("token", "key", *_n_and_place(F.col("n_place")), lead.alias("lead"))
+
 
-    return keyed.select("key", "text").mapInArrow(compute, schema)
+def _n_and_place(both: Column) -> tuple[Column, Column]:
+    return F.shiftright(both, 32).cast("int").alias("n"), both.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("place")
 
 
 def _may_be_similar(n: Column, place: Column, m: Column, other: Column, similarity: int) -> Column:
@@ -301,30 +336,35 @@ def _within_sketches(n: Column, m: Column, one: Column, other: Column, similarit
     return (100 + similarity) * apart.cast("long") <= (100 - similarity) * (n.cast("long") + m)
 
 
-def _texts_of(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
+def _texts_of(pairs: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(key, text) of the keys of ``pairs``, once each. A filter of fixed size keeps most other texts out of the shuffle."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    bit = F.pmod("key", F.lit(_FILTER))
+    bearers = needed.join(keyed.select("key", "doc_id"), "key").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))
     words = (
-        needed.groupBy(F.shiftright(bit, 6).alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(key, {_FILTER}) & 63 as int))")).alias("bits"))
+        bearers.select(bit.alias("bit"))
+        .groupBy(F.shiftright("bit", 6).alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
         .toArrow()  # bounded by _FILTER
     )
     filled = np.zeros(_FILTER // 64, dtype=np.int64)
     filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = keyed.sparkSession.sparkContext.broadcast(filled)
+    schema = T.StructType([T.StructField("key", T.LongType()), texts.schema["text"]])
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("key").to_numpy() % _FILTER
+        for big in batches:
+            at = big.column("bit").to_numpy()
             asked = shared.value[at >> 6] >> (at & 63) & 1
-            yield batch.filter(pa.array(asked.astype(bool)))
+            for batch in slices([big.filter(pa.array(asked.astype(bool)))], "text"):
+                keys = [_key(shingle_set(t, shingle)) for t in text_bytes(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([_signed(keys), batch.column("text")], names=schema.names)
 
-    texts = keyed.select("key", "text")
-    return texts.mapInArrow(likely, texts.schema).join(needed, "key", "left_semi").dropDuplicates(["key"])
+    asked = texts.select(bit.alias("bit"), "text").mapInArrow(likely, schema)
+    return asked.join(needed, "key", "left_semi").dropDuplicates(["key"])
 
 
-def _verified(pairs: DataFrame, keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+def _verified(pairs: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
     """The stored pairs (a, b) of keys whose texts have the Jaccard similarity."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,24 +380,19 @@ def _verified(pairs: DataFrame, keyed: DataFrame, shingle: int, similarity: int)
                     good.append(100 * both >= similarity * (len(one) + len(other) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = stored(_texts_of(pairs, keyed), "asked-texts")
-    a = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
+    asked = _texts_of(pairs, keyed, texts, shingle)  # shuffled once for both sides
+    a = asked.select(F.col("key").alias("a"), F.col("text").alias("x"))
+    b = asked.select(F.col("key").alias("b"), F.col("text").alias("y"))
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compute, "a long, b long")
 
 
-def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Links (a, b) between keys: what similar pairs connect is connected by them, and nothing else."""
-    meeting = W.partitionBy("token")
-    meetings = stored(
-        _prefixes(keyed, shingle, similarity)
-        .withColumn("lead", F.min(F.struct("key", "n", "place")).over(meeting))
-        .withColumn("_last", F.max("key").over(meeting))
-        .filter("lead.key < _last")
-        .drop("_last")
-        .distinct(),
-        "meetings",
-    )
+def similar_links(keyed: DataFrame, shingle: int, similarity: int, texts: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between keys: what similar pairs connect is connected by them, and nothing else.
+
+    ``texts`` has the rows (doc_id, text) of ``keyed``, if that one has only those of the sample. It is read several times.
+    """
+    texts = keyed.select("doc_id", "text") if texts is None else texts
+    meetings = stored(_meetings(keyed, texts, shingle, similarity), "meetings")
     sketches = stored(keyed.select("key", "sketch").dropDuplicates(["key"]), "sketches")
     stars = (
         meetings.filter("lead.key < key")
@@ -370,22 +405,22 @@ def similar_links(keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
         .select("a", "b")
     )
     stars = stored(stars, "stars")
-    links = connected_components(stored(_verified(stars, keyed, shingle, similarity), "star-links"))
+    links = connected_components(stored(_verified(stars, keyed, texts, shingle, similarity), "star-links"))
     links = stored(links.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")), "star-groups")
     grouped = meetings.drop("lead").join(links.select(F.col("a").alias("key"), F.col("b").alias("component")), "key", "left")
-    mixed = _mixed_meetings(grouped.withColumn("component", F.coalesce("component", "key")))
-    mixed = stored(mixed.join(sketches, "key"), "mixed-meetings")
-    return links.union(_joined_groups(mixed, stars, keyed, shingle, similarity))
+    mixed = stored(_mixed_meetings(grouped.withColumn("component", F.coalesce("component", "key"))), "mixed-meetings")
+    return links.union(_joined_groups(mixed, sketches, stars, keyed, texts, shingle, similarity))
 
 
 def _mixed_meetings(grouped: DataFrame) -> DataFrame:
-    """The meetings of several groups; ``few`` are those outside the largest group that meets in their shingle."""
+    """The meetings of several groups; ``few`` are those outside the largest group that meets in their shingle, ``crowded``
+    those in shingles of more than ``_GROWTH`` texts."""
     sizes = grouped.groupBy("token", "component").count()
     largest = (
         sizes.groupBy("token")
-        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"))
+        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"), F.sum("count").alias("all"))
         .filter("groups > 1")
-        .select("token", F.col("top.component").alias("main"))
+        .select("token", F.col("top.component").alias("main"), (F.col("all") > _GROWTH).alias("crowded"))
     )
     return grouped.join(largest, "token").withColumn("few", F.col("component") != F.col("main")).drop("main")
 
@@ -405,47 +440,64 @@ def _untested(mixed: DataFrame, share: int, before: int | None, similarity: int)
     draw = F.xxhash64("key")
     left = mixed if before is None else mixed.filter(F.pmod(draw, F.lit(before)) != 0)
     drawn = left.filter(F.pmod(draw, F.lit(share)) == 0)
-    names = {"key": "centre", "n": "m", "place": "other", "component": "own", "sketch": "with", "few": "one_of_few"}
-    drawn = drawn.withColumnsRenamed(names)
+    # two texts of the largest group never differ, so its texts meet only those of the few
+    few = _met(left.filter("few"), drawn, similarity)
+    return few.union(_met(left.filter("NOT few"), drawn.filter("few"), similarity)).distinct()
+
+
+def _met(some: DataFrame, centres: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b, of_a, of_b), a above b, of different groups that meet and may be similar."""
+    names = {"token": "at", "key": "centre", "n": "m", "place": "other", "component": "own", "sketch": "with"}
+    centres = centres.select(*names).withColumnsRenamed(names)
     fits = (
-        (F.col("component") != F.col("own"))
+        (F.col("token") == F.col("at"))
+        & (F.col("component") != F.col("own"))
         & _may_be_similar(F.col("n"), F.col("place"), F.col("m"), F.col("other"), similarity)
         & _within_sketches(F.col("n"), F.col("m"), F.col("sketch"), F.col("with"), similarity)
     )
-
-    def met(some: DataFrame, centres: DataFrame) -> DataFrame:
-        drawn_first = F.col("centre") > F.col("key")
-        return some.join(centres.withColumnRenamed("token", "at"), (F.col("token") == F.col("at")) & fits).select(
-            F.greatest("centre", "key").alias("a"),
-            F.least("centre", "key").alias("b"),
-            F.when(drawn_first, F.col("own")).otherwise(F.col("component")).alias("of_a"),
-            F.when(drawn_first, F.col("component")).otherwise(F.col("own")).alias("of_b"),
-        )
-
-    # two texts of the largest group never differ, so its texts meet only those of the few
-    return met(left.filter("few"), drawn).union(met(left.filter("NOT few"), drawn.filter("one_of_few"))).distinct()
+    drawn_first = F.col("centre") > F.col("key")
+    return some.select(*names).join(centres, fits).select(
+        F.greatest("centre", "key").alias("a"),
+        F.least("centre", "key").alias("b"),
+        F.when(drawn_first, F.col("own")).otherwise(F.col("component")).alias("of_a"),
+        F.when(drawn_first, F.col("component")).otherwise(F.col("own")).alias("of_b"),
+    )
 
 
-def _joined_groups(mixed: DataFrame, tested: DataFrame, keyed: DataFrame, shingle: int, similarity: int) -> DataFrame:
+def _joined_groups(
+    mixed: DataFrame, sketches: DataFrame, tested: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int
+) -> DataFrame:
     """Links (a, b) between groups, named by their least key, that similar pairs which meet in ``mixed`` connect."""
     found = keyed.sparkSession.createDataFrame([], "a long, b long")
-    before = None
-    for share in _shares(mixed):
-        pairs = stored(_untested(mixed, share, before, similarity).join(tested, ["a", "b"], "left_anti"), "untested")
+
+    def merge(pairs: DataFrame) -> DataFrame:
+        good = _verified(pairs.select("a", "b"), keyed, texts, shingle, similarity)
+        merged = good.join(pairs, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        renamed = connected_components(stored(merged, "merged-groups")).filter("node <> component")
+        return stored(renamed.select(F.col("node").alias("a"), F.col("component").alias("b")), "renamed-groups")
+
+    def regrouped(mixed: DataFrame, renamed: DataFrame) -> DataFrame:
+        name = renamed.select(F.col("a").alias("component"), F.col("b").alias("renamed"))
+        grouped = mixed.drop("few", "crowded").join(name, "component", "left")
+        return _mixed_meetings(grouped.withColumn("component", F.coalesce("renamed", "component")).drop("renamed"))
+
+    crowded, before = stored(mixed.filter("crowded").join(sketches, "key"), "crowded-meetings"), None
+    for share in _shares(crowded):
+        pairs = stored(_untested(crowded, share, before, similarity).join(tested, ["a", "b"], "left_anti"), "untested")
         before = share
         if pairs.isEmpty():
             continue
-        good = _verified(pairs.select("a", "b"), keyed, shingle, similarity)
-        merged = good.join(pairs, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
-        renamed = connected_components(stored(merged, "merged-groups")).filter("node <> component")
-        renamed = stored(renamed.select(F.col("node").alias("a"), F.col("component").alias("b")), "renamed-groups")
+        tested = tested.union(pairs.select("a", "b"))
+        renamed = merge(pairs)
         found = found.union(renamed)
         if share > 1 and not renamed.isEmpty():
-            name = renamed.select(F.col("a").alias("component"), F.col("b").alias("renamed"))
-            grouped = mixed.drop("few").join(name, "component", "left")
-            grouped = grouped.withColumn("component", F.coalesce("renamed", "component")).drop("renamed")
-            mixed = stored(_mixed_meetings(grouped), "mixed-meetings")
-    return found
+            crowded = stored(regrouped(crowded, renamed), "crowded-meetings")
+    groups = connected_components(found).filter("node <> component")
+    others = regrouped(mixed.filter("NOT crowded"), groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    others = others.join(sketches, "key")
+    pairs = _met(others, others, similarity).distinct().join(tested, ["a", "b"], "left_anti")
+    pairs = stored(pairs, "untested")
+    return found if pairs.isEmpty() else found.union(merge(pairs))
 
 
 def similar_documents(
@@ -455,12 +507,18 @@ def similar_documents(
     shingle: int = 5,
     similarity: int = SIMILARITY,
 ) -> DataFrame:
-    """As ``near_duplicates``, for a Jaccard similarity of the word shingles of ``similarity`` percent and more."""
+    """As ``near_duplicates``, for a Jaccard similarity of the word shingles of ``similarity`` percent and more.
+
+    ``docs`` is read several times: hand over a stored table.
+    """
     if not 1 <= similarity <= 100:
         raise ValueError("the similarity is 1 to 100 percent")
-    keyed = stored(_keyed(docs, id_column, text_column, shingle), "keyed")
-    links = similar_links(keyed.filter("doc_id IS NOT NULL"), shingle, similarity)
-    classes = keyed.filter("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
+    keyed = _keyed(docs, id_column, text_column, shingle)
+    keyed = stored(keyed.withColumn("text", F.when(_sampled(), F.col("text"))), "keyed")
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    known, texts = (d.filter("doc_id IS NOT NULL") for d in (keyed, texts))
+    links = similar_links(known, shingle, similarity, texts)
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("least"))
     grouped = classes.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
