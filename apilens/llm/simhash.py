@@ -18,6 +18,8 @@ Shingles in which only a few texts meet need no rounds: their pairs are a small
 The links are one per text and round at most and never more than the texts. Texts are read again for the keys that pairs ask
 for, not stored a second time.
 
+``drop_similar`` unites the groups of both: links between fingerprints and links between sets of shingles.
+
 Every set carries a sketch of 512 bits, the parity of its shingles in each place. Two sketches differ in no more places than
 the sets have shingles apart, so pairs that differ in too many are left out without their texts.
 """
@@ -533,11 +535,15 @@ def similar_documents(
 
 
 def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how: int) -> DataFrame:
-    """The rows, with all their columns, whose id is the smallest of its group of similar documents.
+    """The rows, with all their columns, whose id is the smallest of its group.
 
-    Rows without an id stay. Rows that share an id stay or go together, and go if any of them is similar to a row with
-    a smaller id.
+    The groups are those of ``near_duplicates`` and of ``similar_documents`` (with ``how``), united where they share an id:
+    fingerprints miss similar texts that differ in a few words, and near fingerprints may stand on texts that are less similar.
+    Rows without an id stay. Rows that share an id stay or go together.
     """
-    groups = similar_documents(docs, id_column, text_column, **how)
-    dropped = stored(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    near = near_duplicates(docs, id_column, text_column)
+    similar = similar_documents(docs, id_column, text_column, **how)
+    links = near.union(similar).filter("component_id < doc_id").selectExpr("doc_id AS a", "component_id AS b")
+    groups = connected_components(stored(links, "links-of-both"))
+    dropped = stored(groups.filter("component < node").select(F.col("node").alias("_dropped")).distinct(), "dropped")
     return docs.join(dropped, F.col(id_column) == F.col("_dropped"), "left_anti")

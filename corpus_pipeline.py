@@ -35,7 +35,8 @@ def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones (five-word shingles, similarity 0.8)."""
+    """The document with the smallest id of each group: near SimHash fingerprints (three-word shingles, three bits) and
+    similar sets of shingles (five words, 0.8) both link."""
     return simhash.drop_similar(docs)
 
 

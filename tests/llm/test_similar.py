@@ -114,3 +114,19 @@ def test_strangers_around_a_shared_passage_are_not_listed(spark):
             want = brute_force(dict(enumerate(texts)))
             assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
     assert pairs[1] <= 8 * pairs[0] and pairs[1] <= 3 * 400
+
+
+def test_stage_joins_groups_of_both_kinds_and_stores_few_texts(spark, monkeypatch):
+    """1 and 2 are near by SimHash alone, 2 and 3 by their shingles alone: one group, of which the first stays."""
+    passage, one, other = ([f"{c}{i}" for i in range(n)] for c, n in (("p", 41), ("x", 20), ("y", 20)))
+    texts = {1: 20 * passage + one, 2: 20 * passage + other, 3: passage + other, 4: [f"z{i}" for i in range(60)]}
+    texts = {i: " ".join(words) for i, words in texts.items()}
+    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3))[0] for i, t in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 3 < (prints[2] ^ prints[3]).bit_count()
+    assert brute_force(texts) == {1: 1, 2: 2, 3: 2, 4: 4}
+    tables, stored = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: tables.append(stored(df, name)) or tables[-1])
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == [1, 4]
+    # but for the sample that finds common shingles
+    assert [t.filter("text IS NOT NULL").count() <= 1 for t in tables if "text" in t.columns] == [True]
