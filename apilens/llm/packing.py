@@ -38,12 +38,14 @@ def document_pieces(
     id_column: str = "doc_id",
     text_column: str = "text",
     remembered: int = tokens.REMEMBERED,
+    forget: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``max_tokens`` ids: (id, piece, start, length, ids_crc32).
 
     Each text (null: empty) is tokenised whole and ended by ``end_id``, so every row has at least
     one piece; repeated rows and rows without an id give pieces of their own. Other columns are left
-    out, whatever their names. Workers hold up to twice ``remembered`` words.
+    out, whatever their names. Workers hold up to twice ``remembered`` words; with ``forget`` only as long as a task
+    runs, which leaves the memory to other steps.
     """
     narrow = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     schema = T.StructType(
@@ -57,13 +59,13 @@ def document_pieces(
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary, remembered).encode
+        encoder = tokens.encoder(vocabulary, remembered)
         end = np.array([end_id], "<u4").tobytes()
         step = 4 * max_tokens
         for batch in slices(batches, "text"):
             row, piece, length, crc = [], [], [], []
             for i, text in enumerate(text_bytes(batch.column("text"))):
-                ids = encode(text) + end
+                ids = encoder.encode(text) + end
                 for k, a in enumerate(range(0, len(ids), step)):
                     part = ids[a : a + step]
                     row.append(i)
@@ -81,6 +83,8 @@ def document_pieces(
                 ],
                 names=schema.names,
             )
+        if forget:
+            encoder.forget()
 
     return narrow.mapInArrow(cut, schema)
 
@@ -189,5 +193,5 @@ def pack(
     return held.repartition(groups).mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, **how: str | int) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, max_tokens: int = 2048, **how: str | int | bool) -> DataFrame:
     return pack(document_pieces(docs, vocabulary, max_tokens, **how), max_tokens)

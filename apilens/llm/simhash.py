@@ -263,11 +263,11 @@ def _common_shingles(keyed: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
         .filter(F.col("count") >= _COMMON)
         .orderBy(F.desc("count"), "token")
         .limit(_MOST_COMMON)
-        .collect()  # bounded by _MOST_COMMON
+        .toArrow()  # bounded by _MOST_COMMON
     )
-    tokens = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
+    tokens = found.column("token").to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.array([r[1] for r in found], dtype=np.int64)[order]
+    return tokens[order], found.column("count").to_numpy().astype(np.int64)[order]
 
 
 def _prefixes(keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:

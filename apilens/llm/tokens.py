@@ -60,6 +60,10 @@ class WordEncoder:
             found = [ids_of[w] if ids is None else ids for w, ids in zip(words, found)]
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Give back the memory of words; texts have the same ids afterwards."""
+        self._new, self._old = {}, {}
+
     def _compute_all(self, missing: dict[bytes, None]) -> dict[bytes, bytes]:
         """Ids of words that the newer generation does not hold; it learns them."""
         ids_of: dict[bytes, bytes] = {}

@@ -2,10 +2,11 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from apilens.llm import repetition
+from apilens.llm import repetition, tokens
 from test_mixing import plain_targets
 from test_pairs import digest
 from test_tokens_out import check_packing
@@ -89,3 +90,38 @@ def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
             if name == "empty":
                 assert out.count() == 0
             docs = out if number < 4 else docs
+
+
+def test_workers_keep_no_words(spark, stages):
+    """Nothing of what packing remembers stays in the workers for the stages of a next run."""
+
+    def words(batches):
+        for _ in batches:
+            known = [e for (_, n), e in tokens._ENCODERS.items() if n == corpus_pipeline.REMEMBERED_WORDS]
+            yield pa.RecordBatch.from_pydict({"encoders": [len(known)], "n": [sum(len(e._new) + len(e._old) for e in known)]})
+
+    for _ in range(3):
+        corpus_pipeline.packed_sequences(spark, stages[4].repartition(16), SF).count()
+        found = spark.range(0, 64, 1, 64).mapInArrow(words, "encoders int, n long").collect()
+        if any(r.encoders for r in found):
+            break
+    assert any(r.encoders for r in found)
+    assert not any(r.n for r in found)
+
+
+def test_texts_in_bounded_batches(spark, tmp_path):
+    """A stage hands a large partition of long texts to Python a few megabytes at a time, and every row of it."""
+    spark.range(4000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(1, 600), x -> hex(xxhash64(id, x)))) AS text", "'en' AS lang",
+        "'a' AS source", "10 AS n_chars",
+    ).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    assert corpus_pipeline.quality_rules(spark, docs, SF).count() == 4000
+    found = docs.coalesce(1).mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 4000
+    assert max(r.size for r in found) < 8_000_000 < sum(r.size for r in found)
