@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from apilens.llm.common import stored
@@ -13,34 +14,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Integer nodes. Edges without one of their ends and loops are left out; no edges give an empty table. Each
     round replaces neighbours by the least neighbour, which flattens a path of n nodes in O(log n)
-    rounds, and is written to the shared folder: neither edges nor components reach the driver.
+    rounds, and is written to the shared folder: neither edges nor components reach the driver. A round shuffles the
+    edges twice, gives one edge for each, and tells whether it moved any.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
-    links = stored(pairs.distinct(), "links")
-    mark = _mark(links)
+    links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v"), "links")
     while True:
         links = stored(_small_star(_large_star(links)), "links")
-        after = _mark(links)
-        if after == mark:
+        if not links.agg(F.max("moved")).first()[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        mark = after
-
-
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def _large_star(links: DataFrame) -> DataFrame:
-    """Every node hands its least neighbour (itself included) to its larger neighbours."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("least"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+    """Every node hands its least neighbour (itself included) to its larger neighbours. Repeated edges leave first."""
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = F.least("u", F.min("v").over(W.partitionBy("u")))
+    known = both.repartition("u").distinct().withColumn("least", least).filter("v > u")
+    return known.select(F.col("v").alias("u"), F.col("least").alias("v"), (F.col("least") < F.col("u")).alias("moved"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node hands its least neighbour to its other smaller neighbours and takes it itself."""
-    least = links.groupBy("u").agg(F.min("v").alias("least"))
-    handed = links.join(least, "u").filter("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return handed.union(least.select("u", F.col("least").alias("v"))).distinct()
+    known = links.withColumn("least", F.min("v").over(W.partitionBy("u")))
+    other = F.col("v") > F.col("least")
+    return known.select(
+        F.when(other, F.col("v")).otherwise(F.col("u")).alias("u"), F.col("least").alias("v"), (F.col("moved") | other).alias("moved")
+    )

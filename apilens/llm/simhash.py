@@ -367,7 +367,8 @@ def _texts_of(pairs: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int
 
 
 def _verified(pairs: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """The stored pairs (a, b) of keys whose texts have the Jaccard similarity."""
+    """The stored pairs (a, b, ...) of keys whose texts have the Jaccard similarity."""
+    columns = pairs.columns
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[bytes, np.ndarray] = (b"", shingle_set(b"", shingle))
@@ -380,12 +381,12 @@ def _verified(pairs: DataFrame, keyed: DataFrame, texts: DataFrame, shingle: int
                     one, other = shingle_set(x, shingle), known[1]
                     both = len(np.intersect1d(one, other, assume_unique=True))
                     good.append(100 * both >= similarity * (len(one) + len(other) - both))
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                yield batch.select(columns).filter(pa.array(good, pa.bool_()))
 
     asked = _texts_of(pairs, keyed, texts, shingle)  # shuffled once for both sides
     a = asked.select(F.col("key").alias("a"), F.col("text").alias("x"))
     b = asked.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(compute, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select(*columns, "x", "y").mapInArrow(compute, pairs.schema)
 
 
 def similar_links(keyed: DataFrame, shingle: int, similarity: int, texts: DataFrame | None = None) -> DataFrame:
@@ -417,14 +418,17 @@ def similar_links(keyed: DataFrame, shingle: int, similarity: int, texts: DataFr
 def _mixed_meetings(grouped: DataFrame) -> DataFrame:
     """The meetings of several groups; ``few`` are those outside the largest group that meets in their shingle, ``crowded``
     those in shingles of more than ``_GROWTH`` texts."""
-    sizes = grouped.groupBy("token", "component").count()
-    largest = (
-        sizes.groupBy("token")
-        .agg(F.max(F.struct("count", "component")).alias("top"), F.count("*").alias("groups"), F.sum("count").alias("all"))
-        .filter("groups > 1")
-        .select("token", F.col("top.component").alias("main"), (F.col("all") > _GROWTH).alias("crowded"))
+    texts, group = W.partitionBy("token"), W.partitionBy("token", "component")
+    counted = grouped.repartition("token").withColumn("_size", F.count("*").over(group))
+    top = F.max(F.struct("_size", "component")).over(texts)["component"]
+    return (
+        counted.withColumn("crowded", F.count("*").over(texts) > _GROWTH)
+        .withColumn("few", F.col("component") != top)
+        .withColumn("_least", F.min("component").over(texts))
+        .withColumn("_most", F.max("component").over(texts))
+        .filter("_least < _most")
+        .drop("_size", "_least", "_most")
     )
-    return grouped.join(largest, "token").withColumn("few", F.col("component") != F.col("main")).drop("main")
 
 
 def _shares(mixed: DataFrame) -> list[int]:
@@ -473,8 +477,8 @@ def _joined_groups(
     found = keyed.sparkSession.createDataFrame([], "a long, b long")
 
     def merge(pairs: DataFrame) -> DataFrame:
-        good = _verified(pairs.select("a", "b"), keyed, texts, shingle, similarity)
-        merged = good.join(pairs, ["a", "b"]).select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+        good = _verified(pairs, keyed, texts, shingle, similarity)
+        merged = good.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
         renamed = connected_components(stored(merged, "merged-groups")).filter("node <> component")
         return stored(renamed.select(F.col("node").alias("a"), F.col("component").alias("b")), "renamed-groups")
 

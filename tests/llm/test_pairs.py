@@ -77,6 +77,17 @@ def test_path_of_links(spark):
     assert got == {i: 0 for i in range(41)} | {200: 200, 201: 200}
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+
+
+def test_a_round_shuffles_edges_twice_and_a_regrouping_once(spark):
+    edges = spark.createDataFrame([(2, 1, False), (3, 2, False)], "u long, v long, moved boolean")
+    assert exchanges(components._small_star(components._large_star(edges))) == 2
+    met = spark.createDataFrame([(1, 5, 5, 0, 5), (1, 6, 5, 0, 6)], "token long, key long, n int, place int, component long")
+    assert exchanges(simhash._mixed_meetings(met)) == 1
+
+
 def digest(text):
     return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", "", text or "").encode()).hexdigest()
 
