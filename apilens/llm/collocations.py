@@ -37,9 +37,16 @@ UNKNOWN_LANGUAGE = "und"
 
 #: Bits of the bitmap of frequent hashes (8 MB); in a larger corpus it only holds back fewer n-grams.
 _BITS = 26
-#: A task hands on its transducers when they have so many arcs.
-_MOST_ARCS = 3_000_000
+#: A task unites the largest of its transducers when all of them have so many arcs, and hands it on if half remain.
+_MOST_ARCS = 2_000_000
 _BLOCK = 4_000_000
+#: Bytes of transducers after which a batch of them leaves a task.
+_HANDED_BYTES = 2_000_000
+#: Of texts, a task holds so many on the heap and so many bytes beside it and in Python.
+_HELD_AT_ONCE = {
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
 #: Text bytes per prefix range, and the numbers of ranges between which that chooses.
 _RANGE_BYTES, _FEWEST_RANGES, _MOST_RANGES = 100_000_000, 64, 1 << 15
 #: Salts of the first of the two rankings.
@@ -131,19 +138,21 @@ def _beginnings(automaton: Transducer, lang: str) -> np.ndarray:
 
 def _counter(lengths: tuple[int, ...], ranges: int, bits: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def handed_on(lang: str, parts: list[Transducer]) -> Iterator[pa.RecordBatch]:
-        whole = union(parts)
+        whole = parts[0] if len(parts) == 1 else union(parts)
+        parts.clear()
         if not whole.arcs:
             return
         place = (_beginnings(whole, lang) >> np.uint64(40)).astype(np.int64) * ranges >> 24
-        used = np.unique(place)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(used)),
-                pa.array(used.astype(np.int32)),
-                pa.array([whole.select(place == r).pack() for r in used.tolist()], pa.binary()),
-            ],
-            names=["lang", "range", "automaton"],
-        )
+        used = np.unique(place).tolist()
+        at, messages, size = [], [], 0
+        for r in used:
+            at.append(r)
+            messages.append(whole.select(place == r).pack())
+            size += len(messages[-1])
+            if size >= _HANDED_BYTES or r == used[-1]:
+                columns = [pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(messages, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "range", "automaton"])
+                at, messages, size = [], [], 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bits.value if bits is not None else None
@@ -162,9 +171,13 @@ def _counter(lengths: tuple[int, ...], ranges: int, bits: object) -> Callable[[I
                     if len(held[lang]) >= 16:
                         held[lang] = [union(held[lang])]
                         arcs[lang] = held[lang][0].arcs
-                    if arcs[lang] > _MOST_ARCS:
-                        yield from handed_on(lang, held.pop(lang))
-                        arcs[lang] = 0
+                    if sum(arcs.values()) > _MOST_ARCS:
+                        most = max(arcs, key=arcs.__getitem__)
+                        held[most] = [union(held[most])]
+                        arcs[most] = held[most][0].arcs
+                        if 2 * sum(arcs.values()) > _MOST_ARCS:
+                            yield from handed_on(most, held.pop(most))
+                            del arcs[most]
         for lang, parts in held.items():
             yield from handed_on(lang, parts)
 
@@ -258,6 +271,8 @@ def frequent_phrases(
     size = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(_MOST_RANGES, max(_FEWEST_RANGES, size // _RANGE_BYTES))
     context = docs.sparkSession.sparkContext
+    for name, value in _HELD_AT_ONCE.items():
+        docs.sparkSession.conf.set(name, value)
     found = [_frequent(texts, (1,), ranges, least, None)]
     for lengths in ((2,), tuple(range(3, LONGEST + 1))):
         bits = context.broadcast(_bitmap(found[-1]))  # of fixed size

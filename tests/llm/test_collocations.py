@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,3 +136,27 @@ def test_scores_beyond_64_bits(spark):
     (row,) = collocations._scored(counts, candidates).collect()
     assert (row.l, row.r, row.score) == (6 * 10**18, 5 * 10**18, 2000000 * 5 * 10**18 // (11 * 10**18))
     assert collocations._covered(candidates, 80).count() == 0
+
+
+def test_a_task_holds_bounded_counts_of_all_languages(monkeypatch):
+    """The limit is one of all languages together, and what is handed on leaves in small batches."""
+    monkeypatch.setattr(collocations, "_MOST_ARCS", 3000)
+    monkeypatch.setattr(collocations, "_HANDED_BYTES", 4000)
+    monkeypatch.setattr(collocations, "_BLOCK", 10_000)
+    united = []
+    monkeypatch.setattr(collocations, "union", lambda parts: united.append(sum(p.arcs for p in parts)) or union(parts))
+    draw = random.Random(7)
+    langs = [f"l{i % 8}" for i in range(400)]
+    texts = [" ".join(f"w{draw.randrange(400)}" for _ in range(60)) for _ in langs]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["lang", "text"])
+    got: dict[str, Counter] = defaultdict(Counter)
+    for handed in collocations._counter((2,), 16, None)(iter([batch])):
+        assert handed.nbytes < 30_000
+        for lang, message in zip(handed.column("lang").to_pylist(), handed.column("automaton").to_pylist()):
+            got[lang].update({p: w for p, w in content(Transducer.unpack(message)).items() if w})
+    want = defaultdict(Counter)
+    for lang, text in zip(langs, texts):
+        words = text.encode().split()
+        want[lang].update(b" ".join(pair) for pair in zip(words, words[1:]))
+    assert got == want
+    assert max(united) < 3000
